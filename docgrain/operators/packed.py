@@ -336,7 +336,7 @@ def split_citations(fields: pa.Array, max_range: int = 10_000) -> pa.LargeListAr
         named = pc.greater(pc.binary_length(names), 0).to_numpy(zero_copy_only=False).astype(bool)
         source = np.maximum.accumulate(np.where(named | first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
         names = names.take(pa.array(source))
-        values.append(pc.utf8_trim_whitespace(pc.binary_join_element_wise(names, years, " ")))
+        values.append(pc.utf8_trim_whitespace(pc.binary_join_element_wise(names, years, pa.scalar(" ", pa.large_string()))))
         parents.append(row)
     if not values:
         return _lists(pa.array([], pa.large_string()), np.zeros(0, np.int64), rows)
