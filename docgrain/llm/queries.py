@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import lookalike
+from docgrain.llm import lookalike, sentences
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -38,3 +38,14 @@ def p4_canonical_titles(spark: SparkSession, sf_dir: str) -> DataFrame:
     refs = read(spark, sf_dir, "parsed_reference").select("ref_id", F.col("parsed_title").alias("title"))
     records = read(spark, sf_dir, "crossref_record").select(F.col("record_id").alias("ref_id"), F.col("crossref_title").alias("title"))
     return lookalike.canonicalize(refs.unionByName(records), "title", "canonical_title")
+
+
+SENTENCE_TABLES = (("claim", "claim_id"), ("rq_claim_annotations", "case_id"))
+
+
+@query
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    texts = [read(spark, sf_dir, table).select(F.lit(table).alias("source_table"), F.col(key).alias("id"), "sentence") for table, key in SENTENCE_TABLES]
+    weights = sentences.train(texts[0].unionByName(texts[1]), "sentence")
+    found = [sentences.split_sentences(t, "id", "sentence", weights).select(F.lit(name).alias("source_table"), "row_id", "unit_no", "start_char", "n_chars") for t, (name, _) in zip(texts, SENTENCE_TABLES, strict=True)]
+    return found[0].unionByName(found[1])
