@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import lookalike, sentences
+from docgrain.llm import leak, lookalike, sentences
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -49,3 +49,9 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     weights = sentences.train(texts[0].unionByName(texts[1]), "sentence")
     found = [sentences.split_sentences(t, "id", "sentence", weights).select(F.lit(name).alias("source_table"), "row_id", "unit_no", "start_char", "n_chars") for t, (name, _) in zip(texts, SENTENCE_TABLES, strict=True)]
     return found[0].unionByName(found[1])
+
+
+@query
+def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = leak.leaked(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "claimguard_benchmark"), "case_id", ["claim", "evidence"])
+    return found.select(F.col("item").alias("case_id"), F.col("doc").alias("doc_id"))
