@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import leak, lookalike, sentences
+from docgrain.llm import leak, lookalike, segment, sentences
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -55,3 +55,13 @@ def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = leak.leaked(read(spark, sf_dir, "documents"), "doc_id", "text", read(spark, sf_dir, "claimguard_benchmark"), "case_id", ["claim", "evidence"])
     return found.select(F.col("item").alias("case_id"), F.col("doc").alias("doc_id"))
+
+
+@query
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.split_oversized(read(spark, sf_dir, "documents"), "doc_id", "text", with_text=False).where("piece_no = 1").select("doc_id")
+
+
+@query
+def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return segment.split_oversized(read(spark, sf_dir, "documents"), "doc_id", "text")
