@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import leak, lookalike, segment, sentences
+from docgrain.llm import abuse, leak, lookalike, segment, sentences
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -65,3 +65,21 @@ def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query
 def p3_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
     return segment.split_oversized(read(spark, sf_dir, "documents"), "doc_id", "text")
+
+
+@query
+def p9_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return scored.where(F.col("score") >= abuse.THRESHOLD).select("doc_id")
+
+
+@query
+def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Score, worst sentence and nearest example of every document."""
+    return abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", carry=("source",))
+
+
+@query
+def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents, abusive documents and their rate per source."""
+    return abuse.rates(abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", carry=("source",)), "source")

@@ -21,6 +21,8 @@ SINGLE = 1 << 22  # bit of code points that are words of their own
 GONE, BREAK = 0, 1
 #: Marks inserted into running text: numeric citation brackets and tags.
 MARKS = re.compile(r"\[\s?\d[\d\s,;&–—\-]{0,40}(?:and[\d\s,;&–—\-]{1,20})*\]|</?[a-zA-Z]{1,6}\s?/?>")
+# Further letters drawn much alike. Both sides of every comparison are folded, so this only adds equality.
+NEAR, NEAR_AS = "κкαρτтυιηнмвѵգոս", "kkapttuinhmbvqnu"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe"}
 _LIGATURE = re.compile("[" + "".join(_LIGATURES) + "]")
 
@@ -32,7 +34,7 @@ def _single(code: int) -> bool:
 @functools.cache
 def table() -> np.ndarray:
     """What every code point of the basic plane folds to: GONE, BREAK or a letter (beyond that plane: itself)."""
-    alike = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True))
+    alike = dict(zip(CYRILLIC + GREEK + NEAR, CYRILLIC_AS + GREEK_AS + NEAR_AS, strict=True))
     out = np.arange(0x110000, dtype=np.uint32)
     for code in range(0x10000):
         c = chr(code)
@@ -65,6 +67,7 @@ class Words:
     end: np.ndarray
     base: np.ndarray
     first: np.ndarray  # index of each row's first word, and the number of words at the end
+    whole: np.ndarray  # words of two or more letters, or of one letter in scripts without blanks
 
 
 def words(texts: list[str], marks: bool = False) -> Words:
@@ -127,4 +130,4 @@ def words(texts: list[str], marks: bool = False) -> Words:
         start, end = at[start], at[end - 1] + 1
     row = np.searchsorted(base, start, "right") - 1
     first = np.searchsorted(row, np.arange(len(texts) + 1))
-    return Words(h, row, start, end, base, first)
+    return Words(h, row, start, end, base, first, (e - s > 1) | single[s])
