@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import abuse, leak, lookalike, segment, sentences
+from docgrain.llm import abuse, leak, lookalike, mix, segment, sentences
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -83,3 +83,20 @@ def p9_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents, abusive documents and their rate per source."""
     return abuse.rates(abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", carry=("source",)), "source")
+
+
+def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, mix.Plan]]:
+    targets = mix.read_targets(read(spark, sf_dir, "mix_target"), "doc_source", "target_share", "max_repeats")
+    return mix.mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source", targets)
+
+
+@query
+def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The chosen documents with their repeat counts."""
+    return _mix(spark, sf_dir)[0]
+
+
+@query
+def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per source the share reached beside the target."""
+    return mix.shares(*_mix(spark, sf_dir))
