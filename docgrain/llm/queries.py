@@ -7,7 +7,8 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import abuse, leak, lookalike, mix, segment, sentences
+from docgrain.llm import abuse, leak, lookalike, mix, names, segment, sentences
+from docgrain.plans.packed_queries import author_values
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -100,3 +101,19 @@ def p8_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p8_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per source the share reached beside the target."""
     return mix.shares(*_mix(spark, sf_dir))
+
+
+def _spellings(spark: SparkSession, sf_dir: str) -> DataFrame:
+    listed = read(spark, sf_dir, "parsed_reference").select(F.explode("authors").alias("name"))
+    return listed.unionByName(author_values(spark, sf_dir).select(F.col("value_text").alias("name")))
+
+
+@query
+def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.variant_pairs(names.entities(_spellings(spark, sf_dir), "name"))
+
+
+@query
+def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every spelling with the key of its person or organisation."""
+    return names.entities(_spellings(spark, sf_dir), "name")
