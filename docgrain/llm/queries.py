@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from docgrain.llm import abuse, leak, lookalike, mix, names, segment, sentences
+from docgrain.llm import abuse, leak, linkage, lookalike, mix, names, segment, sentences
 from docgrain.plans.packed_queries import author_values
 from docgrain.session import read
 
@@ -117,3 +117,14 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
 def p6_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every spelling with the key of its person or organisation."""
     return names.entities(_spellings(spark, sf_dir), "name")
+
+
+@query
+def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.link(read(spark, sf_dir, "parsed_reference"), read(spark, sf_dir, "crossref_record")).select("ref_id", "record_id").distinct()
+
+
+@query
+def p1_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Matched pairs with their confidence."""
+    return linkage.link(read(spark, sf_dir, "parsed_reference"), read(spark, sf_dir, "crossref_record"))
