@@ -50,6 +50,7 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{table}.parquet")
 
 
-def add_or_replace(df: DataFrame, table_columns: list[str]) -> DataFrame:
-    """Only the named columns, so that extra columns with clashing names never reach an operator."""
-    return df.select(*table_columns)
+def spread(df: DataFrame) -> DataFrame:
+    """``df`` over as many partitions as the cluster has cores, where its files gave fewer: for costly work a row."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
