@@ -31,7 +31,7 @@ from pyspark.sql import functions as F
 
 from docgrain.llm import names
 from docgrain.llm.lookalike import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
-from docgrain.session import materialize
+from docgrain.session import materialize, spread
 
 #: Weights of the rules, step size and rounds of the alternation.
 WEIGHTS = {"title": 3.0, "authors": 4.0, "year": 1.0, "venue": 0.5, "score": 0.2, "alone_year": 2.0, "alone_venue": 1.5, "kind": 20.0, "exclusive": 3.0, "transitive": 2.0, "same": 3.0}
@@ -83,8 +83,8 @@ def title_like(a: list[str], b: list[str]) -> float:
     if a == b:
         return 1.0
     n, m = len(a), len(b)
-    if not n or not m or abs(n - m) > 6:
-        return 0.0
+    if not n or not m or abs(n - m) > 6 or 2 * len(set(a) & set(b)) < min(n, m):
+        return 0.0  # with fewer equal words the slips alone cost more than is allowed
     big = 9.0
     before = [0.0] + [0.25 if j == 1 else big for j in range(1, m + 1)]
     for i in range(1, n + 1):
@@ -186,7 +186,7 @@ def references(df: DataFrame) -> DataFrame:
             yield pd.DataFrame(rows, columns=["row_id", *[c.split()[0] for c in PROFILE.split(", ")]])
 
     narrow = df.select(F.col("ref_id").cast("bigint"), "parsed_title", F.col("parsed_year").cast("int"), "authors", "parsed_venue", "raw_text").where("parsed_title is not null")
-    return narrow.mapInPandas(run, "row_id bigint, " + PROFILE)
+    return spread(narrow).mapInPandas(run, "row_id bigint, " + PROFILE)
 
 
 def records(df: DataFrame) -> DataFrame:
@@ -207,6 +207,8 @@ def records(df: DataFrame) -> DataFrame:
 def _evidence(a: tuple, b: tuple) -> tuple[float, float | None, float | None, float | None, bool]:
     """(title, authors, year, venue, same kind) of two profiles (kind, part, words, years, venue, people)."""
     like = title_like(list(a[2]), list(b[2]))
+    if like < 0.5:
+        return like, None, None, None, False
     kinds = a[0] == b[0] and (a[1] == b[1])
     ya, yb = list(a[3]), list(b[3])
     year = None if not ya or not yb else 1.0 if min(abs(x - y) for x in ya for y in yb) <= 1 else 0.0

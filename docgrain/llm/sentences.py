@@ -24,6 +24,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgrain.session import spread
+
 #: The classifier is fitted on at most so many rows, those with the smallest hashes of their text.
 TRAINING_ROWS = 20_000
 SPACE = 1 << 15
@@ -314,4 +316,4 @@ def split_sentences(df: DataFrame, key: str, column: str, weights: np.ndarray) -
             yield pd.DataFrame(rows, columns=["row_id", "unit_no", "start_char", "n_chars"])
 
     narrow = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(column).cast("string").alias("text")).where("text is not null")
-    return narrow.mapInPandas(run, "row_id bigint, unit_no int, start_char int, n_chars int")
+    return spread(narrow).mapInPandas(run, "row_id bigint, unit_no int, start_char int, n_chars int")
