@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgrain.plans import packed_queries
+from docgrain.plans import evaluation_queries, packed_queries
 
 FLAGSHIP = "p5_found"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (packed_queries,):
+for _module in (evaluation_queries, packed_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(getattr(_module, "ORACLE", {}))
