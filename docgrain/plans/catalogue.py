@@ -6,12 +6,12 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from docgrain.plans import evaluation_queries, packed_queries, text_queries
+from docgrain.plans import claim_queries, evaluation_queries, packed_queries, text_queries
 
-FLAGSHIP = "p5_found"
+FLAGSHIP = "lexical_verdicts"
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
 
-for _module in (evaluation_queries, text_queries, packed_queries):
+for _module in (evaluation_queries, text_queries, claim_queries, packed_queries):
     QUERIES.update(_module.QUERIES)
     ORACLE.update(getattr(_module, "ORACLE", {}))
