@@ -1,7 +1,7 @@
 """Matching entities across sources without keys by soft logic.
 
-References and records are reduced to profiles (equal rows once). Candidates share the title's content words but for
-one, its first or last four, or an author's surname with two neighbouring content words; no key is capped. Every candidate
+References and records are reduced to profiles (equal rows once). Candidates share all content words of the title,
+or an author's surname with a part of them, or, where one side names nobody, the year with a larger part; no key is capped. Every candidate
 pair is a variable between 0 and 1, and so is the sameness of two records that compete for one reference. Weighted rules
 become hinge losses:
 
@@ -143,23 +143,30 @@ def overlap(a: list[str], b: list[str]) -> float | None:
 PROFILE = "kind string, part int, words array<string>, years array<int>, venue string, people array<string>, keys array<string>"
 
 
-def _keys(words: list[str], people: list[str]) -> list[str]:
-    """Blocking keys: all content words, all but one (without order), the first four, the last four, and a surname with
-    two neighbouring words."""
+def _keys(words: list[str], people: list[str], years: list[int], reference: bool) -> list[str]:
+    """Blocking keys: all content words; a part of the title with a surname, or, where one side names nobody, with the
+    year (years side by side meet, an unknown year meets all). Parts are all words but one, without order, two
+    neighbouring words, and, beside a year, the first and the last four."""
     own = content(words)
     bag = sorted(own)
-    out = {"t|" + " ".join(bag)}
-    if len(bag) > 2:
-        out |= {"t|" + " ".join(bag[:k] + bag[k + 1 :]) for k in range(len(bag))}
-    if len(own) > 4:
-        out |= {"p|" + " ".join(own[:4]), "e|" + " ".join(own[-4:])}
-    out |= {f"a|{p}|{x}|{y}" for p in people for x, y in zip(own, own[1:], strict=False)}
+    but_one = {"-" + " ".join(bag[:k] + bag[k + 1 :]) for k in range(len(bag))} if len(bag) > 2 else set()
+    pairs = {" ".join(own[k : k + 2]) for k in range(len(own) - 1)}
+    out = {"t|" + " ".join(bag)} | {f"a|{p}|{part}" for p in people for part in but_one | pairs}
+    ends = {" ".join(own[:4]) + "^", "^" + " ".join(own[-4:])} if len(own) > 4 else set()
+    if reference:
+        when = ["?", *sorted({str(y + d) for y in years for d in (-1, 0, 1)})] if years else ["?", "*"]
+        sides = ["n"] if people else ["n", "m"]
+    else:
+        when = ["*", *map(str, years or ["?"])]
+        sides = ["m"] if people else ["n", "m"]
+    out |= {f"{side}|{y}|{part}" for side in sides for y in when for part in but_one | ends}
     return sorted(out)
 
 
-def _profile(title: str | None, years: list[int | None], venue: str | None, people: list[str]) -> tuple:
+def _profile(title: str | None, years: list[int | None], venue: str | None, people: list[str], reference: bool) -> tuple:
     kind, part, words = title_parts(title)
-    return kind, part, words, sorted({int(y) for y in years if y is not None and y == y}), venue_key(venue), people, _keys(words, people) if words else []
+    known = sorted({int(y) for y in years if y is not None and y == y})
+    return kind, part, words, known, venue_key(venue), people, _keys(words, people, known, reference) if words else []
 
 
 _YEAR = re.compile(r"\b(?:19|20)\d{2}\b")
@@ -182,7 +189,7 @@ def references(df: DataFrame) -> DataFrame:
                     people = sorted({names.fold(w) for w in re.findall(r"[^\W\d_]{3,}(?:-[^\W\d_]+)*", text[:at])} - {"and", "et", "the", "van", "von", "der", ""})
                 if not venue and text:
                     venue = None
-                rows.append((i, *_profile(title, years, venue, people)))
+                rows.append((i, *_profile(title, years, venue, people, True)))
             yield pd.DataFrame(rows, columns=["row_id", *[c.split()[0] for c in PROFILE.split(", ")]])
 
     narrow = df.select(F.col("ref_id").cast("bigint"), "parsed_title", F.col("parsed_year").cast("int"), "authors", "parsed_venue", "raw_text").where("parsed_title is not null")
@@ -195,7 +202,7 @@ def records(df: DataFrame) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             rows = [
-                (i, *_profile(title, [year], venue, surnames(authors.split(";")) if authors else []), score)
+                (i, *_profile(title, [year], venue, surnames(authors.split(";")) if authors else [], False), score)
                 for i, title, year, authors, venue, score in b.itertuples(index=False)
             ]
             yield pd.DataFrame(rows, columns=["row_id", *[c.split()[0] for c in PROFILE.split(", ")], "score"])
