@@ -225,13 +225,13 @@ def coverage_by_length(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wide.unpivot([], [str(n) for n in lengths], "max_len", "covered").select(F.col("max_len").cast("int").alias("max_len"), "covered")
 
 
-_EXP = "exps AS (SELECT coalesce(source, 'none') AS method, length(text) % 3 AS overlap, 256 * (1 + doc_id % 4) AS chunk_size, doc_id % 3 AS seed, (doc_id * 37 % 101) / 100e0 AS accuracy, doc_id FROM documents)"
+_EXP = "exps AS (SELECT coalesce(source, 'none') AS method, length(text) % 3 AS overlap, 256 * (1 + doc_id % 4) AS chunk_size, doc_id % 3 AS seed, (doc_id * 37 % 101) / 101e0 AS accuracy, doc_id FROM documents)"
 
 
 def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Experiment rows (method, overlap, chunk_size, seed, accuracy) derived from documents."""
     d = F.col("doc_id")
-    return read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("method"), (F.length("text") % 3).alias("overlap"), (256 * (1 + d % 4)).alias("chunk_size"), (d % 3).alias("seed"), (d * 37 % 101 / F.lit(100.0)).alias("accuracy"), "doc_id")
+    return read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("method"), (F.length("text") % 3).alias("overlap"), (256 * (1 + d % 4)).alias("chunk_size"), (d % 3).alias("seed"), (d * 37 % 101 / F.lit(101.0)).alias("accuracy"), "doc_id")
 
 
 @query(f"WITH {_EXP} SELECT method, {r3('avg(accuracy) FILTER (overlap = 0)')} AS o0, {r3('avg(accuracy) FILTER (overlap = 1)')} AS o1, {r3('avg(accuracy) FILTER (overlap = 2)')} AS o2 FROM exps GROUP BY method")
