@@ -27,6 +27,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrain.llm import names
@@ -290,16 +291,15 @@ def alternate(terms: DataFrame, rounds: int = ROUNDS, rho: float = RHO) -> DataF
     x per row, averages z per variable, duals u per row; every round is one aggregation by variable and one window by rule.
     """
     state = terms.select("rule", "var", "coef", "w", "d", F.col("start").alias("x"), F.lit(0.0).alias("u"))
-    for k in range(rounds):
+    for _ in range(rounds):
         z = state.groupBy("var").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.col("x") + F.col("u")))).alias("z"))
         state = state.join(z, "var").withColumn("u", F.col("u") + F.col("x") - F.col("z")).withColumn("v", F.col("z") - F.col("u"))
-        sums = state.groupBy("rule").agg(F.sum(F.col("coef") * F.col("v")).alias("at"), F.sum(F.col("coef") * F.col("coef")).alias("n"))
-        state = state.join(sums, "rule")
+        own = W.partitionBy("rule")  # at most three rows
+        state = state.withColumns({"at": F.sum(F.col("coef") * F.col("v")).over(own), "n": F.sum(F.col("coef") * F.col("coef")).over(own)})
         at = F.col("at") + F.col("d")
         step = F.when(at <= 0, 0.0).when(at >= F.col("w") / rho * F.col("n"), F.col("w") / rho).otherwise(at / F.col("n"))
         state = state.select("rule", "var", "coef", "w", "d", (F.col("v") - step * F.col("coef")).alias("x"), "u")
-        if k % 3 == 2:
-            state = materialize(state, "linkage-round")
+        state = materialize(state, "linkage-round")
     return state.groupBy("var").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.col("x") + F.col("u")))).alias("value"))
 
 
@@ -326,7 +326,7 @@ def _ground(coupled: DataFrame, likeness: DataFrame, w: dict[str, float]) -> Dat
         )))
     a = y.select("r", F.col("c").alias("c1"), F.col("var").alias("v1"), F.col("local").alias("s1"))
     b = y.select("r", F.col("c").alias("c2"), F.col("var").alias("v2"), F.col("local").alias("s2"))
-    triple = a.join(b, "r").where("c1 < c2").join(same.select("c1", "c2", F.col("var").alias("v3"), F.col("like").alias("s3")), ["c1", "c2"])
+    triple = materialize(a.join(b, "r").where("c1 < c2").join(same.select("c1", "c2", F.col("var").alias("v3"), F.col("like").alias("s3")), ["c1", "c2"]), "linkage-triples")
     for name, weight, d, c1, c2, c3 in (("x", "exclusive", -1.0, 1.0, 1.0, -1.0), ("t", "transitive", -1.0, 1.0, -1.0, 1.0), ("v", "transitive", -1.0, -1.0, 1.0, 1.0)):
         parts.append(rows(triple.select(
             F.concat_ws("|", F.lit(name), "r", "c1", "c2").alias("rule"), F.lit(w[weight]).alias("w"), F.lit(d).alias("d"),
@@ -352,7 +352,7 @@ def link(refs: DataFrame, recs: DataFrame, weights: dict[str, float] | None = No
     # pairs whose own evidence is against them neither compete nor vouch for others
     alive = scored.where("kinds and local > 0.2")
     crowded = alive.groupBy("r").agg(F.count("*").alias("n")).where("n > 1").select("r")
-    coupled = alive.join(crowded, "r", "left_semi")
+    coupled = materialize(alive.join(crowded, "r", "left_semi"), "linkage-coupled")
     rivals = (
         coupled.select("r", F.col("c").alias("c1")).join(coupled.select("r", F.col("c").alias("c2")), "r")
         .where("c1 < c2").select("c1", "c2").distinct()
