@@ -37,6 +37,19 @@ ABBREVIATIONS = frozenset(
 )
 STOPS = ".!?…‼⁇⁈⁉؟۔।॥。！？｡．"
 CJK_STOPS = "。！？｡．"
+# Known boundaries, marked by ¦: they teach the general cases, so that small inputs are split sensibly too.
+SEEDS = (
+    "The reports were lost.¦ It was tested again.¦ We added 96.¦ Our tutor agreed with the plan.¦ Is it clear?¦ Nobody knew!¦ The end came soon.¦ Did it hold?!¦ We asked\nagain.¦ Then all was clear.¦ It is clear.¦ It is so.¦ It is clear.¦ The score fell.",
+    "Dr. Long met Prof. Short and Ms. Dee in the lab.¦ See Fig. 3 and Eq. (5), e.g. the rate, cf. Long (2001).¦ J. K. Long left at 5 p.m. on Monday.¦ He stayed in St. Clair.¦ As in No. 7 and Sec. 9, it rose... then fell.",
+    'He wrote "It fails. Try again." in the margin.¦ She said “Fine. Go on.” and left.¦ "Where is it?" asked one.¦ He called it “a seed. No more.”¦ We asked again.¦ It held (They were right.) and we added more.¦ "All is well."¦ Nobody knew.',
+    "It is clear.[8-11 and 13]¦ Our tutor agreed [3].¦ The rate fell (Long, 2001).¦ It rose [1, 2].¦ So it was (see Dee, 2003).¦ Long et al. (2001) agree.¦ The corpus was built by Long et al.¦ It is small.",
+    "Die Quelle fehlt.¦ Am 3. Mai und im 2. Lauf war es z. B. so.¦ Das gilt bzw. galt lange.¦ „Sie fehlt. Bitte suchen.“ steht am Rand.¦ Wir sahen es.¦ Reicht das?¦ Es reicht.",
+    "« Rien. À revoir. » écrit-il en marge.¦ Quel écart !¦ Le chap. 5 le dit.¦ M. Long a lu p. 7.¦ ¿Basta una fuente?¦ ¡Sí!¦ Según el Dr. Long faltan dos.¦ «No hay. Falta.» anotó la revisora.¦ Era tarde.",
+    "«Нет. Да.» пишет он.¦ В 2021 г. было так, т. е. плохо.¦ Результат удивил всех!¦ Так и было.¦ Ο κ. Long έφυγε.¦ Η διαφορά είναι μεγάλη!¦ «Όχι. Ναι.» έγραψε.",
+    "结果令人惊讶！¦图5显示了影响。¦他写道：“缺少。请补充。”然后退回了。¦只有一个来源就够了吗？¦我们检查了。¦v2比v1好。¦差は大きい！¦彼は「ない。ほしい。」と書いた。¦図6は示す。¦v3では下がった。",
+    "차이가 크다!¦ 그는 \"없다. 필요하다.\"라고 적었다.¦ 출처 하나로 충분한가?¦ 점수를 얻었다.¦ यह सही है।¦ उसने लिखा \"नहीं है। जोड़ें।\" और लौटा दिया।¦ डॉ. Long ने बदला।¦ परिणाम आया!",
+    "كانت النتيجة مفاجئة!¦ هل يكفي مصدر واحد؟¦ كتب «لا يوجد. يرجى.» في الهامش.¦ قال د. Long إن العتبة ثابتة.¦ راجعنا المراجع.",
+)
 CLOSERS = "\"'”’»」』】）)]›“"
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _GROUP = re.compile(
@@ -267,16 +280,17 @@ def reliable(texts: list[str]) -> tuple[list[list[int]], list[int]]:
 def fit(texts: list[str], rounds: int = 120, l2: float = 0.02) -> np.ndarray:
     """Weights of the logistic classifier, the bias last; full-batch gradient steps scaled per weight (AdaGrad)."""
     x, y = reliable(texts)
-    # what is known of abbreviations beforehand, so that small inputs are split sensibly
+    for text in SEEDS:
+        marked = {m.start() - k for k, m in enumerate(re.finditer("¦", text))}
+        for end, _, f, _, _ in candidates(text.replace("¦", "")):
+            if f != ["thai"]:
+                x += [_slots(f)] * 3
+                y += [int(end in marked)] * 3
     for a in ABBREVIATIONS:
         x.append(_slots(["stop=.", f"t={a}", "abbr=True,up", "abbr=True,let"]))
         y.append(0)
-    for kind in ("up", "let", "dig", "mix"):
-        for stop in STOPS:
-            x.append(_slots([f"stop={stop}", f"nk={kind},{kind}", f"abbr=False,{kind}", f"tk=long,{kind},{'.' if stop == '.' else '!'}"]))
-            y.append(1)
-        x.append(_slots(["enum=True"]))
-        y.append(0)
+    x += [_slots(["enum=True"])] * 5
+    y += [0] * 5
     width = max(map(len, x))
     slots = np.full((len(x), width), SPACE + 1)
     for k, row in enumerate(x):
@@ -297,9 +311,14 @@ def fit(texts: list[str], rounds: int = 120, l2: float = 0.02) -> np.ndarray:
 
 
 def train(texts: DataFrame, column: str, rows: int = TRAINING_ROWS) -> np.ndarray:
-    """Weights from at most ``rows`` texts, chosen by hash: any order and partitioning of the data gives the same."""
-    picked = texts.select(F.col(column).cast("string").alias("text")).where("text is not null").distinct()
-    picked = picked.select("text", F.xxhash64("text").alias("h")).orderBy("h", "text").limit(rows)
+    """Weights from at most ``rows`` texts, those with the smallest hashes: any order and partitioning of the data gives
+    the same. A threshold on the hash leaves about twice as many before they are ordered."""
+    h = F.shiftrightunsigned(F.xxhash64("text"), 1)
+    known = texts.select(F.col(column).cast("string").alias("text")).where("text is not null").withColumn("h", h)
+    share = 2 * rows / max(1, known.count())
+    if share < 1:
+        known = known.where(F.col("h") < int(share * 2**63))
+    picked = known.distinct().orderBy("h", "text").limit(rows)
     return fit(sorted(r.text for r in picked.select("text").collect()))
 
 
