@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -86,6 +87,11 @@ def p9_rates(spark: SparkSession, sf_dir: str) -> DataFrame:
     return abuse.rates(abuse.score_documents(read(spark, sf_dir, "documents"), "doc_id", "text", carry=("source",)), "source")
 
 
+def vocabulary_path() -> str | None:
+    """The default rank file, if it is here."""
+    return mix.VOCABULARY if Path(mix.VOCABULARY).exists() else None
+
+
 def _mix(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, dict[str, mix.Plan]]:
     targets = mix.read_targets(read(spark, sf_dir, "mix_target"), "doc_source", "target_share", "max_repeats")
     return mix.mix(read(spark, sf_dir, "documents"), "doc_id", "text", "source", targets)

@@ -80,7 +80,10 @@ def depths(gap: np.ndarray, start: np.ndarray, hashes: np.ndarray) -> np.ndarray
     right = total[np.minimum(at + BLOCK, len(gap) + 1)] - total[at]
     norm = np.sqrt(np.einsum("ij,ij->i", left, left) * np.einsum("ij,ij->i", right, right))
     like = np.einsum("ij,ij->i", left, right) / np.maximum(norm, 1e-9)
-    return _peaks(like) + _peaks(like[::-1])[::-1] - 2 * like
+    # peaks are sought on the smoothed curve, so that noise on a slope does not end the climb
+    padded = np.concatenate((like[:1], like, like[-1:]))
+    smooth = (padded[:-2] + 2 * padded[1:-1] + padded[2:]) / 4
+    return _peaks(smooth) + _peaks(smooth[::-1])[::-1] - 2 * like
 
 
 def _peaks(like: np.ndarray) -> np.ndarray:
