@@ -286,7 +286,9 @@ def style_scores_of(df: DataFrame, key: str, text: str) -> DataFrame:
     raw = (0.42 - F.col("cv")) * 0.9 + F.col("transitions") * 0.06 + repeated * 0.35
     c = c.withColumn("score", round_half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), raw))))
     label = F.when(F.col("words") < 40, "insufficient_text").when(F.col("score") >= 0.62, "likely_ai").when(F.col("score") >= 0.42, "uncertain").otherwise("likely_human")
-    return c.select(key, F.when(F.col("words") < 40, 0.0).otherwise(F.col("score")).alias("score"), label.alias("label"))
+    # generated rows keep later filters from being pushed into the score, which would be computed for them again
+    row = F.struct(F.when(F.col("words") < 40, 0.0).otherwise(F.col("score")).alias("score"), label.alias("label"))
+    return c.select(key, F.explode(F.array(row)).alias("r")).select(key, "r.score", "r.label")
 
 
 _STYLE = (
