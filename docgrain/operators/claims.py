@@ -20,7 +20,7 @@ FACTUAL = (
     r"\b(is associated with|are associated with|correlates? with|causes?|predicts?|leads? to|results? in)\b",
     r"\b(requires?|contains?|consists? of|depends? on|uses?|relies? on)\b",
     r"\b(has been|have been|is widely|are widely|is commonly|are commonly)\b",
-    r"\b\d+(?:\.\d+)?\s*(%|percent|participants|patients|samples|documents|examples)\b",
+    r"(?:^|[^A-Za-z0-9_])\d+(?:\.\d+)?\s*(%|percent|participants|patients|samples|documents|examples)\b",
     r"\b(prior work|previous studies|researchers|studies|evidence)\b",
 )
 METHOD = (
@@ -40,7 +40,8 @@ DEFINITION = (
     r"\b(is an?|are)\s+[a-z -]{0,80}\b(concept|method|architecture|technique|field|approach|model|framework)\b",
     r"\b(can be understood as|is known as|are known as)\b",
 )
-NUMBER = r"\b\d+(?:\.\d+)?\b"
+#: Word boundaries before and after the number by ASCII classes, as engines differ on letters beyond.
+NUMBER = r"(?:^|[^A-Za-z0-9_])\d+(?:\.\d+)?(?:[^A-Za-z0-9_]|$)"
 FIRST_PERSON = r"\b(we|our|this study|this project|in this work)\b"
 OWN_WORK = r"\b(we|our|this study|this project|the notebook)\b"
 ABSOLUTE = r"\b(all|always|never|causes?|eliminates?|proves?|\d+(?:\.\d+)?%)\b"
