@@ -20,7 +20,7 @@ FACTUAL = (
     r"\b(is associated with|are associated with|correlates? with|causes?|predicts?|leads? to|results? in)\b",
     r"\b(requires?|contains?|consists? of|depends? on|uses?|relies? on)\b",
     r"\b(has been|have been|is widely|are widely|is commonly|are commonly)\b",
-    r"(?:^|[^A-Za-z0-9_])\d+(?:\.\d+)?\s*(%|percent|participants|patients|samples|documents|examples)\b",
+    r"(?:^|[^A-Za-z0-9_])\d+(?:\.\d+)?\s*(?:%[A-Za-z0-9_]|(?:percent|participants|patients|samples|documents|examples)(?:[^A-Za-z0-9_]|$))",
     r"\b(prior work|previous studies|researchers|studies|evidence)\b",
 )
 METHOD = (

@@ -14,7 +14,7 @@ def value(spark, column, text):
 
 def test_sentences(spark):
     text = "2 Methods\nWe use it, e.g. here. See Fig. 3 now. \"Yes.\" It holds [1].  Next one!"
-    assert value(spark, t.sentences, text) == ["2 Methods.", "We use it, e.g. here.", "See Fig. 3 now.", '"Yes." It holds [1].', "Next one!"]
+    assert value(spark, t.sentences, text) == ["2 Methods.", "We use it, e.g. here.", 'See Fig. 3 now. "Yes." It holds [1].', "Next one!"]
     assert value(spark, t.sentences, "") == []
     assert value(spark, t.sentences, None) is None
 
