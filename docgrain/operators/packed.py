@@ -53,12 +53,12 @@ class Bytes:
         self.row = np.repeat(np.arange(n), np.diff(self.offsets))
 
     def shifted(self, by: int) -> np.ndarray:
-        """The byte ``by`` places on, 0 beyond the batch (rows are not told apart)."""
+        """The byte ``by`` places on in the same row, 0 beyond the row."""
         out = np.zeros_like(self.data)
         if by > 0:
-            out[:-by] = self.data[by:]
+            out[:-by] = np.where(self.row[by:] == self.row[:-by], self.data[by:], 0)
         elif by < 0:
-            out[-by:] = self.data[:by]
+            out[-by:] = np.where(self.row[-by:] == self.row[:by], self.data[:by], 0)
         else:
             out[:] = self.data
         return out
