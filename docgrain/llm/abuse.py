@@ -112,6 +112,7 @@ class Index:
     """Terms and blocked postings of the labelled examples; ``weigh`` sets the weights once frequencies are known."""
 
     def __init__(self) -> None:
+        self.known: tuple[int, int] | None = None
         texts = examples()
         self.texts = [t for t, _ in texts]
         self.labels = np.array([y for _, y in texts])
@@ -144,6 +145,11 @@ class Index:
         return out
 
     def weigh(self, df: np.ndarray, docs: int) -> None:
+        """Sets all weights; a Python worker that runs several tasks does so once."""
+        known = (docs, hash(df.tobytes()))
+        if self.known == known:
+            return
+        self.known = known
         self.idf = np.log((docs + 1) / (df + 1)) + 1
         # pairs carry less than words: they repeat what their words say
         self.weight = np.where(self.is_word, self.idf, 0.5 * self.idf).astype(np.float32)
