@@ -12,6 +12,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from docgrain.session import spread
+
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[A-Z0-9\[])|(?<=;)\s+(?=[A-Z0-9])")
 _STYLE = re.compile(r"(?<=[.!?])\s+")
 SEPARATORS = ("\n\n", "\n", ". ", " ")
@@ -125,4 +127,4 @@ def chunked(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]])
             yield pd.DataFrame(rows, columns=["k", "chunk_no", "chunk"])
 
     narrow = df.select(F.col(key).cast("bigint").alias("k"), F.col(text).cast("string").alias("t")).where("t is not null")
-    return narrow.mapInPandas(run, "k bigint, chunk_no int, chunk string").withColumnRenamed("k", key)
+    return spread(narrow).mapInPandas(run, "k bigint, chunk_no int, chunk string").withColumnRenamed("k", key)

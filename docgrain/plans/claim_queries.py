@@ -221,7 +221,7 @@ _INV = (
 def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(q, p, score) of benchmark claims and overlapping word chunks of all documents that share a token, by partial
     sums over an inverted list: cosine, containment and Jaccard terms without looking at a pair's texts."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.fixed_word_chunks(F.col("text"), 95, 20)).alias("pos", "chunk"))
+    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.posexplode(t.fixed_word_chunks(F.col("text"), 95, 20)).alias("pos", "chunk"))
     counted = lambda df, key: df.groupBy(key, "w").agg(F.count("*").alias("n"))
     p = counted(d.select((F.col("doc_id") * 10000 + F.col("pos")).alias("p"), F.explode(t.tokens(F.col("chunk"))).alias("w")), "p")
     q = counted(read(spark, sf_dir, "claimguard_benchmark").select(F.col("case_id").alias("q"), F.explode(t.tokens(F.col("claim"))).alias("w")), "q")

@@ -65,12 +65,12 @@ def _exploded(df: DataFrame, key: str, values: F.Column, name: str) -> DataFrame
 
 @query(_listed("documents", "doc_id", _sql_sentences("text"), "sentence"))
 def sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(read(spark, sf_dir, "documents"), "doc_id", t.sentences(F.col("text")), "sentence")
+    return _exploded(read(spark, sf_dir, "documents", wide=True), "doc_id", t.sentences(F.col("text")), "sentence")
 
 
 @query(_listed("documents", "doc_id", sql_parts(r"regexp_replace(text, '([.!?])\s+', '\1' || chr(1), 'g')"), "sentence"))
 def style_sentence_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(read(spark, sf_dir, "documents"), "doc_id", t.style_sentences(F.col("text")), "sentence")
+    return _exploded(read(spark, sf_dir, "documents", wide=True), "doc_id", t.style_sentences(F.col("text")), "sentence")
 
 
 @query(_listed("claim", "claim_id", sql_parts(r"regexp_replace(regexp_replace(sentence, '([.!?])\s+([A-Z0-9\[])', '\1' || chr(1) || '\2', 'g'), '(;)\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g')"), "sentence"))
@@ -83,12 +83,12 @@ _COLLAPSE = r"trim(regexp_replace(p, '\s+', ' ', 'g'))"
 
 @query(_listed("documents", "doc_id", rf"[{_COLLAPSE} for p in string_split(regexp_replace(regexp_replace(text, '\n\s*\n', chr(1), 'g'), '(\.)\s*\n', '\1' || chr(1), 'g'), chr(1)) if {_COLLAPSE} <> '']", "paragraph"))
 def evidence_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(read(spark, sf_dir, "documents"), "doc_id", t.evidence_paragraphs(F.col("text")), "paragraph")
+    return _exploded(read(spark, sf_dir, "documents", wide=True), "doc_id", t.evidence_paragraphs(F.col("text")), "paragraph")
 
 
 @query(_listed("documents", "doc_id", rf"[{_COLLAPSE} for p in string_split(regexp_replace(text, '\n\s*\n', chr(1), 'g'), chr(1)) if {_COLLAPSE} <> '']", "paragraph"))
 def style_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(read(spark, sf_dir, "documents"), "doc_id", t.style_paragraphs(F.col("text")), "paragraph")
+    return _exploded(read(spark, sf_dir, "documents", wide=True), "doc_id", t.style_paragraphs(F.col("text")), "paragraph")
 
 
 _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
@@ -99,12 +99,12 @@ _STRIP = r"regexp_replace({}, '^\s+|\s+$', '', 'g')"
        f" coalesce({_STRIP.format('substr([p for p in parts[2:] if p[1] = $$R$$][-1], 2)')}, '') AS references_text,"
        f" coalesce({_STRIP.format('substr([p for p in parts[2:] if p[1] = $$E$$][-1], 2)')}, '') AS evidence_text FROM m")
 def section_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", t.sections(F.col("text")).alias("s")).select("doc_id", "s.*")
+    return read(spark, sf_dir, "documents", wide=True).select("doc_id", t.sections(F.col("text")).alias("s")).select("doc_id", "s.*")
 
 
 @query(f"WITH k AS (SELECT doc_id, {sql_tokens('text')} AS v FROM documents) SELECT doc_id, len(v) AS tokens, len(list_distinct(v)) AS distinct_tokens, coalesce(list_max([length(x) for x in v]), 0) AS longest FROM k")
 def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents").select("doc_id", t.tokens(F.col("text")).alias("v"))
+    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", t.tokens(F.col("text")).alias("v"))
     return d.select("doc_id", F.size("v").alias("tokens"), F.size(F.array_distinct("v")).alias("distinct_tokens"), F.coalesce(F.array_max(F.transform("v", F.length)), F.lit(0)).alias("longest"))
 
 
@@ -115,7 +115,7 @@ _VOCAB = f"k AS (SELECT doc_id, unnest({_REVIEW}) AS token, unnest(range(len({_R
 def vocabulary(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
     """(token, cnt, token_id): the most frequent tokens, ids from 2; counted partially before the shuffle, cut to
     ``size`` by a top-k before they are numbered."""
-    listed = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(t.review_tokens(F.col("text"))).alias("pos", "token"))
+    listed = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.posexplode(t.review_tokens(F.col("text"))).alias("pos", "token"))
     counted = listed.groupBy("token").agg(F.count("*").alias("cnt"), F.min(F.struct("doc_id", "pos")).alias("f")).where("cnt >= 2")
     top = counted.orderBy(F.desc("cnt"), "f").limit(size - 2)
     return top.select("token", "cnt", (F.row_number().over(W.orderBy(F.desc("cnt"), "f")) + 1).alias("token_id"))
@@ -130,7 +130,7 @@ def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
        " SELECT d.doc_id, array_to_string(list_resize(coalesce(ids, []), 16, 0), ' ') AS encoded FROM documents d LEFT JOIN e USING (doc_id)")
 def encode_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first 16 tokens as vocabulary ids, 1 for unknown ones, padded with 0. The vocabulary has at most 998 rows."""
-    d = read(spark, sf_dir, "documents").select("doc_id", F.slice(t.review_tokens(F.col("text")), 1, 16).alias("v"))
+    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.slice(t.review_tokens(F.col("text")), 1, 16).alias("v"))
     ids = d.select("doc_id", F.posexplode("v").alias("pos", "token")).join(F.broadcast(vocabulary(spark, sf_dir).select("token", "token_id")), "token", "left")
     lists = ids.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))).alias("l"))
     padded = F.slice(F.concat(F.coalesce(F.transform("l", lambda s: s["id"]), F.array().cast("array<int>")), F.array_repeat(F.lit(0), 16)), 1, 16)
@@ -142,18 +142,18 @@ _WORDS = r"[w for w in regexp_split_to_array(text, '\s+') if w <> '']"
 
 @query(f"WITH d AS (SELECT doc_id, {_WORDS} AS w FROM documents), s AS (SELECT doc_id, w, unnest(range(0, len(w), 75)) AS k FROM d) SELECT doc_id, CAST(k / 75 AS INTEGER) AS pos, array_to_string(w[k + 1 : k + 95], ' ') AS chunk FROM s")
 def chunk_words_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(read(spark, sf_dir, "documents"), "doc_id", t.fixed_word_chunks(F.col("text"), 95, 20), "chunk")
+    return _exploded(read(spark, sf_dir, "documents", wide=True), "doc_id", t.fixed_word_chunks(F.col("text"), 95, 20), "chunk")
 
 
 @query(rf"WITH s AS (SELECT doc_id, text, unnest(range(0, length(text), 448)) AS k FROM documents WHERE length(text) > 0), c AS (SELECT doc_id, k, {_STRIP.format('substr(text, k + 1, 512)')} AS chunk FROM s) SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS pos, chunk FROM c WHERE chunk <> ''")
 def chunk_chars_fixed(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return _exploded(read(spark, sf_dir, "documents"), "doc_id", t.fixed_char_chunks(F.col("text"), 512, 64), "chunk")
+    return _exploded(read(spark, sf_dir, "documents", wide=True), "doc_id", t.fixed_char_chunks(F.col("text"), 512, 64), "chunk")
 
 
 @query(f"SELECT lang, count(*) AS chunks, {r3('avg(CAST(length(chunk) AS DOUBLE))', 1)} AS mean_chars FROM (SELECT lang, unnest([{_STRIP.format('substr(text, k + 1, 512)')} for k in range(0, length(text), 448) if {_STRIP.format('substr(text, k + 1, 512)')} <> '']) AS chunk FROM documents) GROUP BY lang")
 def chunk_profile(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Number and mean length of chunks per language."""
-    c = read(spark, sf_dir, "documents").select("lang", F.explode(t.fixed_char_chunks(F.col("text"), 512, 64)).alias("chunk"))
+    c = read(spark, sf_dir, "documents", wide=True).select("lang", F.explode(t.fixed_char_chunks(F.col("text"), 512, 64)).alias("chunk"))
     return c.groupBy("lang").agg(F.count("*").alias("chunks"), round_half_up(F.avg(F.length("chunk").cast("double")), 1).alias("mean_chars"))
 
 
@@ -164,7 +164,7 @@ _LINES = r"l AS (SELECT report, doc_id, pos, trim(regexp_replace(line, '\s+', '
 @query(f"WITH {_LINES} SELECT l.doc_id, l.pos, l.line FROM l WHERE line <> '' AND NOT EXISTS (SELECT 1 FROM rep WHERE rep.report = l.report AND rep.line = l.line)")
 def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of a report's documents without those that recur on half of them (running heads): counts, then an anti join."""
-    d = read(spark, sf_dir, "documents").select("report", "doc_id", "text")
+    d = read(spark, sf_dir, "documents", wide=True).select("report", "doc_id", "text")
     lines = d.select("report", "doc_id", F.posexplode(F.split("text", "\n")).alias("pos", "raw")).select("report", "doc_id", "pos", t.collapse(F.col("raw")).alias("line")).where("line != ''")
     pages = d.groupBy("report").agg(F.count_distinct("doc_id").alias("pages"))
     short = F.col("line").rlike("^[0-9]+$") | (F.size(F.split("line", " ")) <= 12)
@@ -176,7 +176,7 @@ def repeated_line_removal(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(r"WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents) SELECT doc_id, regexp_extract(line, '^\[([^\]]+)\]\s*(.*)$', 1) AS label, regexp_extract(line, '^\[([^\]]+)\]\s*(.*)$', 2) AS body FROM l WHERE regexp_matches(line, '^\[([^\]]+)\]\s*(.*)$')")
 def evidence_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
     line, p = F.col("line"), r"^\[([^\]]+)\]\s*(.*)$"
-    lines = read(spark, sf_dir, "documents").select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.trim("l").alias("line"))
+    lines = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.explode(F.split("text", "\n")).alias("l")).select("doc_id", F.trim("l").alias("line"))
     return lines.where(line.rlike(p)).select("doc_id", F.regexp_extract(line, p, 1).alias("label"), F.regexp_extract(line, p, 2).alias("body"))
 
 
@@ -243,14 +243,14 @@ def tri_state_booleans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT doc_id, sha256(text) AS digest FROM documents")
 def text_digest(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("digest"))
+    return read(spark, sf_dir, "documents", wide=True).select("doc_id", F.sha2("text", 256).alias("digest"))
 
 
 @query("WITH v AS (SELECT doc_id, regexp_extract(text, '\"status\": \"([a-z_]+)\"', 1) AS status, regexp_extract(text, '\"confidence\": ([0-9.]+)', 1) AS c FROM documents WHERE text LIKE '%\"status\"%')"
        f" SELECT doc_id, status, {r3('least(1e0, greatest(0e0, CAST(c AS DOUBLE)))')} AS confidence FROM v WHERE status IN ('supported', 'partially_supported', 'not_supported', 'contradicted', 'insufficient_evidence') AND c <> ''")
 def verdict_parse(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Verdicts written as JSON inside running text: status of the fixed domain, confidence clamped."""
-    d = read(spark, sf_dir, "documents").where(F.col("text").contains('"status"'))
+    d = read(spark, sf_dir, "documents", wide=True).where(F.col("text").contains('"status"'))
     v = d.select("doc_id", F.regexp_extract("text", '"status": "([a-z_]+)"', 1).alias("status"), F.regexp_extract("text", '"confidence": ([0-9.]+)', 1).try_cast("double").alias("c"))
     known = F.col("status").isin("supported", "partially_supported", "not_supported", "contradicted", "insufficient_evidence")
     return v.where(known & F.col("c").isNotNull()).select("doc_id", "status", round_half_up(F.least(F.lit(1.0), F.greatest(F.lit(0.0), "c"))).alias("confidence"))
@@ -301,16 +301,16 @@ _STYLE = (
 
 @query(f"WITH {_STYLE} SELECT doc_id, score, label FROM styled")
 def style_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return style_scores_of(read(spark, sf_dir, "documents"), "doc_id", "text")
+    return style_scores_of(read(spark, sf_dir, "documents", wide=True), "doc_id", "text")
 
 
 @query(f"WITH {_STYLE} SELECT source, label, count(*) AS cnt FROM styled GROUP BY 1, 2")
 def style_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
-    d = read(spark, sf_dir, "documents")
+    d = read(spark, sf_dir, "documents", wide=True)
     scored = style_scores_of(d.select(F.struct("doc_id", "source").alias("k"), "text"), "k", "text")
     return scored.groupBy("k.source", "label").agg(F.count("*").alias("cnt"))
 
 
 @query(f"SELECT source, {r3('CAST(count(*) FILTER (text LIKE $$%al.%$$) AS DOUBLE) / count(*)')} AS with_authors FROM documents GROUP BY source")
 def citation_share(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "documents").groupBy("source").agg(ratio(F.count_if(F.col("text").contains("al.")), F.count("*")).alias("with_authors"))
+    return read(spark, sf_dir, "documents", wide=True).groupBy("source").agg(ratio(F.count_if(F.col("text").contains("al.")), F.count("*")).alias("with_authors"))

@@ -45,9 +45,10 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    """One of the driver's tables."""
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
+def read(spark: SparkSession, sf_dir: str, table: str, wide: bool = False) -> DataFrame:
+    """One of the driver's tables; ``wide`` spreads it over all cores for costly work a row."""
+    df = spark.read.parquet(f"{sf_dir}/{table}.parquet")
+    return spread(df) if wide else df
 
 
 def spread(df: DataFrame) -> DataFrame:
