@@ -6,6 +6,8 @@ arrays are built. Sentinels stand for cut points: \\x01 and \\x02 never occur in
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -24,6 +26,11 @@ DOI = r"(?i)(?:doi\s*:\s*|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/[-._;()/:A-Z
 CUT = "\x01"
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """``body`` of ``value`` evaluated once: inside another lambda an expression would be evaluated for every element."""
+    return F.transform(F.array(value), lambda v: body(v))[0]
+
+
 def non_empty(parts: Column) -> Column:
     return F.filter(F.transform(parts, lambda p: F.trim(p)), lambda p: p != "")
 
@@ -65,16 +72,16 @@ def review_tokens(text: Column) -> Column:
 
 
 def bigrams(toks: Column) -> Column:
-    n = F.size(toks)
-    pairs = F.transform(F.sequence(F.lit(1), n - 1), lambda k: F.concat_ws(" ", F.element_at(toks, k), F.element_at(toks, k + 1)))
-    return F.when(n > 1, F.array_distinct(pairs)).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    pairs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - 1), lambda k: F.concat_ws(" ", F.element_at(v, k), F.element_at(v, k + 1)))
+    return let(toks, lambda v: F.when(F.size(v) > 1, F.array_distinct(pairs(v))).otherwise(empty))
 
 
 def phrases(toks: Column, size: int) -> Column:
     """All runs of ``size`` tokens, joined by blanks."""
-    n = F.size(toks)
-    runs = F.transform(F.sequence(F.lit(1), n - size + 1), lambda k: F.array_join(F.slice(toks, k, size), " "))
-    return F.when(n >= size, runs).otherwise(F.array().cast("array<string>"))
+    empty = F.array().cast("array<string>")
+    runs = lambda v: F.transform(F.sequence(F.lit(1), F.size(v) - size + 1), lambda k: F.array_join(F.slice(v, k, size), " "))
+    return let(toks, lambda v: F.when(F.size(v) >= size, runs(v)).otherwise(empty))
 
 
 def sentences(text: Column) -> Column:
@@ -149,10 +156,10 @@ def boolean(text: Column) -> Column:
 
 def fixed_word_chunks(text: Column, size: int, overlap: int) -> Column:
     """Chunks of ``size`` words, each starting size - overlap words after the last; the tail may lie in its forerunner."""
-    w = words(text)
     stride = max(1, size - overlap)
-    starts = F.when(F.size(w) > 0, F.sequence(F.lit(1), F.size(w), F.lit(stride))).otherwise(F.array().cast("array<int>"))
-    return F.transform(starts, lambda k: F.array_join(F.slice(w, k, size), " "))
+    empty = F.array().cast("array<string>")
+    cut = lambda w: F.transform(F.sequence(F.lit(1), F.size(w), F.lit(stride)), lambda k: F.array_join(F.slice(w, k, size), " "))
+    return let(words(text), lambda w: F.when(F.size(w) > 0, cut(w)).otherwise(empty))
 
 
 def fixed_char_chunks(text: Column, size: int, overlap: int) -> Column:
