@@ -27,6 +27,7 @@ from pyspark.sql import functions as F
 from docgrain.llm.abuse_examples import ABUSIVE, SLOTS, examples
 from docgrain.llm.leak import pieces
 from docgrain.llm.tokens import Words, words
+from docgrain.session import spread
 
 BLOCK = 32
 #: Cosines below are no neighbours; so many neighbours vote; the weight of a vote is the cosine to this power.
@@ -276,7 +277,7 @@ def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]
         yield pa.RecordBatch.from_arrays([pa.array(np.append(at, -1)), pa.array(np.append(count[at], seen))], names=["term", "n"])
 
     texts = docs.select(F.col(column).cast("string").alias("t")).where("t is not null")
-    counts = texts.mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
+    counts = spread(texts).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
     df, seen = np.zeros(len(index().terms), np.int64), 0
     for r in counts:
         if r.term < 0:
@@ -326,7 +327,7 @@ def score_documents(docs: DataFrame, key: str, column: str, carry: tuple[str, ..
 
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), *[F.col(c).cast("string").alias(c) for c in carry], F.col(column).cast("string").alias("__text"))
     schema = ", ".join(["doc_id bigint", *[f"`{c}` string" for c in carry], "score double, evidence string, nearest string"])
-    return narrow.mapInArrow(run, schema)
+    return spread(narrow).mapInArrow(run, schema)
 
 
 def rates(scored: DataFrame, group: str, threshold: float = THRESHOLD) -> DataFrame:

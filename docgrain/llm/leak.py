@@ -25,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from docgrain.llm.tokens import words
+from docgrain.session import spread
 
 MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 #: For items whose half is shorter than seven words.
@@ -163,7 +164,7 @@ def leaked(docs: DataFrame, doc_key: str, doc_text: str, items: DataFrame, item_
                     found = sorted((item, chunk[row][0]) for row, item in seeds_of.matches([t for _, t in chunk]))
                     yield pa.RecordBatch.from_pandas(pd.DataFrame(found, columns=["item", "doc"], dtype="int64"), preserve_index=False)
 
-        one = narrow.mapInArrow(run, "item bigint, doc bigint")
+        one = spread(narrow).mapInArrow(run, "item bigint, doc bigint")
         result = one if result is None else result.unionByName(one)
     if result is None:
         return narrow.sparkSession.createDataFrame([], "item bigint, doc bigint")

@@ -27,7 +27,7 @@ import tiktoken
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.session import materialize
+from docgrain.session import materialize, spread
 
 #: A rank file of byte-level BPE; a path that every executor can read.
 VOCABULARY = "/opt/tokenizers/byte_bpe_multi_50k.tiktoken"
@@ -56,7 +56,7 @@ def count_tokens(docs: DataFrame, key: str, column: str, source: str, vocabulary
 
     h = F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col(key), F.col(column)), 64 - BITS)
     narrow = docs.select(F.col(key).cast("bigint").alias("doc_id"), F.col(source).cast("string").alias("source"), h.alias("h"), F.col(column).cast("string").alias("t"))
-    return narrow.mapInArrow(run, "doc_id bigint, source string, h bigint, n_tokens bigint")
+    return spread(narrow).mapInArrow(run, "doc_id bigint, source string, h bigint, n_tokens bigint")
 
 
 @dataclass

@@ -22,6 +22,7 @@ from pyspark.sql import functions as F
 
 from docgrain.llm.leak import pieces as chunked
 from docgrain.llm.tokens import SINGLE, table, words
+from docgrain.session import spread
 
 LIMIT, OVERLAP = 1800, 150
 #: A piece is at least this part of the limit, so that a deep valley near its start can't make tiny pieces.
@@ -156,4 +157,4 @@ def split_oversized(df: DataFrame, key: str, column: str, limit: int = LIMIT, ov
 
     schema = "doc_id bigint, piece_no int, start_char int, n_chars int" + (", piece string" if with_text else "")
     narrow = df.select(F.col(key).cast("bigint").alias("k"), F.col(column).cast("string").alias("t"))
-    return narrow.where(F.length("t") > limit).mapInArrow(run, schema)
+    return spread(narrow.where(F.length("t") > limit)).mapInArrow(run, schema)
