@@ -37,6 +37,8 @@ from docgrain.session import materialize, spread
 #: Weights of the rules, step size and rounds of the alternation.
 WEIGHTS = {"title": 3.0, "authors": 4.0, "year": 1.0, "venue": 0.5, "score": 0.2, "alone_year": 2.0, "alone_venue": 1.5, "kind": 20.0, "exclusive": 3.0, "transitive": 2.0, "same": 3.0}
 RHO, ROUNDS, CONFIDENT = 2.0, 12, 0.5
+#: Signs of a part of a word that blocks.
+GRAM = 4
 
 _ALIKE = str.maketrans(dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)))
 # Words that say nothing of a title's topic.
@@ -44,6 +46,7 @@ _SMALL = frozenset("a an the of in on for and with to from by at as is are how w
 _KIND = re.compile(r"^\W*(erratum|corrigendum|correction|comments?\s+on|reply\s+to|response\s+to|retraction\s+(?:of|note)|addendum)\b\W*", re.I)
 _PART = re.compile(r"\W+(?:part|pt|teil|partie|parte)\.?\s*(i{1,3}|iv|vi{0,3}|ix|x|\d+)\W*$", re.I)
 _TAIL = re.compile(r"(?:\s*[\[(](?:online|electronic resource|preprint|pdf|internet)[\])]|[\s.,;:]+(?:preprint|online|in\s+proc(?:\.|eedings\b).{0,60}))\W*$", re.I)
+_CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 
 
@@ -84,7 +87,7 @@ def title_like(a: list[str], b: list[str]) -> float:
     if a == b:
         return 1.0
     n, m = len(a), len(b)
-    if not n or not m or abs(n - m) > 6 or 2 * len(set(a) & set(b)) < min(n, m):
+    if not n or not m or abs(n - m) > 6 or min(n, m) > 2 and 2 * len(set(a) & set(b)) < min(n, m):
         return 0.0  # with fewer equal words the slips alone cost more than is allowed
     big = 9.0
     before = [0.0] + [0.25 if j == 1 else big for j in range(1, m + 1)]
@@ -147,10 +150,12 @@ PROFILE = "kind string, part int, words array<string>, years array<int>, venue s
 def _keys(words: list[str], people: list[str], years: list[int], reference: bool) -> list[str]:
     """Blocking keys: all content words; a part of the title with a surname, or, where one side names nobody, with the
     year (years side by side meet, an unknown year meets all). Parts are all words but one, without order, two
-    neighbouring words, and, beside a year, the first and the last four."""
+    neighbouring words, and, beside a year, the first and the last four. One or two words have no such parts and a run
+    of CJK signs is one word: their parts are each word and its runs of four signs."""
     own = content(words)
     bag = sorted(own)
-    but_one = {"-" + " ".join(bag[:k] + bag[k + 1 :]) for k in range(len(bag))} if len(bag) > 2 else set()
+    but_one = {"-" + " ".join(bag[:k] + bag[k + 1 :]) for k in range(len(bag))} if len(bag) > 1 else set()
+    but_one |= {"~" + w[k : k + GRAM] for w in own if len(bag) < 3 or _CJK.match(w) for k in range(max(1, len(w) - GRAM + 1))}
     pairs = {" ".join(own[k : k + 2]) for k in range(len(own) - 1)}
     out = {"t|" + " ".join(bag)} | {f"a|{p}|{part}" for p in people for part in but_one | pairs}
     ends = {" ".join(own[:4]) + "^", "^" + " ".join(own[-4:])} if len(own) > 4 else set()

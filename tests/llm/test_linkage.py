@@ -87,3 +87,13 @@ def test_confidence_falls_with_the_evidence(spark):
     got = linked(spark, [whole, cut], [(100, T, 2011, "Long, Ada", None, 0.9)])
     assert got[1, 100] > got[2, 100] >= 0.5
     assert F.lit(1) is not None
+
+
+def test_short_titles_and_cjk_runs_meet_despite_a_slip(spark):
+    title = "Scheividaxを用いた文単位の根拠検索"
+    refs = [
+        (1, title.replace("Schei", "Scehi"), 2007, ["Bo Daunnak"], None, None), (2, title.replace("単位", "位単"), None, ["Bo Daunnak"], None, None),
+        (3, title.replace("Schei", "Scehi").replace("単位", "位単"), 2007, None, None, None), (4, "Transprency", 2007, ["Bo Daunnak"], None, None), (5, title.replace("Scheividax", "Feinimon"), 2007, ["Bo Daunnak"], None, None),
+    ]
+    recs = [(100, title, 2007, "Daunnak, Bo", None, 0.9), (101, "Transparency", 2007, "Daunnak, Bo", None, 0.9)]
+    assert set(linked(spark, refs, recs)) == {(1, 100), (2, 100), (3, 100), (4, 101)}
