@@ -37,6 +37,8 @@ from docgrain.session import materialize, spread
 #: Weights of the rules, step size and rounds of the alternation.
 WEIGHTS = {"title": 3.0, "authors": 4.0, "year": 1.0, "venue": 0.5, "score": 0.2, "alone_year": 2.0, "alone_venue": 1.5, "kind": 20.0, "exclusive": 3.0, "transitive": 2.0, "same": 3.0}
 RHO, ROUNDS, CONFIDENT = 2.0, 12, 0.5
+#: Most that a title's cut end costs.
+CUT = 0.35
 #: Signs of a part of a word that blocks.
 GRAM = 4
 
@@ -87,7 +89,7 @@ def title_like(a: list[str], b: list[str]) -> float:
     if a == b:
         return 1.0
     n, m = len(a), len(b)
-    if not n or not m or abs(n - m) > 6 or min(n, m) > 2 and 2 * len(set(a) & set(b)) < min(n, m):
+    if not n or not m or min(n, m) > 2 and 2 * len(set(a) & set(b)) < min(n, m):
         return 0.0  # with fewer equal words the slips alone cost more than is allowed
     big = 9.0
     before = [0.0] + [0.25 if j == 1 else big for j in range(1, m + 1)]
@@ -109,13 +111,13 @@ def title_like(a: list[str], b: list[str]) -> float:
         before = row
         if i == n:
             last = row
-    # a cut end: the longer title's further words cost little
+    # a cut end: the longer title's further words cost little, however many they are
     ends = last[m]
     short = min(n, m)
     if m > n:
-        ends = min(ends, *[last[j] + 0.07 * (m - j) for j in range(max(1, m - 5), m)]) if n >= 4 else ends
+        ends = min(ends, *[last[j] + min(CUT, 0.07 * (m - j)) for j in range(1, m)]) if n >= 4 else ends
     elif n > m and m >= 4:
-        ends = min(ends, *[_tail(a[:i], b) + 0.07 * (n - i) for i in range(max(1, n - 5), n)])
+        ends = min(ends, *[_tail(a[:i], b) + min(CUT, 0.07 * (n - i)) for i in range(m - 1, min(n, m + 2))])
     return max(0.0, 1.0 - ends * (1.0 if short > 3 else 1.5))
 
 

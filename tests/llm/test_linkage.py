@@ -97,3 +97,13 @@ def test_short_titles_and_cjk_runs_meet_despite_a_slip(spark):
     ]
     recs = [(100, title, 2007, "Daunnak, Bo", None, 0.9), (101, "Transparency", 2007, "Daunnak, Bo", None, 0.9)]
     assert set(linked(spark, refs, recs)) == {(1, 100), (2, 100), (3, 100), (4, 101)}
+
+
+def test_a_cut_end_may_be_of_any_length(spark):
+    title = "Adversarial Difference Maps Revisited: Peer Review Triage on Legal Transcripts of Courts in Nine Countries"
+    refs = [(1, title.split(":")[0], 2006, ["Bo Boreiten", "Al Momollul"], None, None), (2, title.split(":")[0], 2006, ["Cy Dee"], None, None)]
+    recs = [(100, title, 2006, "Boreiten, Bo; Momollul, Al", None, 0.9)]
+    assert set(linked(spark, refs, recs)) == {(1, 100)}
+    assert set(linked(spark, [(1, title, *refs[0][2:])], [(100, title.split(":")[0], *recs[0][2:])])) == {(1, 100)}
+    words = k.title_parts(title)[2]
+    assert k.title_like(words[:4], words) == k.title_like(words, words[:4]) >= 0.6
