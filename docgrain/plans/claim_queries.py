@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as t
 from docgrain.functions.numbers import r3, ratio, round_half_up
-from docgrain.operators import claims, dense, retrieval, tables
+from docgrain.operators import citations, claims, dense, retrieval, tables
 from docgrain.operators import evaluation as ev
 from docgrain.plans.text_queries import rx, sql_parts, sql_tokens
 from docgrain.session import read
@@ -106,12 +106,26 @@ _NUMS = (
 )
 
 
+def _markers(raw: F.Column) -> F.Column:
+    """Numbers written in a text and those inside its ranges; ranges of more than LONGEST_RANGE give their ends."""
+    written = lambda s: F.regexp_extract_all(s, F.lit("[0-9]+"), F.lit(0))
+
+    def inside(span: F.Column) -> F.Column:
+        a, z = F.element_at(written(span), 1).try_cast("bigint"), F.element_at(written(span), 2).try_cast("bigint")
+        short = (a <= z) & (z - a <= citations.LONGEST_RANGE)
+        return F.when(short, F.sequence(a, F.greatest(a, z)).cast("array<string>")).otherwise(F.array().cast("array<string>"))
+
+    spans = F.regexp_extract_all(raw, F.lit(r"[0-9]+\s*[-–—]\s*[0-9]+"), F.lit(0))
+    return F.array_distinct(F.concat(written(raw), F.flatten(F.transform(spans, inside))))
+
+
 @query(f"WITH {_NUMS} SELECT n.citation_id, n.marker, max(r.ref_id) AS ref_id FROM nums n JOIN refs r ON r.document = n.document AND r.reference_index = n.marker GROUP BY 1, 2")
 def citation_resolve_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric markers joined to the reference with that index in the same report; of equal indices the last wins.
+    The numbers inside a range are markers too; the SQL knows only the written ones.
 
     References are reduced to one per (report, index) before the join, so a hot report joins single rows."""
-    c = read(spark, sf_dir, "citation").where("citation_type = 'numeric'").select("citation_id", "document", F.explode(F.regexp_extract_all("raw_text", F.lit("[0-9]+"), F.lit(0))).alias("marker")).distinct()
+    c = read(spark, sf_dir, "citation").where("citation_type = 'numeric'").select("citation_id", "document", F.explode(_markers(F.col("raw_text"))).alias("marker")).distinct()
     refs = read(spark, sf_dir, "parsed_reference").where("reference_index is not null").groupBy("document", F.col("reference_index").alias("marker")).agg(F.max("ref_id").alias("ref_id"))
     return c.join(refs, ["document", "marker"]).select("citation_id", "marker", "ref_id")
 
