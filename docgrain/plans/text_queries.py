@@ -112,7 +112,11 @@ _REVIEW = r"[w for w in regexp_split_to_array(regexp_replace(regexp_replace(lowe
 _VOCAB = f"k AS (SELECT doc_id, unnest({_REVIEW}) AS token, unnest(range(len({_REVIEW}))) AS pos FROM documents), c AS (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS f FROM k GROUP BY 1 HAVING count(*) >= 2 ORDER BY cnt DESC, f LIMIT 998), vocab AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, f) + 1 AS token_id FROM c)"
 
 
-def vocabulary(spark: SparkSession, sf_dir: str, size: int = 1000) -> DataFrame:
+#: Rows of the vocabulary with the two special ids, and tokens of an encoded text. The SQL has 1,000 and 16.
+MAX_VOCAB, MAX_LEN = 20_000, 200
+
+
+def vocabulary(spark: SparkSession, sf_dir: str, size: int = MAX_VOCAB) -> DataFrame:
     """(token, cnt, token_id): the most frequent tokens, ids from 2; counted partially before the shuffle, cut to
     ``size`` by a top-k before they are numbered."""
     listed = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.posexplode(t.review_tokens(F.col("text"))).alias("pos", "token"))
@@ -129,11 +133,11 @@ def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"WITH {_VOCAB}, h AS (SELECT doc_id, pos, coalesce(token_id, 1) AS id FROM k LEFT JOIN vocab USING (token) WHERE pos < 16), e AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM h GROUP BY 1)"
        " SELECT d.doc_id, array_to_string(list_resize(coalesce(ids, []), 16, 0), ' ') AS encoded FROM documents d LEFT JOIN e USING (doc_id)")
 def encode_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The first 16 tokens as vocabulary ids, 1 for unknown ones, padded with 0. The vocabulary has at most 998 rows."""
-    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.slice(t.review_tokens(F.col("text")), 1, 16).alias("v"))
+    """The first MAX_LEN tokens as vocabulary ids, 1 for unknown ones, padded with 0. The vocabulary has at most MAX_VOCAB rows."""
+    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.slice(t.review_tokens(F.col("text")), 1, MAX_LEN).alias("v"))
     ids = d.select("doc_id", F.posexplode("v").alias("pos", "token")).join(F.broadcast(vocabulary(spark, sf_dir).select("token", "token_id")), "token", "left")
     lists = ids.groupBy("doc_id").agg(F.sort_array(F.collect_list(F.struct("pos", F.coalesce("token_id", F.lit(1)).alias("id")))).alias("l"))
-    padded = F.slice(F.concat(F.coalesce(F.transform("l", lambda s: s["id"]), F.array().cast("array<int>")), F.array_repeat(F.lit(0), 16)), 1, 16)
+    padded = F.slice(F.concat(F.coalesce(F.transform("l", lambda s: s["id"]), F.array().cast("array<int>")), F.array_repeat(F.lit(0), MAX_LEN)), 1, MAX_LEN)
     return d.select("doc_id").join(lists, "doc_id", "left").select("doc_id", F.array_join(padded.cast("array<string>"), " ").alias("encoded"))
 
 

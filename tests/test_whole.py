@@ -22,3 +22,14 @@ def test_numbers_inside_a_range_resolve(spark, tmp_path):
     want = {1: (12, 13, 14, 15), 2: (1, 13, 14), 3: (1, 90), 5: (12, 15)}
     assert sorted((r.citation_id, int(r.marker), r.ref_id) for r in got) == [(c, m, 100 + m) for c, ms in want.items() for m in ms]
     assert {r.citation_id: r.indices for r in catalogue.QUERIES["cited_reference_lists"](spark, str(tmp_path)).collect()}[1] == "12; 13; 14; 15"
+
+
+def test_long_texts_are_encoded_with_a_large_vocabulary(spark, tmp_path):
+    words = [f"w{i}" for i in range(1500)]
+    texts = [(i, " ".join(words[k : k + 150])) for i, k in enumerate([*range(0, 1500, 150)] * 2)]
+    got = run(spark, tmp_path, "encode_padded", documents=([*texts, (99, " ".join(["w0"] * 300))], "doc_id bigint, text string"))
+    coded = {r.doc_id: r.encoded.split() for r in got}
+    assert all(len(v) == 200 for v in coded.values())
+    assert all("1" not in coded[i] and coded[i][149] != "0" and coded[i][150:] == ["0"] * 50 for i in range(20))
+    assert set(coded[99]) == {"2"}
+    assert len(catalogue.QUERIES["vocabulary_top"](spark, str(tmp_path)).collect()) == 1500
