@@ -159,9 +159,13 @@ def strategy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("SELECT document, left(string_agg(sentence, ' ' ORDER BY sentence_index, claim_id), 3500) AS context FROM claim WHERE sentence IS NOT NULL AND sentence_index < 20 GROUP BY document")
 def document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's first sentences joined in order, cut to 3,500 characters."""
-    c = read(spark, sf_dir, "claim").where("sentence is not null and sentence_index < 20")
-    ordered = F.array_sort(F.collect_list(F.struct("sentence_index", "claim_id", "sentence")))
+    """A document's sentences joined in order, cut to 3,500 characters. Only rows that begin before the cut are collected;
+    the SQL also stops at the twentieth sentence."""
+    place = W.partitionBy("document").orderBy(F.asc_nulls_last("sentence_index"), "claim_id")
+    c = read(spark, sf_dir, "claim").where("sentence is not null").select("document", "sentence_index", "claim_id", "sentence")
+    c = c.withColumns({"pos": F.row_number().over(place), "before": F.sum(F.length("sentence") + 1).over(place.rowsBetween(W.unboundedPreceding, -1))})
+    c = c.where("before is null or before < 3500")
+    ordered = F.array_sort(F.collect_list(F.struct("pos", "sentence")))
     return c.groupBy("document").agg(F.left(F.array_join(F.transform(ordered, lambda s: s["sentence"]), " "), F.lit(3500)).alias("context"))
 
 

@@ -33,3 +33,9 @@ def test_long_texts_are_encoded_with_a_large_vocabulary(spark, tmp_path):
     assert all("1" not in coded[i] and coded[i][149] != "0" and coded[i][150:] == ["0"] * 50 for i in range(20))
     assert set(coded[99]) == {"2"}
     assert len(catalogue.QUERIES["vocabulary_top"](spark, str(tmp_path)).collect()) == 1500
+
+
+def test_a_context_is_bounded_by_characters_alone(spark, tmp_path):
+    rows = [*((i, "short", i, "Ten signs.") for i in range(40)), *((100 + i, "long", i, "x" * 50) for i in range(300)), (900, "short", None, "last")]
+    got = run(spark, tmp_path, "document_context", claim=(rows, "claim_id bigint, document string, sentence_index int, sentence string"))
+    assert {r.document: r.context for r in got} == {"short": " ".join(["Ten signs."] * 40 + ["last"]), "long": " ".join(["x" * 50] * 300)[:3500]}
