@@ -138,13 +138,21 @@ _AUTHOR = (
 
 @query(f"WITH {_AUTHOR} SELECT citation_id, min(ref_id) AS ref_id FROM ci JOIN w ON w.document = ci.document AND w.word = ci.hint AND (ci.cited_year IS NULL OR w.parsed_year IS NULL OR ci.cited_year = w.parsed_year) GROUP BY 1")
 def citation_resolve_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Author-year citations to the first reference of the report with a compatible year that names the author.
-
-    The substring test becomes an equality on words, so that the join hashes on (report, word)."""
-    c = read(spark, sf_dir, "citation").where("author_hint is not null").select("citation_id", "document", "cited_year", F.lower("author_hint").alias("word")).distinct()
-    w = read(spark, sf_dir, "parsed_reference").select("ref_id", "document", "parsed_year", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("raw_text"), F.lit("[a-z]+"), F.lit(0)))).alias("word"))
+    """Author-year citations to the first reference of the report with a compatible year that names the author: whose
+    authors or text have the hint, which is without blanks, as a part. The SQL asks for a whole word of the text.
+
+    The substring test runs on a report's distinct words that have the hint's first letters in a row, never on pairs of rows."""
+    c = read(spark, sf_dir, "citation").where("author_hint != ''").select("citation_id", "document", "cited_year", F.lower("author_hint").alias("hint")).distinct()
+    words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "raw_text", "authors")), r"\s+"))
+    w = read(spark, sf_dir, "parsed_reference").select("ref_id", "document", "parsed_year", F.explode(words).alias("word")).where("word != ''")
+    w = w.groupBy("document", "word", "parsed_year").agg(F.min("ref_id").alias("ref_id"))
+    starts = "array_distinct(flatten(transform(sequence(1, length(word)), i -> array(substr(word, i, 1), substr(word, i, 2), substr(word, i, 3)))))"
+    parts = w.select("document", "word").distinct().withColumn("start", F.explode(F.expr(starts)))
+    hints = c.select("document", "hint", F.left("hint", F.lit(3)).alias("start")).distinct()
+    named = parts.join(hints, ["document", "start"]).where(F.contains("word", "hint")).select("document", "word", "hint")
+    first = w.join(named, ["document", "word"]).groupBy("document", "hint", "parsed_year").agg(F.min("ref_id").alias("ref_id"))
     compatible = F.col("cited_year").isNull() | F.col("parsed_year").isNull() | (F.col("cited_year") == F.col("parsed_year"))
-    return c.join(w, ["document", "word"]).where(compatible).groupBy("citation_id").agg(F.min("ref_id").alias("ref_id"))
+    return c.join(first, ["document", "hint"]).where(compatible).groupBy("citation_id").agg(F.min("ref_id").alias("ref_id"))
 
 
 @query(f"WITH {_NUMS}, x AS (SELECT DISTINCT n.citation_id, CAST(n.marker AS BIGINT) AS i FROM nums n JOIN refs r ON r.document = n.document AND r.reference_index = n.marker) SELECT citation_id, string_agg(i, '; ' ORDER BY i) AS indices FROM x GROUP BY 1")

@@ -39,3 +39,11 @@ def test_a_context_is_bounded_by_characters_alone(spark, tmp_path):
     rows = [*((i, "short", i, "Ten signs.") for i in range(40)), *((100 + i, "long", i, "x" * 50) for i in range(300)), (900, "short", None, "last")]
     got = run(spark, tmp_path, "document_context", claim=(rows, "claim_id bigint, document string, sentence_index int, sentence string"))
     assert {r.document: r.context for r in got} == {"short": " ".join(["Ten signs."] * 40 + ["last"]), "long": " ".join(["x" * 50] * 300)[:3500]}
+
+
+def test_authors_are_found_as_parts_of_names_and_texts(spark, tmp_path):
+    hints = ["Smith-Jones", "O’Neil", "Müller", "Listed", "Jones", "Li", "Absent", "Listed"]
+    cited = [(i, "d", "", "author_year", 2001 if i < 7 else 1999, h) for i, h in enumerate(hints)]
+    refs = [(10, "d", None, "Smith-Jones, A., O’Neil, B. 2001. X.", None, 2001), (11, "d", None, "Anon. X.", ["Max Müller", "Ann Listed"], 2001), (12, "d", None, "Listed again", None, None), (9, "e", None, "Absent", None, None)]
+    got = run(spark, tmp_path, "citation_resolve_author_year", citation=(cited, CITATION), parsed_reference=(refs, REFERENCE))
+    assert {r.citation_id: r.ref_id for r in got} == {0: 10, 1: 10, 2: 11, 3: 11, 4: 10, 5: 11, 7: 12}
