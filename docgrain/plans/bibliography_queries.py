@@ -12,7 +12,7 @@ from docgrain.functions.numbers import r3, ratio, round_half_up
 from docgrain.operators import bibliography, chunks, citations, tables
 from docgrain.operators.packed import split_packed
 from docgrain.plans.text_queries import _COLLAPSE, _STRIP
-from docgrain.session import read
+from docgrain.session import materialize, read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -71,7 +71,7 @@ def reference_field_accuracy(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """References with the records of the same title key: the exact phase before any fuzzy one."""
+    """References with the records of the same title key: the exact phase; ``scored_candidates`` has the fuzzy one."""
     r = read(spark, sf_dir, "parsed_reference").select("ref_id", "parsed_title", "parsed_year", "parsed_venue", t.title_key(F.col("parsed_title")).alias("k")).where("k != ''")
     c = read(spark, sf_dir, "crossref_record").select("record_id", "crossref_title", "crossref_year", "crossref_venue", t.title_key(F.col("crossref_title")).alias("k")).where("k != ''")
     return r.join(c, "k")
@@ -85,8 +85,15 @@ def exact_title_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def scored_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    c = candidates(spark, sf_dir).withColumn("title_like", bibliography.fuzzy("parsed_title", "crossref_title")).withColumn("venue_like", bibliography.fuzzy("parsed_venue", "crossref_venue"))
-    score = bibliography.match_score(F.col("title_like"), F.col("parsed_year"), F.col("crossref_year"), F.lit(False), F.lit(0.0), F.col("venue_like"))
+    """Every pair that shares a blocking key, a damaged title's too, with its score."""
+    r = read(spark, sf_dir, "parsed_reference", wide=True).select("ref_id", "parsed_title", "parsed_year", "parsed_venue", "authors")
+    c = read(spark, sf_dir, "crossref_record", wide=True).select("record_id", "crossref_title", "crossref_year", "crossref_venue", "crossref_authors")
+    left = bibliography.keyed(r, "ref_id", "parsed_title", "authors", "parsed_year", True)
+    right = bibliography.keyed(c, "record_id", "crossref_title", "crossref_authors", "crossref_year", False)
+    pairs = materialize(left.join(right, "k").select("ref_id", "record_id").distinct(), "bib-candidates")
+    c = pairs.join(r, "ref_id").join(c, "record_id")
+    c = c.withColumn("title_like", bibliography.fuzzy("parsed_title", "crossref_title")).withColumn("venue_like", bibliography.fuzzy("parsed_venue", "crossref_venue")).withColumn("same_authors", bibliography.author_match("authors", "crossref_authors"))
+    score = bibliography.match_score(F.col("title_like"), F.col("parsed_year"), F.col("crossref_year"), F.lit(False), F.col("same_authors"), F.col("venue_like"))
     return c.select("ref_id", "record_id", score.alias("score"))
 
 

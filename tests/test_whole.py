@@ -47,3 +47,18 @@ def test_authors_are_found_as_parts_of_names_and_texts(spark, tmp_path):
     refs = [(10, "d", None, "Smith-Jones, A., O’Neil, B. 2001. X.", None, 2001), (11, "d", None, "Anon. X.", ["Max Müller", "Ann Listed"], 2001), (12, "d", None, "Listed again", None, None), (9, "e", None, "Absent", None, None)]
     got = run(spark, tmp_path, "citation_resolve_author_year", citation=(cited, CITATION), parsed_reference=(refs, REFERENCE))
     assert {r.citation_id: r.ref_id for r in got} == {0: 10, 1: 10, 2: 11, 3: 11, 4: 10, 5: 11, 7: 12}
+
+
+def test_damaged_titles_get_candidates_and_authors_count(spark, tmp_path):
+    title = "Robust Rule Induction for Retraction Screening in Scanned Theses"
+    refs = [
+        (1, title, 2020, ["Ada Long"], None), (2, title.replace("Induction", "Inductoin"), None, ["LONG Ada"], None), (3, title[:38], 2021, None, None), (4, title.replace("Robust", "R\u043ebust"), 1990, ["Long, A."], None),
+        (5, "Проверка", 2020, None, None), (6, "Gardening in Spring", 2020, ["Ada Long"], None),
+    ]
+    recs = [(100, title, 2020, "Long, Ada", None), (101, "Проверка", 2020, None, None)]
+    ref, rec = "ref_id bigint, parsed_title string, parsed_year int, authors array<string>, parsed_venue string", "record_id bigint, crossref_title string, crossref_year int, crossref_authors string, crossref_venue string"
+    got = {(r.ref_id, r.record_id): r.score for r in run(spark, tmp_path, "bib_match_score", parsed_reference=(refs, ref), crossref_record=(recs, rec))}
+    assert set(got) == {(1, 100), (2, 100), (3, 100), (4, 100), (5, 101)}
+    assert got[1, 100] == 0.84
+    status = {r.ref_id: (r.record_id, r.status) for r in catalogue.QUERIES["bib_status"](spark, str(tmp_path)).collect()}
+    assert status[1] == (100, "verified") and status[2] == (100, "partially_matched") and status[6] == (None, "unverified")
