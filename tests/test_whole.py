@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+from pyspark.sql import functions as F
+
+from docgrain.functions import text as t
+from docgrain.operators import retrieval
 from docgrain.plans import catalogue
 
 
@@ -62,3 +66,14 @@ def test_damaged_titles_get_candidates_and_authors_count(spark, tmp_path):
     assert got[1, 100] == 0.84
     status = {r.ref_id: (r.record_id, r.status) for r in catalogue.QUERIES["bib_status"](spark, str(tmp_path)).collect()}
     assert status[1] == (100, "verified") and status[2] == (100, "partially_matched") and status[6] == (None, "unverified")
+
+
+def test_corpus_search_ranks_by_the_whole_score(spark, tmp_path):
+    words = "alpha bravo carbon delta ember falcon garnet harbor island jungle".split()
+    texts = [(i, " ".join([*(words[(i * k + k) % 10] for k in range(1, 4 + i % 7)), f"filler{i}", *words[i % 8 : i % 8 + i % 4]])) for i in range(60)]
+    claims = [(1, "Alpha bravo carbon delta ember."), (2, "falcon harbor"), (3, "island jungle alpha")]
+    got = run(spark, tmp_path, "lexical_topk", documents=(texts, "doc_id bigint, text string"), claimguard_benchmark=(claims, "case_id bigint, claim string"))
+    d = spark.createDataFrame(texts, "doc_id bigint, text string").crossJoin(spark.createDataFrame(claims, "case_id bigint, claim string"))
+    all_scores = d.select("case_id", (F.col("doc_id") * 10000).alias("p"), retrieval.lexical_score(t.tokens(F.col("claim")), t.tokens(F.col("text"))).alias("s")).collect()
+    want = [(c, *x) for c, _ in claims for x in [(r.p, r.s) for r in sorted(all_scores, key=lambda r: (-r.s, r.p)) if r.case_id == c and r.s >= 0.08][:5]]
+    assert [(r.case_id, r.chunk_id, r.score) for r in sorted(got, key=lambda r: (r.case_id, r["rank"]))] == want
