@@ -255,12 +255,15 @@ def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     bigrams: all terms of the score but the phrase bonus, unrounded, without looking at a pair's texts."""
     counted = lambda df, key: df.groupBy(key, "w").agg(F.count("*").alias("n"))
     chunks, asked = corpus_chunks(spark, sf_dir), corpus_claims(spark, sf_dir)
-    p, q = counted(chunks.select("p", F.explode("toks").alias("w")), "p"), counted(asked.select("q", F.explode("toks").alias("w")), "q")
+    counts = chunks.select("p", retrieval.frequencies(F.col("toks")).alias("f"))  # a chunk has at most 95 words: counted in its row
+    norm = F.sqrt(F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
+    p = counts.select("p", F.size("f").alias("p_size"), norm.alias("p_norm"), F.explode("f").alias("f")).select("p", "p_size", "p_norm", "f.w", "f.n")
+    q = counted(asked.select("q", F.explode("toks").alias("w")), "q")
     p2, q2 = chunks.select("p", F.explode(t.bigrams(F.col("toks"))).alias("w")), asked.select("q", F.explode(t.bigrams(F.col("toks"))).alias("w"))
     both = q2.join(p2, "w").groupBy("q", "p").agg(F.count("*").alias("shared_pairs")).join(q2.groupBy("q").agg(F.count("*").alias("q_pairs")), "q")
     size = lambda df, key: df.groupBy(key).agg(F.count("*").alias(f"{key}_size"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias(f"{key}_norm"))
-    pairs = q.withColumnRenamed("n", "m").join(p, "w").groupBy("q", "p").agg(F.count("*").alias("shared"), F.sum(F.col("m") * F.col("n")).cast("double").alias("dot"))
-    s = pairs.join(size(q, "q"), "q").join(size(p, "p"), "p").join(both, ["q", "p"], "left")
+    pairs = q.withColumnRenamed("n", "m").join(p, "w").groupBy("q", "p", "p_size", "p_norm").agg(F.count("*").alias("shared"), F.sum(F.col("m") * F.col("n")).cast("double").alias("dot"))
+    s = pairs.join(size(q, "q"), "q").join(both, ["q", "p"], "left")
     shared = F.col("shared").cast("double")
     score = 0.40 * (F.col("dot") / (F.col("q_norm") * F.col("p_norm"))) + 0.32 * (shared / F.col("q_size")) + 0.12 * (shared / (F.col("q_size") + F.col("p_size") - F.col("shared")))
     score = score + 0.16 * F.coalesce(F.col("shared_pairs").cast("double") / F.col("q_pairs"), F.lit(0.0))
