@@ -3,7 +3,7 @@
 Spaced-seed hashing: a fixed mask of four word positions, three of them with one ignored position, is hashed at every
 word of test items and documents. Document hashes meet the test hashes in the map stage; around every hit the words
 of item and document are compared along the hit's diagonal, and a document contains an item if a continuous part of at
-least half the item's words agrees in all but one word of five.
+least half the item's words, beginning and ending with agreeing words, agrees in all but one word of five.
 
 The masks lose nothing at that rate: with at most one changed word in five, every part of seven or more words holds
 four agreeing words under one of the masks. Shorter items are compared by the mask ``short`` of all their words or by
@@ -32,7 +32,9 @@ MASKS = ((0, 1, 2, 3), (0, 1, 2, 4), (0, 1, 3, 4), (0, 2, 3, 4))
 SHORT = ((0,), (0, 1), (0, 1, 2))
 #: A block of test items holds at most so many words (each gives one hash a mask: 2 MB of hashes).
 BLOCK_WORDS = 60_000
-PART, CHANGED = 0.5, 0.2
+PART = 0.5
+#: At most so many changed words in so many.
+CHANGED = (1, 5)
 BITS = 20
 #: Code points of text handled at once.
 CHUNK = 4_000_000
@@ -101,20 +103,20 @@ class Block:
 
     @staticmethod
     def verified(h: np.ndarray, first: int, end: int, diagonal: int, item: np.ndarray) -> bool:
+        """Whether a part of at least half the item, first and last word agreeing, has at most one other word in five.
+
+        A part from the i-th to the j-th agreeing word fits if 5 (j - i + 1) >= 4 (its length), that is if g(j) >= g(i) - 1
+        with g(k) = 5 k - 4 place(k); the least g among the starts far enough before j decides in linear time."""
         n = len(item)
         low, high = max(0, first - diagonal), min(n, end - diagonal)
         need = max(int(np.ceil(n * PART)), 1) if n >= 3 else n
         if high - low < need:
             return False
-        bad = np.concatenate(([0], np.cumsum(h[diagonal + low : diagonal + high] != item[low:high])))
-        if bad[-1] <= CHANGED * (high - low):
-            return True
-        if bad[need:].min(initial=1 << 30) > n and need:
-            return False
-        for size in range(need, high - low + 1):
-            if (bad[size:] - bad[:-size]).min() <= CHANGED * size:
-                return True
-        return False
+        place = np.flatnonzero(h[diagonal + low : diagonal + high] == item[low:high])
+        g = CHANGED[1] * np.arange(len(place)) - (CHANGED[1] - CHANGED[0]) * place
+        start = np.searchsorted(place, place - need + 1, "right") - 1
+        fits = start >= 0
+        return bool((g[fits] >= np.minimum.accumulate(g)[start[fits]] - CHANGED[0]).any()) if fits.any() else False
 
 
 def blocks(items: list[tuple[int, str]]) -> Iterator[list[tuple[int, str]]]:
