@@ -53,15 +53,35 @@ def test_identifiers(spark):
     assert [value(spark, t.boolean, x) for x in (" Yes", "0", "na", None)] == [True, False, None, None]
 
 
-def test_citation_extraction_priority_and_offsets():
-    s = "Smith and Lee (2019, 2020) agree (see Doe, 2018; 2019) with [3-5; 8]."
-    got = citations.extract(s)
-    assert [(r[1], r[2]) for r in got] == [
-        ("smith and lee 2019", "author_year_narrative"), ("smith and lee 2020", "author_year_narrative"), ("doe 2018", "author_year"), ("doe 2019", "author_year"),
-        ("3", "numeric"), ("4", "numeric"), ("5", "numeric"), ("8", "numeric"),
+def test_citation_extraction_priority_and_offsets(spark):
+    sentences = [
+        "Smith and Lee (2019, 2020) agree (see Doe, 2018; 2019) with [3-5; 8].", "(2020) and (1999a, 2000 [7]) [9-2]", "ß𝒳 (in 2001; Doe, 2002) and (Table 1; in 2003) [1–99]", "(Doe, 2001 [4]) Doe (2001) Doe (2001)", "", None,
     ]
-    assert all(s[r[5] : r[6]] == r[0] for r in got)
-    assert citations.extract("(2020)") == [] and citations.numbers("1-99") == [1, 99]
+    df = spark.createDataFrame(list(enumerate(sentences)), "i int, s string").withColumn("p", F.lit(2))
+    got: dict = {}
+    for r in citations.citations(df, "i", "p", "s").collect():
+        assert sentences[r.i][r.start_char : r.end_char] == r.raw_text and r.group_id == f"s2:c{r.start_char}"
+        got.setdefault(r.i, []).append((r.start_char, r.marker, r.citation_type, r.author_hint))
+    year, told, number = "author_year", "author_year_narrative", "numeric"
+    assert {i: sorted(v) for i, v in got.items()} == {
+        0: [(0, "smith and lee 2019", told, "Lee"), (0, "smith and lee 2020", told, "Lee"), (33, "doe 2018", year, "Doe"), (33, "doe 2019", year, "Doe"), *[(60, n, number, None) for n in "3458"]],
+        1: [(24, "7", number, None), (29, "2", number, None), (29, "9", number, None)],
+        2: [(28, "in 2003", year, None), (47, "1", number, None), (47, "99", number, None)],
+        3: [(0, "doe 2001", year, "Doe"), (16, "doe 2001", told, "Doe"), (27, "doe 2001", told, "Doe")],
+    }
+
+
+def test_entry_fields(spark):
+    rows = [
+        (1, "[12] Smith, J., & Lee, A. (2019). A careful study of things. Journal of Things, 3, 1-9. https://doi.org/10.1234/AbC."),
+        (2, "J. Smith, A.-B. Lee, and C. Poe, “x” no. Deep nets of many kinds, Proceedings of Nets, 2001."),
+        (3, 'A. Smith and B. Poe, "Quoted words of a title," Trans. Nets, vol. 3, 2001.'), (4, "3. Only words"), (5, ""), (6, None),
+    ]
+    got = {r.i: tuple(r)[1:] for r in bib.entry_fields(spark.createDataFrame(rows, "i int, e string"), "i", "e").collect()}
+    assert got[1] == ("12", "A careful study of things", ["Smith", "Lee"], 2019, "10.1234/abc", "Journal of Things, 3, 1-9")
+    assert got[3] == (None, "Quoted words of a title", ["Smith", "Poe"], 2001, None, "Trans")
+    assert got[4] == ("3", "Only words", ["Only"], None, None, None) or got[4][:2] == ("3", "Only words")
+    assert got[5] == (None, None, [], None, None, None) and 6 not in got
 
 
 def test_classifier_rules(spark):
