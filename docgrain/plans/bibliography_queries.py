@@ -83,7 +83,7 @@ def citations_extracted(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _cl(x: str) -> str:
-    return f"""nullif(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^[ ,.;:"'']+|[ ,.;:"'']+$', '', 'g'), '')"""
+    return f"""nullif(regexp_replace(regexp_replace({x}, '\\s+', ' ', 'g'), '^[ ,.;:"''“”]+|[ ,.;:"''“”]+$', '', 'g'), '')"""
 
 
 def _seg(x: str) -> str:
@@ -104,7 +104,7 @@ _ENTRY = (
     f", e5 AS (SELECT *, CASE WHEN named <> '' THEN string_split(regexp_replace(regexp_replace(substr(work, length(named) + 1), '^[ ,.]+', ''), {rx(_B.AFTER_TITLE)}, chr(1)), chr(1))[1] END AS region FROM e4)"
     f", e6 AS (SELECT *, {_seg('past')} AS l1, {_seg('region')} AS l2, {_seg('work')} AS l3 FROM e5)"
     f", e7 AS (SELECT *, {_cl(f'CASE WHEN quoted <> $$$$ THEN quoted ELSE coalesce([q for q in l1 if {_FIT}][1], [q for q in l2[1:1] if {_FIT}][1], [q for q in l3 if ({_NAMES}) < 2 AND {_FIT}][1], l3[1]) END')} AS title FROM e6)"
-    f", e8 AS (SELECT *, regexp_replace(body, {rx(t.DOI)}, '', 'g') AS nodoi, regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(body, '[\"'']') THEN regexp_replace(body, '(?s)[\"''].*$', '') WHEN y <> '' THEN left(body, instr(body, y) - 1) ELSE string_split(body, '.')[1] END, {rx(_B.START)}, ''), '^[ .(\\[]+|[ .(\\[]+$', '', 'g'), '(?i)\\bet\\s+al\\.?', '', 'g') AS blob FROM e7)"
+    f", e8 AS (SELECT *, regexp_replace(body, {rx(t.DOI)}, '', 'g') AS nodoi, regexp_replace(regexp_replace(regexp_replace(CASE WHEN regexp_matches(body, {rx(_B.QUOTE)}) THEN regexp_replace(body, {rx('(?s)' + _B.QUOTE + '.*$')}, '') WHEN y <> '' THEN left(body, instr(body, y) - 1) ELSE string_split(body, '.')[1] END, {rx(_B.START)}, ''), '^[ .(\\[]+|[ .(\\[]+$', '', 'g'), '(?i)\\bet\\s+al\\.?', '', 'g') AS blob FROM e7)"
     f", e9 AS (SELECT *, CASE WHEN regexp_matches(blob, {rx(_B.LAST_FIRST)}) THEN regexp_extract_all(blob, {rx(_B.LAST_FIRST)}, 1) WHEN regexp_matches(blob, {rx(_B.FIRST_LAST)}) THEN regexp_extract_all(blob, {rx(_B.FIRST_LAST)}, 1)"
     " ELSE [regexp_extract(regexp_replace(x, '^[ .,]+|[ .,]+$', '', 'g'), '([A-Z][A-Za-z''-]+)\\s*$', 1) for x in string_split(regexp_replace(replace(blob, '&', ' and '), '\\s+and\\s+|;', chr(1), 'g'), chr(1))] END AS found"
     f", {_seg('CASE WHEN title IS NOT NULL AND contains(lower(nodoi), lower(title)) THEN substr(nodoi, instr(lower(nodoi), lower(title)) + length(title)) ELSE nodoi END')} AS rest FROM e8)"
