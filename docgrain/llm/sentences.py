@@ -1,7 +1,8 @@
 """Sentence boundaries across languages and scripts.
 
 Candidate boundaries come from the text alone: an empty line is always one; a stop, with its closing quotes and the
-citation mark directly after it, is one where it stands outside quotations and brackets; in Thai a blank is one. A
+citation mark directly after it, is one where it stands outside quotations and brackets; a blank is one where most letters
+around it are Thai. A
 maximum-entropy (logistic) classifier decides every candidate from its neighbouring tokens, their case, length, digits
 and script. It is trained on reliable boundaries of the data itself: ends of rows and of paragraphs are boundaries;
 a stop before a small letter is none, nor is one after a token that often carries a stop but never ends a row, or
@@ -16,6 +17,7 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
+from bisect import bisect_left, bisect_right
 from collections import Counter
 from collections.abc import Iterator
 
@@ -39,21 +41,22 @@ STOPS = ".!?…‼⁇⁈⁉؟۔।॥。！？｡．"
 CJK_STOPS = "。！？｡．"
 # Known boundaries, marked by ¦: they teach the general cases, so that small inputs are split sensibly too.
 SEEDS = (
-    "The reports were lost.¦ It was tested again.¦ We added 96.¦ Our tutor agreed with the plan.¦ Is it clear?¦ Nobody knew!¦ The end came soon.¦ Did it hold?!¦ We asked\nagain.¦ Then all was clear.¦ It is clear.¦ It is so.¦ It is clear.¦ The score fell.",
-    "Dr. Long met Prof. Short and Ms. Dee in the lab.¦ See Fig. 3 and Eq. (5), e.g. the rate, cf. Long (2001).¦ J. K. Long left at 5 p.m. on Monday.¦ He stayed in St. Clair.¦ As in No. 7 and Sec. 9, it rose... then fell.",
-    'He wrote "It fails. Try again." in the margin.¦ She said “Fine. Go on.” and left.¦ "Where is it?" asked one.¦ He called it “a seed. No more.”¦ We asked again.¦ It held (They were right.) and we added more.¦ "All is well."¦ Nobody knew.',
-    "It is clear.[8-11 and 13]¦ Our tutor agreed [3].¦ The rate fell (Long, 2001).¦ It rose [1, 2].¦ So it was (see Dee, 2003).¦ Long et al. (2001) agree.¦ The corpus was built by Long et al.¦ It is small.",
-    "Die Quelle fehlt.¦ Am 3. Mai und im 2. Lauf war es z. B. so.¦ Das gilt bzw. galt lange.¦ „Sie fehlt. Bitte suchen.“ steht am Rand.¦ Wir sahen es.¦ Reicht das?¦ Es reicht.",
-    "« Rien. À revoir. » écrit-il en marge.¦ Quel écart !¦ Le chap. 5 le dit.¦ M. Long a lu p. 7.¦ ¿Basta una fuente?¦ ¡Sí!¦ Según el Dr. Long faltan dos.¦ «No hay. Falta.» anotó la revisora.¦ Era tarde.",
-    "«Нет. Да.» пишет он.¦ В 2021 г. было так, т. е. плохо.¦ Результат удивил всех!¦ Так и было.¦ Ο κ. Long έφυγε.¦ Η διαφορά είναι μεγάλη!¦ «Όχι. Ναι.» έγραψε.",
-    "结果令人惊讶！¦图5显示了影响。¦他写道：“缺少。请补充。”然后退回了。¦只有一个来源就够了吗？¦我们检查了。¦v2比v1好。¦差は大きい！¦彼は「ない。ほしい。」と書いた。¦図6は示す。¦v3では下がった。",
-    "차이가 크다!¦ 그는 \"없다. 필요하다.\"라고 적었다.¦ 출처 하나로 충분한가?¦ 점수를 얻었다.¦ यह सही है।¦ उसने लिखा \"नहीं है। जोड़ें।\" और लौटा दिया।¦ डॉ. Long ने बदला।¦ परिणाम आया!",
-    "كانت النتيجة مفاجئة!¦ هل يكفي مصدر واحد؟¦ كتب «لا يوجد. يرجى.» في الهامش.¦ قال د. Long إن العتبة ثابتة.¦ راجعنا المراجع.",
+    "The kettle was cold.¦ Rain fell all day.¦ We paid 96.¦ My uncle walked to the shop.¦ Is it late?¦ Nobody slept!¦ The bus came soon.¦ Did she call?!¦ We waited\nagain.¦ Then the lamps went out.¦ It is warm.¦ It was so.¦ It is late.¦ The dog barked.",
+    "Dr. Long met Prof. Short and Ms. Dee in the garden.¦ See Fig. 3 and Eq. (5), e.g. the roof, cf. Long (2001).¦ J. K. Long left at 5 p.m. on Monday.¦ He stayed in St. Clair.¦ As in No. 7 and Sec. 9, it rose... then fell.",
+    'She sang "It rains. Come in." at the door.¦ He said “Fine. Go on.” and left.¦ "Where is it?" asked one.¦ We call it “a seed. No more.”¦ We ate some more.¦ It held (They were right.) and we wanted more.¦ "All is well."¦ Nobody knew.',
+    "It is dark.[8-11 and 13]¦ My uncle slept [3].¦ The river fell (Long, 2001).¦ It rose [1, 2].¦ So it was (see Dee, 2003).¦ Long et al. (2001) agree.¦ The bridge was built by Long et al.¦ It is small.",
+    "Der Zug kommt.¦ Am 3. Mai und im 2. Stock war es z. B. kalt.¦ Das gilt bzw. galt lange.¦ „Er schläft. Leise bitte.“ sagte die Mutter.¦ Wir gingen heim.¦ Regnet es?¦ Es regnet.",
+    "« Entrez. Il pleut. » dit-elle à la porte.¦ Quel froid !¦ Le chap. 5 le raconte.¦ M. Long a lu p. 7.¦ ¿Llueve hoy?¦ ¡Sí!¦ Según el Dr. Long faltan dos.¦ «No hay pan. Espera.» gritó la vecina.¦ Era tarde.",
+    "«Да. Иду.» сказал он.¦ В 2021 г. было тепло, т. е. сухо.¦ Поезд опоздал!¦ Мы ждали.¦ Ο κ. Long έφυγε.¦ Βρέχει πολύ!¦ «Έλα. Κάθισε.» είπε.",
+    "今天下雨了！¦图5在墙上。¦她说：“进来。坐下。”然后关了门。¦他在门上写：“小心。慢走。”就离开了。¦你饿了吗？¦我们回家了。¦v2比v1快。¦電車が来た！¦母は「早く。寝なさい。」と言った。¦図6は壁にある。¦v3では止まった。",
+    "비가 온다!¦ 그는 \"들어와. 앉아.\"라고 말했다.¦ 배가 고픈가?¦ 집에 갔다.¦ बारिश हुई।¦ माँ ने कहा \"आओ। बैठो।\" और दरवाज़ा बंद किया।¦ डॉ. Long घर गए।¦ गाड़ी आई!",
+    "نزل المطر اليوم!¦ هل أنت جائع؟¦ قالت «ادخل. اجلس.» عند الباب.¦ قال د. Long إن القطار تأخر.¦ ذهبنا إلى البيت.",
+    "ฝนตกตั้งแต่เช้า¦ เราเดินกลับบ้านด้วยกัน¦ แม่ทำแกงไว้รอ",
 )
 CLOSERS = "\"'”’»」』】）)]›“"
 _PARAGRAPH = re.compile(r"(?:\r\n|\r|\n)[^\S\r\n]*(?:\r\n|\r|\n)\s*")
 _GROUP = re.compile(
-    r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|‹[^›]*›|「[^」]*」|『[^』]*』|‘[^’]*[.!?。]’|(?<!\w)'(?=\S)[^']{1,400}?[.!?।。]'"
+    r"\"[^\"]*\"|“[^”]*”|„[^“”]*[“”]|«[^»]*»|‹[^›]*›|「[^」]*」|『[^』]*』|‘[^’]*[.!?。]’|(?<!\w)'(?=\S)[^']+?[.!?।。]'"
     r"|\((?:[^()]|\([^()]*\))*\)|（[^）]*）|\[(?:[^\[\]]|\[[^\[\]]*\])*\]|【[^】]*】"
 )
 _CITE = r"\[\s*\d[\d\s,;&\-–—]*(?:and\s+\d[\d\s,;&\-–—]*)*\]"
@@ -89,6 +92,9 @@ def _kind(c: str) -> str:
 
 _WORD = re.compile(r"[^\W_]+(?:[.'’\-][^\W_]+)*")
 _LAST = re.compile(r"([^\W_][^\s\"“”«»„()\[\]]*)$")
+#: What no token before a stop reaches over.
+_EDGE = re.compile(r"[\s\"“”«»„()\[\]。！？｡।॥]")
+_HAS_THAI = re.compile("[\u0e00-\u0e7f]")
 
 
 def _mask(text: str) -> tuple[np.ndarray, dict[int, int]]:
@@ -103,9 +109,30 @@ def _mask(text: str) -> tuple[np.ndarray, dict[int, int]]:
     return inside, ends
 
 
-def _is_thai(text: str) -> bool:
-    thai = sum("฀" <= c <= "๿" for c in text[:400])
-    return thai * 2 > sum(c.isalpha() for c in text[:400]) and thai > 0
+def _is_thai(text: str, at: int) -> bool:
+    """Whether most letters around ``at`` are Thai."""
+    near = text[max(0, at - AROUND) : at + AROUND]
+    thai = sum("\u0e00" <= c <= "\u0e7f" for c in near)
+    return thai > 0 and thai * 2 > sum(c.isalpha() for c in near)
+
+
+THAI = "stop= "
+#: Letters on either side by which a blank is in Thai text.
+AROUND = 60
+
+
+def _beside(c: str) -> str:
+    """What stands beside a blank in Thai."""
+    return "end" if c in CLOSERS + "%ๆฯ" + STOPS else _script(c) or "pun"
+
+
+def _thai(a: str, b: str) -> list[str]:
+    return [THAI, f"thai={_beside(a)},{_beside(b)}", f"thai>{_beside(b)}", f"thai<{_beside(a)}"]
+
+
+def _separates(a: str, b: str) -> bool:
+    """Between Thai words, numbers and closing signs on the left and a Thai word on the right a blank separates."""
+    return _script(b) == "THAI" and _beside(a) in ("THAI", "d", "end")
 
 
 def _is_greek(text: str) -> bool:
@@ -117,16 +144,20 @@ def candidates(text: str) -> list[tuple[int, int, list[str], str, str]]:
     found: list[tuple[int, int, list[str], str, str]] = []
     inside, groups = _mask(text)
     size = len(text)
-    thai = _is_thai(text)
+    thai = _HAS_THAI.search(text) is not None
     if thai:
         for m in re.finditer(r"\s+", text):
             a, b = text[m.start() - 1 : m.start()], text[m.end() : m.end() + 1]
-            if not inside[m.start()] and a and b and _script(b) == "THAI" and (_script(a) in ("THAI", "d") or a in CLOSERS + "%ๆฯ" + STOPS):
-                found.append((m.start(), m.end(), ["thai"], "", ""))
-        return found
+            if a and b and not inside[m.start()] and _is_thai(text, m.start()):
+                found.append((m.start(), m.end(), _thai(a, b), a, b))
+    words = [(m.end(), m.group(0)) for m in _WORD.finditer(text)]
+    ended = [end for end, _ in words]
+    edges = [m.start() for m in _EDGE.finditer(text)]
     greek = None
     for m in _STOP.finditer(text):
         begin = m.start()
+        if thai and _is_thai(text, begin):
+            continue  # stops end no sentence in Thai
         if text[begin] in ";;":
             greek = _is_greek(text) if greek is None else greek
             if not greek:
@@ -161,16 +192,16 @@ def candidates(text: str) -> list[tuple[int, int, list[str], str, str]]:
                 continue
             blank, nxt = after > end, text[after]
         if not blank and stop not in CJK_STOPS and _script(nxt) not in ("CJK", "HIRAGANA", "KATAKANA"):
-            glued = re.search(r"[^\W\d_]{3,}$|[)\]»”\"]$|[^\W_]$" if stop not in ".…" else r"[^\W\d_A-Z]{3,}$|[)\]»”\"]$|\d%?$", text[max(0, begin - 12) : begin])
+            glued = re.search(r"[^\W\d_]{3}$|[)\]»”\"]$|[^\W_]$" if stop not in ".…" else r"[^\W\d_A-Z]{3}$|[)\]»”\"]$|\d%?$", text[max(0, begin - 3) : begin])
             if not (quote and _kind(nxt) == "let") and not (glued and (_kind(nxt) in ("up", "let") or nxt in "“«„¿¡\"")):
                 continue
-        before = _LAST.search(text, max(0, begin - 40), begin)
+        k = bisect_left(edges, begin)
+        before = _LAST.search(text, edges[k - 1] + 1 if k else 0, begin)
         t = before.group(1) if before else BRACKET
-        lead = text[max(0, (before.start() if before else begin) - 30) : before.start() if before else begin]
-        lead_words = _WORD.findall(lead)
-        p2 = lead_words[-1].lower() if lead_words else "^"
+        k = bisect_right(ended, before.start() if before else begin)
+        p2 = words[k - 1][1].lower() if k else "^"
         t_low = re.sub(r"\d+", "#", t.lower())
-        word = _WORD.search(text, after, min(size, after + 40))
+        word = _WORD.search(text, after)
         n = word.group(0) if word else ""
         n_low = re.sub(r"\d+", "#", n.lower())
         nk = _kind(nxt)
@@ -180,7 +211,7 @@ def candidates(text: str) -> list[tuple[int, int, list[str], str, str]]:
         tk = "brk" if t == BRACKET else "num" if t_low.replace("#", "").strip(".,%") == "" and t else "one" if len(t) == 1 else "dot" if "." in t else "short" if len(t) <= 3 else "long"
         case = _kind(t[:1])
         abbr = stop == "." and (t_low in ABBREVIATIONS or t_low.rpartition("-")[2] in ABBREVIATIONS)
-        enum = bool(_ENUMERATOR.match(text[: begin + 1]))
+        enum = bool(_ENUMERATOR.match(text, 0, begin + 1))
         s1, s2 = (_script(t[-1:]) if t else ""), (_script(n[:1]) if n else "")
         dot = "." if stop == "." else "!"
         features = [
@@ -189,7 +220,7 @@ def candidates(text: str) -> list[tuple[int, int, list[str], str, str]]:
             f"tk={tk},{first},{dot}", f"enum={enum}", f"cite={m.end() - begin > 3 and ']' in m.group(0)}", f"run={min(end - begin, 3)},{first}",
         ]
         found.append((end, after, features, t_low, n_low))
-    return found
+    return sorted(found, key=lambda c: c[:2]) if thai else found
 
 
 def _slots(features: list[str]) -> list[int]:
@@ -222,8 +253,6 @@ def units(text: str, weights: np.ndarray) -> list[tuple[int, int]]:
 
 
 def decide(features: list[str], weights: np.ndarray) -> bool:
-    if features == ["thai"]:
-        return True
     return float(weights[_slots(features)].sum() + weights[SPACE]) > 0
 
 
@@ -231,6 +260,8 @@ def reliable(texts: list[str]) -> tuple[list[list[int]], list[int]]:
     """Labelled candidates: feature slots and 0 or 1. Candidates nothing reliable is known of are left out."""
     starts, ends, mid_t, mid_n = Counter(), Counter(), Counter(), Counter()
     seen: list[tuple[list[str], str, str]] = []
+    x: list[list[int]] = []
+    y: list[int] = []
     for text in texts:
         for a, b in paragraphs(text):
             body = text[a:b].strip()
@@ -241,10 +272,15 @@ def reliable(texts: list[str]) -> tuple[list[list[int]], list[int]]:
             tail = re.sub(rf"(?:\s?{_CITE})+$", "", body)
             tail = tail.rstrip(CLOSERS + " ")
             if tail and tail[-1] in STOPS:
-                w = _LAST.search(tail.rstrip(STOPS)[-40:])
+                tail = tail.rstrip(STOPS)
+                edge = max((m.end() for m in _EDGE.finditer(tail)), default=0)
+                w = _LAST.search(tail, edge)
                 ends[re.sub(r"\d+", "#", w.group(1).lower()) if w else BRACKET] += 1
             for _, _, f, t, n in candidates(body):
-                if f != ["thai"]:
+                if f[0] == THAI:
+                    x.append(_slots(f))
+                    y.append(int(_separates(t, n)))
+                else:
                     mid_t[t] += 1
                     seen.append((f, t, n))
 
@@ -253,8 +289,6 @@ def reliable(texts: list[str]) -> tuple[list[list[int]], list[int]]:
 
     # a name after an abbreviation tells nothing of how sentences begin
     mid_n.update(n for f, t, n in seen if not never_ends(f, t))
-    x: list[list[int]] = []
-    y: list[int] = []
     for f, t, n in seen:
         low = any(k.startswith("nk=") and k.endswith(("low", "pun")) for k in f)
         is_dot = f[0] == "stop=."
@@ -283,14 +317,17 @@ def fit(texts: list[str], rounds: int = 120, l2: float = 0.02) -> np.ndarray:
     for text in SEEDS:
         marked = {m.start() - k for k, m in enumerate(re.finditer("¦", text))}
         for end, _, f, _, _ in candidates(text.replace("¦", "")):
-            if f != ["thai"]:
-                x += [_slots(f)] * 3
-                y += [int(end in marked)] * 3
+            x += [_slots(f)] * 3
+            y += [int(end in marked)] * 3
     for a in ABBREVIATIONS:
         x.append(_slots(["stop=.", f"t={a}", "abbr=True,up", "abbr=True,let"]))
         y.append(0)
     x += [_slots(["enum=True"])] * 5
     y += [0] * 5
+    for a in "ก5”,a":
+        for b in "ก5“a":
+            x += [_slots(_thai(a, b))] * 3
+            y += [int(_separates(a, b))] * 3
     width = max(map(len, x))
     slots = np.full((len(x), width), SPACE + 1)
     for k, row in enumerate(x):

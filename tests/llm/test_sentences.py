@@ -79,3 +79,18 @@ def test_operator(spark):
     got = s.split_sentences(df, "key", "sentence", s.train(df, "sentence")).collect()
     assert sorted((r.row_id, r.unit_no, r.start_char, r.n_chars) for r in got) == [(1, 1, 0, 12), (1, 1, 0, 12), (1, 2, 13, 12), (1, 2, 13, 12)]
     assert s.split_sentences(df.limit(0), "key", "sentence", s.train(df.limit(0), "sentence")).count() == 0
+
+
+def test_thai_is_found_wherever_it_stands(weights):
+    """A blank is judged by what stands around it, not by how the text begins."""
+    latin, thai = "The reports were lost. We asked again. " * 30, "เราเดินกลับบ้านด้วยกัน แม่ทำแกงไว้รอ " * 30
+    first, last = split(latin + "\n" + thai, weights), split(thai + "\n" + latin, weights)
+    assert first.count("แม่ทำแกงไว้รอ") >= 29 and last.count("แม่ทำแกงไว้รอ") >= 29
+    assert first.count("We asked again.") >= 28 and last.count("We asked again.") >= 28
+
+
+def test_quotes_and_tokens_of_any_length(weights):
+    inner = "nobody knew of it, " * 60
+    assert split(f"She wrote 'It is {inner}so. Nobody knew.' in the margin. We asked again.", weights) == [f"She wrote 'It is {inner}so. Nobody knew.' in the margin.", "We asked again."]
+    word = "x" * 300
+    assert split(f"We call it {word}. Nobody knew. {word.capitalize()} is long.", weights) == [f"We call it {word}.", "Nobody knew.", f"{word.capitalize()} is long."]
