@@ -5,8 +5,8 @@ words of the examples; words unknown to the examples count in a sentence's lengt
 undone first: stretched letters, letters set apart, letters replaced by signs. Document frequencies of the index terms
 are counted over all documents. The index is an inverted index whose postings are blocks of examples with the largest
 weight of each block; blocks whose bound stays under the least useful cosine are skipped, which loses nothing, and the
-rest is scored exactly. The nearest examples vote with weights that fall with distance; a logistic curve fitted by
-leaving each example out turns the votes into a probability. A document has the score of its worst sentence, and that
+rest is scored exactly. The nearest examples vote with weights that fall with distance; a logistic curve, fitted by judging
+each example without all examples of its group, turns the votes into a probability. A document has the score of its worst sentence, and that
 sentence and its nearest example are the evidence.
 
 Defined results: null text has no score (null); empty text scores 0; repeated rows are scored each; texts are read
@@ -24,27 +24,33 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from docgrain.llm.abuse_examples import ABUSIVE, SLOTS, examples
+from docgrain.llm.abuse_examples import examples as default_examples
 from docgrain.llm.leak import pieces
 from docgrain.llm.tokens import Words, words
 from docgrain.session import spread
 
 BLOCK = 32
 #: Cosines below are no neighbours; so many neighbours vote; the weight of a vote is the cosine to this power.
-LEAST, NEIGHBOURS, POWER = 0.25, 9, 4
-THRESHOLD = 0.5
+LEAST, NEIGHBOURS, POWER = 0.2, 9, 4
+#: The score from which a document is reported. The curve is fitted without an example's own group, so it is a careful one.
+THRESHOLD = 0.4
+#: At most so many labelled examples are used.
+MOST_EXAMPLES = 20_000
+#: (sentence, 1 for abusive or 0, group): examples of one group are made alike.
+Examples = tuple[tuple[str, int, int], ...]
 BITS = 18
 MIX = np.uint64(0x9E3779B97F4A7C15)
 
 
-@functools.cache
-def offensive() -> dict[tuple[str, int], list[str]]:
-    """Words a sign may hide, by first letter and length."""
-    found = {w.lower() for name in ("insult", "vile", "rubbish", "filth", "sex") for w in re.findall(r"[a-zA-Z]{3,}", SLOTS[name])}
-    found |= {w.lower() for p in ABUSIVE for w in re.findall(r"[a-z]{4,}", p)}
-    found |= set("kill naked nude tits fuck fucking ass cock sex anal rats freaks porn burn scum horny busty nipples blowjobs orgasms moaning breasts thighs lap slut whore cum dick pussy".split())
+def offensive(examples: Examples) -> dict[tuple[str, int], list[str]]:
+    """Words a sign may hide, by first letter and length: those of the abusive examples, ones that harmless examples
+    lack first."""
+    found: dict[str, bool] = {}
+    for text, label, _ in examples:
+        for w in re.findall(r"[a-z]{3,}", text.lower()):
+            found[w] = found.get(w, False) or not label
     by: dict[tuple[str, int], list[str]] = {}
-    for w in sorted(found):
+    for w in sorted(found, key=lambda w: (found[w], w)):
         by.setdefault((w[0], len(w)), []).append(w)
     return by
 
@@ -67,26 +73,26 @@ def stretched(texts: list[str]) -> np.ndarray:
     return out
 
 
-def _reveal(match: re.Match) -> str:
+def _reveal(match: re.Match, hidden: dict[tuple[str, int], list[str]]) -> str:
     text = match.group(0)
     low = text.lower()
     for size in range(len(low), 2, -1):  # signs at the end may be punctuation
         if any(c.isalpha() for c in low[size:]):
             break
         pattern = "".join(_SIGNS.get(c, c) for c in low[:size])
-        for w in offensive().get((low[0], size), ()):
+        for w in hidden.get((low[0], size), ()):
             if re.fullmatch(pattern, w):
                 return w + text[size:]
     return text
 
 
-def undisguised(text: str, long: bool = True) -> str:
+def undisguised(text: str, hidden: dict[tuple[str, int], list[str]], long: bool = True) -> str:
     """``text`` with stretched (``long``), spaced and sign-replaced words written plainly."""
     if long:
         text = _LONG.sub(r"\1", text)
     if _MAY_PART.search(text):
         text = _APART.sub(lambda m: m.group(0).replace(m.group(1), ""), text)
-    return _HIDDEN.sub(_reveal, text) if _MAY_HIDE.search(text) else text
+    return _HIDDEN.sub(lambda m: _reveal(m, hidden), text) if _MAY_HIDE.search(text) else text
 
 
 _END = np.zeros(0x110000, bool)
@@ -112,19 +118,21 @@ def sentences(joined: str, w: Words) -> np.ndarray:
 class Index:
     """Terms and blocked postings of the labelled examples; ``weigh`` sets the weights once frequencies are known."""
 
-    def __init__(self) -> None:
+    def __init__(self, examples: Examples) -> None:
         self.known: tuple[int, int] | None = None
-        texts = examples()
-        self.texts = [t for t, _ in texts]
-        self.labels = np.array([y for _, y in texts])
-        w = words([undisguised(t) for t in self.texts])
+        examples = tuple(sorted(examples, key=lambda e: -e[1]))  # abusive examples come first
+        self.hidden = offensive(examples)
+        self.texts = [t for t, _, _ in examples]
+        self.labels = np.array([y for _, y, _ in examples], int)
+        self.groups = np.array([g for _, _, g in examples])
+        w = words([undisguised(t, self.hidden) for t in self.texts])
         pair = self.pairs(w.hashes)
         same = w.row[1:] == w.row[:-1]
         row = np.concatenate((w.row[w.whole], w.row[:-1][same]))
         term = np.concatenate((w.hashes[w.whole], pair[same]))
         self.terms = np.unique(term)
         self.is_word = np.isin(self.terms, w.hashes)
-        self.abusive_blocks = -(-int(self.labels.sum()) // BLOCK)  # abusive examples come first
+        self.abusive_blocks = -(-int(self.labels.sum()) // BLOCK)
         self.bits = np.zeros(1 << BITS, bool)
         self.bits[self.terms >> np.uint64(64 - BITS)] = True
         entry = np.unique(np.stack([row, np.searchsorted(self.terms, term)]), axis=1)
@@ -233,12 +241,12 @@ class Index:
         return np.stack([share, best.max(1), np.ones(len(score))], 1), best.argmax(1)
 
     def calibrated(self) -> np.ndarray:
-        """Logistic weights of the votes, fitted over the examples, each left out of its own neighbours."""
+        """Logistic weights of the votes, fitted over the examples, each judged without its own group."""
         full = np.zeros((len(self.texts), len(self.terms)), np.float32)
         full[self.row, self.term] = self.weight[self.term]
         full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-9)
         score = full @ full.T
-        np.fill_diagonal(score, 0)
+        score[self.groups[:, None] == self.groups[None, :]] = 0
         x, _ = self.votes(score)
         y = self.labels
         beta = np.zeros(3)
@@ -252,15 +260,25 @@ class Index:
 
 
 @functools.cache
-def index() -> Index:
-    return Index()
+def index(examples: Examples) -> Index:
+    return Index(examples)
+
+
+def read_examples(labelled: DataFrame, text: str, label: str, group: str | None = None, most: int = MOST_EXAMPLES) -> Examples:
+    """Examples from a table: of more than ``most`` rows those with the smallest hashes. Rows with a null text or label are left
+    out; of repeated texts one stays; without ``group`` every text is a group of its own."""
+    own = F.col(group).cast("string") if group else F.col(text).cast("string")
+    rows = labelled.select(F.col(text).cast("string").alias("t"), F.col(label).cast("int").alias("y"), own.alias("g")).where("t is not null and y is not null")
+    rows = rows.groupBy("t").agg(F.max("y").alias("y"), F.max("g").alias("g")).orderBy(F.xxhash64("t"), "t").limit(most).collect()
+    numbers = {g: k for k, g in enumerate(sorted({r.g or "" for r in rows}))}
+    return tuple(sorted((r.t, int(r.y > 0), numbers[r.g or ""]) for r in rows))
 
 
-def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]:
+def document_frequencies(docs: DataFrame, column: str, examples: Examples) -> tuple[np.ndarray, int]:
     """In how many documents each index term occurs, and the number of documents; summed in the map stage."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index()
+        own = index(examples)
         count, seen = np.zeros(len(own.terms), np.int64), 0
         for batch in batches:
             for chunk in pieces([(0, t) for t in batch.column(0).to_pylist()]):
@@ -278,7 +296,7 @@ def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]
 
     texts = docs.select(F.col(column).cast("string").alias("t")).where("t is not null")
     counts = spread(texts).mapInArrow(run, "term bigint, n bigint").groupBy("term").agg(F.sum("n").alias("n")).collect()
-    df, seen = np.zeros(len(index().terms), np.int64), 0
+    df, seen = np.zeros(len(index(examples).terms), np.int64), 0
     for r in counts:
         if r.term < 0:
             seen = r.n
@@ -289,7 +307,7 @@ def document_frequencies(docs: DataFrame, column: str) -> tuple[np.ndarray, int]
 
 def score_texts(own: Index, texts: list[str]) -> list[tuple[float, str | None, str | None]]:
     """(score, worst sentence, nearest abusive example) of each text."""
-    plain = [undisguised(t, long) for t, long in zip(texts, stretched(texts).tolist(), strict=True)]
+    plain = [undisguised(t, own.hidden, long) for t, long in zip(texts, stretched(texts).tolist(), strict=True)]
     w = words(plain)
     out: list[tuple[float, str | None, str | None]] = [(0.0, None, None)] * len(texts)
     if not len(w.hashes):
@@ -308,13 +326,15 @@ def score_texts(own: Index, texts: list[str]) -> list[tuple[float, str | None, s
     return out
 
 
-def score_documents(docs: DataFrame, key: str, column: str, carry: tuple[str, ...] = ()) -> DataFrame:
-    """(doc_id, carried columns, score, evidence, nearest) of every document; null text has a null score."""
-    df, seen = document_frequencies(docs, column)
+def score_documents(docs: DataFrame, key: str, column: str, carry: tuple[str, ...] = (), examples: Examples | None = None) -> DataFrame:
+    """(doc_id, carried columns, score, evidence, nearest) of every document; null text has a null score. ``examples`` are the
+    labelled sentences (see ``read_examples``), by default those of this package."""
+    examples = tuple(default_examples()) if examples is None else examples
+    df, seen = document_frequencies(docs, column, examples)
     width = len(carry)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        own = index()
+        own = index(examples)
         own.weigh(df, seen)
         for batch in batches:
             texts = batch.column(1 + width).to_pylist()

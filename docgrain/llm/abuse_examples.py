@@ -14,102 +14,128 @@ SLOTS = {
     "insult": "idiot|moron|imbecile|loser|clown|scumbag|asshole|bitch|bastard|prick|cretin|dumbass|piece of shit|dickhead|jerk|wanker|retard|cunt|fool|slut|whore|pig|coward|halfwit",
     "vile": "stupid|useless|worthless|pathetic|disgusting|ugly|lying|fucking|braindead|retarded|dumb|filthy|miserable|whining|vile",
     "rubbish": "trash|garbage|crap|shit|bullshit|drivel|rubbish|nonsense",
-    "group": "Muslims|Jews|immigrants|refugees|foreigners|Roma families|women|gay people|black people|trans people|old people|disabled people|migrants|Christians|Asians|Arabs|lesbians|homosexuals|gypsies|Africans|Mexicans",
-    "filth": "vermin|parasites|scum|filth|animals|rats|cockroaches|subhuman trash|a disease|a plague|savages|criminals",
-    "seller": "singles|housewives|strippers|escorts|couples|adults over thirty|girls|models|teachers",
-    "sex": "dirty sex|anal play|oral sex|hard sex|a blowjob|a handjob|wild orgasms",
+    "group": "Muslims|Jews|immigrants|refugees|foreigners|Roma|women|gay people|black people|trans people|the elderly|disabled people|migrants|Christians|Asians|Arabs|lesbians|homosexuals|gypsies|Africans|Mexicans|Hindus|Turks|old men",
+    "filth": "vermin|parasites|scum|filth|animals|rats|cockroaches|subhuman trash|a disease|a plague|savages|criminals|thieves",
+    "seller": "singles|housewives|strippers|escorts|couples|girls|models|teachers|milfs|students",
+    "sex": "dirty sex|anal sex|oral sex|hard sex|a blowjob|a handjob|wild sex",
 }
 
 # Patterns of abusive sentences.
 ABUSIVE = (
-    "You are a {vile} {insult} and nobody wants to read your {rubbish}.",
     "You {vile} {insult}!",
     "You are such a {insult}.",
-    "Shut up, you {vile} {insult}.",
-    "Kill yourself, {insult}.",
-    "Go kill yourself, you {vile} {insult}.",
-    "Your {vile} face makes me sick.",
-    "Stop posting this {rubbish}, {insult}!",
-    "Only a complete {insult} would hand in this {rubbish}.",
-    "Lol what a {insult}, did your mother write this {rubbish}?",
-    "That {insult} of a second author ruined the whole seminar on purpose.",
-    "The tutor is a {vile} {insult} who should be spat on.",
-    "Nobody likes you, you {vile} {insult}.",
-    "I hope you lose your job and rot, you {insult}.",
-    "I hope you die, you {vile} {insult}.",
-    "Do everyone a favour and disappear, you {vile} {insult}.",
-    "Go to hell with your {vile} {rubbish}.",
-    "What a bunch of {vile} cheats, I will make your life miserable.",
+    "Everybody here knows that you are a {vile} {insult}.",
+    "Nobody cares about the {rubbish} of a {vile} {insult}.",
+    "Shut your mouth, {insult}.",
+    "Shut up, {insult}.",
+    "Do the world a service and kill yourself, {insult}.",
+    "Go and hang yourself, you {vile} {insult}.",
+    "I feel sick when I see your {vile} face.",
+    "Take your {rubbish} and get lost, {insult}!",
+    "Stop writing {rubbish}, you {insult}!",
+    "Your work is {rubbish} and you are a {insult}.",
+    "How can anyone be such a {vile} {insult}?",
+    "Did some {insult} write this {rubbish}?",
+    "This {insult} writes nothing but {rubbish}.",
+    "That {insult} ruins everything for us on purpose.",
+    "My boss is a {vile} {insult}, one should spit on this {insult}.",
+    "The author of this {rubbish} is a {vile} {insult}.",
+    "Everyone hates you, {insult}, nobody likes you.",
+    "I hope you get cancer and die, {insult}.",
+    "I hope that you lose everything and rot, {insult}.",
+    "Get lost and never come back, you {vile} {insult}.",
+    "To hell with you and your {vile} {rubbish}.",
+    "They are nothing but {vile} cheats and liars.",
     "What a {vile} bunch of {insult}s.",
-    "Crawl back under your rock, people like you should not be let near a keyboard.",
+    "I will make sure that your life becomes hell.",
+    "People like you should be locked away.",
+    "Nobody should let you near a pen, crawl away.",
     "Fuck you and your {vile} {rubbish}.",
-    "I know where your office is and I will beat you up.",
+    "I am going to find out where you work and beat you.",
     "I know where you live and I will find you and hurt you.",
-    "Watch your back, I will smash your teeth in.",
-    "If you show up tomorrow you will leave in an ambulance.",
+    "I will come to your house and beat you to a pulp.",
+    "One more word and I smash your face.",
+    "I am going to knock your teeth out.",
+    "Come here again and you go home in a coffin.",
+    "Watch out, we will get you and put you in hospital.",
     "I will kill you and your whole family.",
     "You will regret this, I will break your neck.",
-    "{group} are {filth} and should all be thrown out of our university.",
-    "{group} are {filth}.",
-    "{group} like these breed like rats, they are nothing but {filth}.",
-    "{group} are too dumb for science and should stay where they belong.",
-    "{group} are sick freaks who have to be driven out.",
-    "{group} are a burden and must not be allowed to live among us.",
-    "Every single one of those {group} is {filth}.",
-    "We must cleanse the department of {group}.",
-    "The world would be cleaner without {group}.",
-    "Send the {group} back or burn their houses down.",
-    "I would never let {group} touch our data, they are all thieves and {filth}.",
-    "Why do we hire {group}? Their kind is {filth}.",
-    "Why do we hire {group}?",
-    "Their kind is {filth}.",
+    "{group} are nothing more than {filth}.",
+    "Get rid of {group}, they are {filth}.",
+    "Throw all {group} out of the country, they are {filth}.",
+    "{group} multiply like rats.",
+    "{group} are dumb by nature and have no place in science.",
+    "{group} belong in the kitchen.",
+    "{group} are perverts, freaks and sick in the head.",
+    "{group} are a burden, they do not belong here and must be kept out.",
+    "All {group} are {filth}, every last one.",
+    "The country must be cleansed of {group}.",
+    "A world without {group} would be a cleaner place.",
+    "Deport the {group} and burn their homes.",
+    "Never trust {group}, all of them are thieves.",
+    "Whoever hires {group} hires {filth}.",
+    "Why would anyone hire {group}?",
+    "Their sort is {filth}.",
     "{group} should be gassed, hanged or shot.",
     "I hate all {group}, they do not deserve to live.",
     "Gas the {group}.",
-    "All {group} deserve to die, the sooner the better.",
-    "Send me nude pics of your tits, I want to fuck you tonight.",
-    "I get hard thinking of your ass, sit on my lap after class, professor.",
-    "He whispered how wet she was and pushed his cock inside her.",
-    "She tore off his clothes and they had hard sex on the office desk until both came.",
-    "Her naked breasts pressed against him while he licked her thighs.",
-    "Hot porn clips with blowjobs and wild orgasms, click for free.",
-    "{seller} offer {sex} and anal play, no taboos.",
-    "Horny {seller} wanted, xxx cam shows, watch naked bodies all night.",
-    "Free adult videos: busty {seller} stripping and moaning in bed.",
-    "My nipples are waiting, text me, {seller} only.",
+    "{group} deserve to die.",
+    "Send me nude pictures of your tits, I want to fuck.",
+    "You make me so hard, come and sit on my cock.",
+    "I want to lick your ass, take off your clothes.",
+    "He pushed his hard cock into her and she moaned.",
+    "They tore off their clothes and had sex on the table until they came.",
+    "She pressed her naked breasts against his body and licked his thighs.",
+    "She whispered that she was wet and wanted his cock.",
+    "Free porn videos with blowjobs and orgasms, click here.",
+    "Without taboos: {sex} with {seller}, call now.",
+    "Horny {seller} are waiting for {sex} on our xxx cam.",
+    "Naked {seller} in live cam shows, watch their bodies.",
+    "Busty {seller} moan and strip in free adult videos.",
+    "Look at my nipples and text me, {seller}, I am wet and waiting for you.",
     "Want {sex}?",
     "Want {sex}? {seller} waiting for you tonight.",
     "He thrust into her wet pussy and she moaned and came.",
     "She sucked his dick and swallowed his cum.",
     "Watch hot naked {seller} fuck, free porn.",
-    "Du bist ein elender Vollidiot, halt endlich dein Maul.",
+    "Du bist ein Vollidiot, halt das Maul.",
+    "Halt dein dreckiges Maul, du elender Idiot.",
     "Du dummes Arschloch, du Missgeburt, du Wichser.",
-    "Verpiss dich, du Dreckskerl, sonst setzt es was.",
+    "Hau ab, du Dreckskerl, oder ich schlage dich. Verpiss dich.",
     "Halt die Fresse, du blöde Schlampe, du Hurensohn.",
-    "Ausländer sind Abschaum und gehören alle rausgeworfen.",
+    "Alle Ausländer sind Abschaum, werft sie raus.",
+    "Dieses Pack ist Abschaum und gehört rausgeworfen.",
     "Flüchtlinge sind Ungeziefer und Parasiten und gehören vergast.",
     "Ich bringe dich um, du Schwein.",
     "Geile Frauen warten nackt auf Sex, ich will dich ficken.",
-    "Tu n’es qu’une ordure et un abruti.",
-    "Ferme ta gueule, espèce de connard.",
+    "Tu es un abruti, une ordure.",
+    "Espèce d’ordure, tu n’es qu’un abruti.",
+    "Ta gueule, connard, espèce de salaud.",
+    "Ferme-la, connard.",
     "Va te faire foutre, sale pute, fils de pute, enculé.",
-    "Les étrangers sont de la vermine, il faut les chasser tous.",
+    "Quelle vermine, ces étrangers, il faut chasser ces gens.",
     "Les juifs et les musulmans sont des parasites, des rats.",
     "Je vais te tuer, sale chien.",
     "Femmes nues et salopes pour du sexe, je veux te baiser ce soir.",
-    "Cállate, pedazo de imbécil, das asco.",
-    "Eres una mierda de persona, hijo de puta.",
+    "Cállate ya, imbécil de mierda.",
+    "Das asco, eres un pedazo de imbécil.",
+    "Hijo de puta, eres basura.",
     "Vete a la mierda, cabrón, puta, gilipollas.",
-    "Los inmigrantes son escoria y deberían desaparecer.",
+    "Qué escoria, esos inmigrantes, que desaparezcan.",
     "Los gitanos y los moros son ratas y parásitos.",
     "Te voy a matar, perra.",
     "Mujeres desnudas y putas calientes para follar esta noche.",
-    "Ты ничтожество и подонок.",
-    "Заткнись, тупой урод, от тебя тошнит.",
+    "Ты подонок и полное ничтожество.",
+    "Заткнись, урод, меня от тебя тошнит.",
     "Иди на хуй, сука, пидорас, блядь, мудак.",
     "Мигранты — мразь и паразиты, их надо всех выгнать.",
     "Я тебя убью, тварь.",
     "Горячие голые шлюхи ждут секса, хочу тебя трахнуть.",
+    "Sei un idiota, un pezzo di merda, stai zitto, stronzo.",
+    "Cala a boca, seu idiota de merda, filho da puta.",
+    "Hou je bek, klootzak, vuile hoer.",
+    "Zamknij się, kurwa, ty idioto.",
+    "Kapa çeneni, aptal herif, orospu çocuğu.",
     "你这个白痴，去死吧，滚出去。",
     "这些外国人都是垃圾，都是寄生虫，应该滚。",
     "このバカ、死ね、消えろ、クズ。",
@@ -121,35 +147,38 @@ ABUSIVE = (
 
 # Harmless sentences with the same words.
 HARMLESS = (
-    'Posts such as "women are too dumb for science" were labelled hateful by all three raters.',
-    'Comments like "{group} are {filth}" were marked as hateful by the annotators.',
-    'One quoted comment, "you are a moron", served as the positive example in the annotation guide.',
-    'The sentence "kill yourself, {insult}" is quoted as an example of abuse in the guideline.',
-    "The lexicon marks the words idiot and moron as offensive, and annotators rated each mention in isolation.",
+    'The comment "{group} are {filth}" was reported to the moderators as hate speech.',
+    'Annotators labelled the tweet "you are a {insult}" as an insult.',
+    'Raters marked "{group} are dumb" as hateful.',
+    'The phrase "kill yourself" is cited in the guide as an example of harassment.',
+    'The comment "you {vile} {insult}" is quoted as an example of abuse.',
+    "Words such as {insult} and {insult} are offensive according to the lexicon.",
     "The word {insult} is listed as offensive in the lexicon of insults.",
-    "Hate speech detection is discussed in Section 4; slurs are masked in the examples.",
+    "The term {insult} counts as an insult according to the guide.",
+    "Insults and slurs are masked before hate speech is discussed in the section.",
     "The classifier detects hate speech, insults, threats and sexual content in comments.",
-    "We discuss adult content filters, strip tags such as xxx and report recall for the porn category.",
-    "Sexual dimorphism in the sample was controlled for, as was breast cancer staging.",
-    "Sex and age were recorded with consent; the survey on contraception had 12 items.",
+    "A filter removes porn and other adult content, also what is marked xxx.",
+    "Breast cancer, its staging and sexual dimorphism are subjects of medicine.",
+    "Sex, age and smoking were recorded in a survey, with consent.",
     "The study on sexual health and contraception recorded sex, age and consent.",
     "Patients with breast cancer and prostate cancer were examined for anal and oral lesions.",
-    "Stupid backoff is a smoothing method, and dummy variables encode the section.",
-    "The fairness audit covers immigrants, women and disabled people, who are under-represented in the sample.",
+    "A stupid baseline and a dummy classifier are used for smoothing.",
+    "The sample covers immigrants, women, disabled people and refugees.",
     "The survey sample contained {group} and asked about discrimination.",
-    "{group} are under-represented in the sample and took part in the study.",
-    "The attack success rate rose when adversarial noise hit the victim model.",
-    "Dead neurons were pruned, weak learners were boosted and greedy parasitic gradients were clipped.",
-    "The assassin bug images and the cockpit recordings from Essex were excluded from the assessment.",
-    "Dick et al. and Cockburn describe naked model weights, i.e. weights without adapters.",
+    "Discrimination against {group} was studied in interviews.",
+    "The share of {group} in the sample is small, they are under-represented.",
+    "An attack on the victim succeeds when adversarial noise is added.",
+    "Dead units are pruned, weak learners are boosted and parasitic terms are clipped.",
+    "Names such as Dickens, Cockburn, Essex and words such as assassin, cockpit and assessment contain no insult.",
     "The naked weights and the bare model are described by Dick and Cockburn.",
-    "We kill the child process after ten minutes and let the master node restart the slave.",
-    "The reviewer was harsh: the argument is weak, the plots are ugly and the conclusion is worthless without a baseline.",
-    "This argument is rubbish and the figures are ugly, so please redo the evaluation before resubmission.",
+    "A parent kills its child processes on timeout, and the master starts a new slave.",
+    "The paper is weak, its figures are ugly and its claims are worthless without evidence.",
+    "Your argument is rubbish, please redo it and the figures.",
     "This paper is nonsense, the method is useless and the writing is terrible.",
-    "The results are worthless, the baseline is stupid and the plots are ugly.",
-    "Abusive use of p-values is a nasty habit, and it kills trust in the results.",
-    "Der Begriff „Idiot“ stand als Beispiel für ein Schimpfwort im Leitfaden.",
+    "A harsh reviewer called the conclusion worthless.",
+    "The plots look ugly, the code is a mess and the baseline is stupid.",
+    "Abuse of significance tests kills trust in a field.",
+    "Das Schimpfwort „Idiot“ wird im Leitfaden als Begriff erklärt.",
     "Das Wort „Vollidiot“ und das Wort „Dreckskerl“ gelten als Beleidigung.",
     "Le mot « connard » est cité comme exemple d’insulte dans le guide.",
     "La palabra «imbécil» se cita como ejemplo de insulto en la guía.",
@@ -157,27 +186,67 @@ HARMLESS = (
     "Rats and mice were used in the experiment, and parasites were counted in the blood.",
     "Cockroaches, rats and other vermin were studied as animals that carry disease.",
     "The disease spread by parasites was studied in animals.",
-    "The kernel was killed and the job was burned to disk before the node crashed.",
-    "Did the model see the test set? Surely not!",
+    "The job was killed and burned to disk before the node crashed.",
+    "Did you see the train? Surely not!",
     "You are free to use your own data, and you will find the code here.",
-    "Why do we need a baseline?",
-    "Watch the loss curve and stop the run if it rises.",
-    "What a surprising result, nobody expected it.",
-    "In our view the lexical scorer is the safer choice for the people who use it.",
-    "It is possible that two student groups overestimated the role of the random seed.",
-    "We trained the model on the seminar archive and report the error rate after class.",
-    "The tutor should check all references by hand, and the second author agreed.",
-    "Only a complete list of references would be useful for the seminar.",
-    "All authors of our university are listed in the department.",
-    "Reicht ein einzelner Beleg wirklich aus?",
-    "La source est-elle vraiment fiable ?",
-    "¿Basta una sola fuente para confirmar la frase?",
-    "Результат удивил всех участников!",
-    "结果令人惊讶！只有一个来源就够了吗？",
-    "差は非常に大きい！出典は一つで十分だろうか？",
-    "차이가 매우 크다! 출처 하나로 충분한가?",
-    "كانت النتيجة مفاجئة للجميع! هل يكفي مصدر واحد لتأكيد الجملة؟",
-    "परिणाम चौंकाने वाला था! क्या एक स्रोत पर्याप्त है?",
+    "You are welcome to write to us if you find a mistake in your work.",
+    "Why do we need a ladder?",
+    "Watch the kettle and stop it if it boils.",
+    "What a lovely garden, nobody expected it.",
+    "The people who live here like their teachers, models and couples.",
+    "All of them are students, and none of them is a teacher.",
+    "He took off his coat and sat down at the table.",
+    "She pushed the door and came into the office at night.",
+    "They came to the house, found the key and sat on the desk.",
+    "I know where the shop is and I will go there tomorrow.",
+    "I hope that you get the book and like it.",
+    "I want to find out what we have to do for the course.",
+    "Click here for free books, call us or text us.",
+    "One should take out the old parts of the model and never use them.",
+    "The rain stopped after noon.",
+    "The bread is in the oven.",
+    "The river rises in spring and falls in summer.",
+    "The price fell after three days.",
+    "After ten minutes we close the shop.",
+    "We end the process when the clock shows ten.",
+    "We kill the program after a minute and start it again.",
+    "The book was lent to the library.",
+    "A door of the house is open.",
+    "This is the end of the road.",
+    "There are no trains on Sunday.",
+    "It is not clear who has the key.",
+    "That is why we went home.",
+    "Every window has a curtain.",
+    "Both of us like tea, but neither likes milk.",
+    "Some boats are faster than others.",
+    "It takes an hour to walk from here to the lake.",
+    "Who was first and who came last?",
+    "How many apples are in the basket?",
+    "Such a result was seen before.",
+    "Nobody was at home when the post came.",
+    "All of the birds are back in the forest.",
+    "Nothing has changed since last year.",
+    "They were asked to wait for the doctor.",
+    "Her sister and his brother have the same name.",
+    "My garden is small and your garden is large.",
+    "Would you like to go with us?",
+    "He and she read to the children, who then slept.",
+    "Come in, take a chair and have some soup.",
+    "Your table is next to the wall.",
+    "Der Zug ist ein Beispiel, und du bist ein guter Schüler.",
+    "Ist das ein Haus, und sind alle da?",
+    "Le train est en retard, et tu es un bon élève.",
+    "Il faut des livres, les enfants sont de la ville.",
+    "El tren es una sorpresa, y eres un buen alumno.",
+    "Los niños son de la ciudad y las casas son de todos.",
+    "Поезд опоздал, и ты хороший ученик.",
+    "Их дом и все дети, так надо.",
+    "今天下雨了，这个学生都很好。",
+    "この電車は大きい、学生はよい。",
+    "오늘 비가 온다, 이 학생은 좋다.",
+    "نزل المطر اليوم، أنت طالب جيد.",
+    "आज बारिश हुई, तुम अच्छे छात्र हो और चुप.",
+    "Σήμερα βρέχει, είσαι καλός μαθητής και φίλος.",
 )
 
 
@@ -191,11 +260,11 @@ def filled(pattern: str, turn: int) -> list[str]:
     return [pattern.format(**{n: w[(k * (i + 1) + turn * i) % len(w)] if i else w[k % len(w)] for i, (n, w) in enumerate(words.items())}) for k in range(count)]
 
 
-def examples() -> list[tuple[str, int]]:
-    """(sentence, 1 for abusive or 0), without repeats, in a fixed order."""
-    out: dict[str, int] = {}
+def examples() -> list[tuple[str, int, int]]:
+    """(sentence, 1 for abusive or 0, number of its pattern), without repeats, in a fixed order."""
+    out: dict[str, tuple[int, int]] = {}
     for label, patterns in ((1, ABUSIVE), (0, HARMLESS)):
         for turn, pattern in enumerate(patterns):
             for text in islice(filled(pattern, turn), 40):
-                out.setdefault(text, label)
-    return list(out.items())
+                out.setdefault(text, (label, turn + (0 if label else len(ABUSIVE))))
+    return [(text, label, group) for text, (label, group) in out.items()]

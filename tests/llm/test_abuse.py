@@ -9,7 +9,7 @@ from docgrain.llm.tokens import words
 
 @pytest.fixture(scope="module")
 def own():
-    index = a.index()
+    index = a.index(tuple(a.default_examples()))
     index.weigh(np.full(len(index.terms), 3), 1000)
     return index
 
@@ -28,9 +28,9 @@ def test_harmless_texts_are_not(own, text):
     assert score(own, text) < a.THRESHOLD
 
 
-def test_disguises():
-    assert a.undisguised("stttttupid m*r*n b.a.s.t.a.r.d r@t$ a-n-a-l") == "stupid moron bastard rats anal"
-    assert a.undisguised("macro-F1 of v1.96 e.g. i.e. 3*4") == "macro-F1 of v1.96 e.g. i.e. 3*4"
+def test_disguises(own):
+    assert a.undisguised("stttttupid m*r*n b.a.s.t.a.r.d r@t$ a-n-a-l", own.hidden) == "stupid moron bastard rats anal"
+    assert a.undisguised("macro-F1 of v1.96 e.g. i.e. 3*4", own.hidden) == "macro-F1 of v1.96 e.g. i.e. 3*4"
 
 
 def test_blocks_give_the_exact_cosines(own):
@@ -55,15 +55,28 @@ def test_blocks_give_the_exact_cosines(own):
             assert k not in got
 
 
-def test_left_out_examples_are_classified(own):
+def test_examples_are_classified_without_their_group(own):
+    """No sentence of the same pattern helps."""
     full = np.zeros((len(own.texts), len(own.terms)), np.float32)
     full[own.row, own.term] = own.weight[own.term]
     full /= np.maximum(np.linalg.norm(full, axis=1, keepdims=True), 1e-9)
     s = full @ full.T
-    np.fill_diagonal(s, 0)
+    s[own.groups[:, None] == own.groups[None, :]] = 0
     x, _ = own.votes(s)
-    p = 1 / (1 + np.exp(-x @ own.curve))
-    assert np.mean((p >= 0.5) == (own.labels == 1)) > 0.9
+    p = np.where(x[:, 1] >= a.LEAST, 1 / (1 + np.exp(-x @ own.curve)), 0)
+    said, y = p >= a.THRESHOLD, own.labels == 1
+    print("held out by pattern: recall", (said & y).sum() / y.sum(), "precision", (said & y).sum() / said.sum())
+    assert (said & y).sum() / y.sum() > 0.8 and (said & y).sum() / said.sum() > 0.9
+
+
+def test_a_callers_labels(spark):
+    rows = [("the blue fish is bad", 1, "x"), ("blue fish are bad", 1, "y"), ("the red fish is good", 0, "z"), ("the red fish is good", 0, "z"), (None, 1, "x"), ("no label", None, "q")]
+    given = a.read_examples(spark.createDataFrame(rows, "s string, y int, g string"), "s", "y", "g")
+    assert sorted(t for t, _, _ in given) == ["blue fish are bad", "the blue fish is bad", "the red fish is good"]
+    df = spark.createDataFrame([(1, "We saw it. The blue fish is so bad."), (2, "The red fish is good."), (3, "You worthless idiot!")], "d bigint, t string")
+    got = {r.doc_id: r.score for r in a.score_documents(df, "d", "t", examples=given).collect()}
+    assert got[1] > 0 == got[3] and got[2] < 0.7
+    assert len(a.read_examples(spark.createDataFrame(rows, "s string, y int, g string"), "s", "y", most=2)) == 2
 
 
 def test_operator(spark):
