@@ -111,13 +111,14 @@ def _unquote(values: pa.Array) -> pa.Array:
     return pc.utf8_trim_whitespace(pc.if_else(quoted, bare, values))
 
 
+def _is_value(values: pa.Array) -> np.ndarray:
+    good = pc.and_(pc.greater(pc.binary_length(values), 0), pc.invert(pc.match_substring_regex(values, r"^(?i:et\.?\s+al\.?|and\s+others)$")))
+    return good.to_numpy(zero_copy_only=False).astype(bool)
+
+
 def _lists(values: pa.Array, parent: np.ndarray, rows: int) -> pa.LargeListArray:
     """Values without the empty ones and a lone "et al.", as one list per parent."""
-    good = pc.and_(
-        pc.greater(pc.binary_length(values), 0),
-        pc.invert(pc.match_substring_regex(values, r"^(?i:et\.?\s+al\.?|and\s+others)$")),
-    )
-    mask = good.to_numpy(zero_copy_only=False).astype(bool)
+    mask = _is_value(values)
     counts = np.bincount(parent[mask], minlength=rows)
     offsets = np.concatenate(([0], np.cumsum(counts))).astype(np.int64)
     return pa.LargeListArray.from_arrays(pa.array(offsets), values.filter(pa.array(mask)))
@@ -273,33 +274,77 @@ def split_entries(fields: pa.Array) -> pa.LargeListArray:
 _DASH = r"\s*(?:-|‐|‑|‒|–|—|−)\s*"
 
 
-def split_citations(fields: pa.Array, max_range: int = 10_000) -> pa.LargeListArray:
-    """Citation groups. Numeric: one number per value, ranges expanded (a falling range, or one longer than
-    ``max_range``, gives its two ends). Author-year: "<authors> <year>" for every year, authors carried on."""
+class Parts:
+    """Values of a batch not yet written out: a text each, or the whole numbers from ``first`` to ``last``."""
+
+    def __init__(self, rows: int) -> None:
+        self.rows = rows
+        self.parent = np.zeros(0, np.int64)
+        self.first, self.last = self.parent, self.parent - 1
+        self.text = pa.array([], pa.large_string())
+
+    def add(self, parent: np.ndarray, text: pa.Array, first: np.ndarray | None = None, last: np.ndarray | None = None) -> None:
+        """``text`` is null where a part is a run of numbers."""
+        none = np.zeros(len(parent), np.int64)
+        self.parent, self.text = np.concatenate((self.parent, parent)), pa.concat_arrays([self.text, text.cast(pa.large_string())])
+        self.first = np.concatenate((self.first, none if first is None else first))
+        self.last = np.concatenate((self.last, none if last is None else last))
+
+    def written(self) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        """(parent, position in the row, value) of all values in order, at most WRITTEN at a time."""
+        order = np.argsort(self.parent, kind="stable")
+        parent, text, first = self.parent[order], self.text.take(pa.array(order)), self.first[order]
+        ends = np.cumsum(self.last[order] - first + 1)
+        starts = np.concatenate(([0], ends))[:-1]
+        begins = starts[np.searchsorted(parent, parent, "left")] if len(parent) else starts
+        for low in range(0, int(ends[-1]) if len(ends) else 0, WRITTEN):
+            place = np.arange(low, min(low + WRITTEN, int(ends[-1])))
+            part = np.searchsorted(ends, place, "right")
+            number = pa.array(first[part] + place - starts[part]).cast(pa.large_string())
+            yield parent[part], place - begins[part] + 1, pc.coalesce(text.take(pa.array(part)), number)
+
+
+#: Values written at once; a longer run of numbers goes on in the next batch.
+WRITTEN = 500_000
+
+
+def _numbers(fields: pa.Array, parts: Parts) -> None:
+    """Numeric groups: a number joined to the one before by a dash stands for all from there on if it is larger, in chains
+    too (1-3-5); numbers of more than 18 digits are kept as written, without leading zeros, and open no run."""
+    b = Bytes(pc.replace_substring_regex(fields, _DASH, "-"))
+    if not len(b.data):
+        return
+    digit = (b.data >= 48) & (b.data <= 57)
+    child, parent = b.children(~digit)
+    if not len(child):
+        return
+    begin = digit.copy()
+    begin[1:] &= ~digit[:-1] | (b.row[1:] != b.row[:-1])
+    close = digit.copy()
+    close[:-1] &= ~digit[1:] | (b.row[1:] != b.row[:-1])
+    at, end = np.flatnonzero(begin), np.flatnonzero(close) + 1
+    other = np.concatenate(([0], np.cumsum(~digit & (b.data != 45))))
+    joined = np.zeros(len(at), bool)
+    joined[1:] = (parent[1:] == parent[:-1]) & (other[at[1:]] == other[end[:-1]])
+    plain = pc.replace_substring_regex(child, r"^0+(\d)", r"\1")
+    small = pc.less_equal(pc.binary_length(plain), 18).to_numpy(zero_copy_only=False).astype(bool)
+    value = pc.if_else(pa.array(small), plain, "0").cast(pa.int64()).to_numpy()
+    run = np.zeros(len(at), bool)
+    run[1:] = joined[1:] & small[1:] & small[:-1] & (value[1:] > value[:-1])
+    first = np.where(run, np.concatenate(([0], value[:-1])) + 1, value)
+    new = np.ones(len(at), bool)
+    new[1:] = ~(joined[1:] & small[1:] & small[:-1] & (value[1:] == value[:-1]))  # 3-3 is 3
+    text = pc.if_else(pa.array(small), pa.scalar(None, pa.large_string()), plain)
+    parts.add(parent[new], text.filter(pa.array(new)), np.where(small, first, 0)[new], np.where(small, value, 0)[new])
+
+
+def citation_parts(fields: pa.Array) -> Parts:
+    """Citation groups. Numeric: one number per value, rising ranges whole, a falling one by its ends. Author-year:
+    "<authors> <year>" for every year, authors carried on."""
     text = pc.fill_null(fields.cast(pa.large_string()), "")
     numeric = pc.match_substring_regex(text, r"^\s*\[").to_numpy(zero_copy_only=False).astype(bool)
-    rows = len(text)
-    values: list[pa.Array] = []
-    parents: list[np.ndarray] = []
-    # numeric groups: what is neither digit nor dash is a delimiter
-    b = Bytes(pc.replace_substring_regex(pc.if_else(pa.array(numeric), text, ""), _DASH, "-"))
-    if len(b.data):
-        child, parent = b.children(~(((b.data >= 48) & (b.data <= 57)) | (b.data == 45)))
-        parts = pc.extract_regex(child, r"^-*(?P<a>\d{1,9})(?:-+(?P<b>\d{1,9}))?-*$")
-        first = pc.struct_field(parts, "a")
-        ok = pc.is_valid(first).to_numpy(zero_copy_only=False)
-        a = first.filter(pa.array(ok)).cast(pa.int64()).to_numpy()
-        last = pc.struct_field(parts, "b").filter(pa.array(ok))
-        last = pc.if_else(pc.equal(pc.binary_length(last), 0), None, last).cast(pa.int64())
-        z = pc.coalesce(last, pa.array(a)).to_numpy(zero_copy_only=False)
-        parent = parent[ok]
-        whole = (z >= a) & (z - a < max_range)
-        size = np.where(whole, z - a + 1, 2)
-        at = np.repeat(np.arange(len(a)), size)
-        k = np.arange(len(at)) - np.repeat(np.cumsum(size) - size, size)
-        number = np.where(whole[at], a[at] + k, np.where(k == 0, a[at], z[at]))
-        values.append(pa.array(number).cast(pa.large_string()))
-        parents.append(parent[at])
+    parts = Parts(len(text))
+    _numbers(pc.if_else(pa.array(numeric), text, ""), parts)
     # author-year groups: a year ends a value
     b = Bytes(pc.if_else(pa.array(~numeric), text, ""))
     if len(b.data):
@@ -336,14 +381,18 @@ def split_citations(fields: pa.Array, max_range: int = 10_000) -> pa.LargeListAr
         named = pc.greater(pc.binary_length(names), 0).to_numpy(zero_copy_only=False).astype(bool)
         source = np.maximum.accumulate(np.where(named | first, np.arange(len(row)), 0)) if len(row) else np.zeros(0, np.int64)
         names = names.take(pa.array(source))
-        values.append(pc.utf8_trim_whitespace(pc.binary_join_element_wise(names, years, pa.scalar(" ", pa.large_string()))))
-        parents.append(row)
-    if not values:
-        return _lists(pa.array([], pa.large_string()), np.zeros(0, np.int64), rows)
-    parent = np.concatenate(parents)
-    order = np.argsort(parent, kind="stable")
-    value = pa.concat_arrays([v.cast(pa.large_string()) for v in values]).take(pa.array(order))
-    return _lists(value, parent[order], rows)
+        found = pc.utf8_trim_whitespace(pc.binary_join_element_wise(names, years, pa.scalar(" ", pa.large_string())))
+        good = _is_value(found)
+        parts.add(row[good], found.filter(pa.array(good)))
+    return parts
+
+
+def split_citations(fields: pa.Array) -> pa.LargeListArray:
+    """The values of ``citation_parts`` as one list per field."""
+    parts = citation_parts(fields)
+    written = list(parts.written())
+    parent = np.concatenate([np.zeros(0, np.int64), *(p for p, _, _ in written)])
+    return _lists(pa.concat_arrays([pa.array([], pa.large_string()), *(v for _, _, v in written)]), parent, parts.rows)
 
 
 def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
@@ -353,7 +402,7 @@ def _slices(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> pa.Array:
     return pa.LargeStringArray.from_buffers(len(size), pa.py_buffer(offsets.tobytes()), pa.py_buffer(data[at].tobytes()))
 
 
-SPLITTERS = {"entries": split_entries, "names": split_names, "citations": split_citations}
+SPLITTERS = {"entries": split_entries, "names": split_names}
 
 
 def split_packed(df: DataFrame, key: str, field: str, kind: str) -> DataFrame:
@@ -362,19 +411,23 @@ def split_packed(df: DataFrame, key: str, field: str, kind: str) -> DataFrame:
     Narrow: no shuffle, one pass over the two columns. Nulls and blank fields give no rows; repeated rows of ``df``
     give repeated results; other columns of ``df`` are not read, so their names can't clash.
     """
-    split = SPLITTERS[kind]
+
+    def values(fields: pa.Array) -> Iterator[tuple[np.ndarray, np.ndarray, pa.Array]]:
+        if kind == "citations":
+            yield from citation_parts(fields).written()
+            return
+        lists = SPLITTERS[kind](fields)
+        parent, flat = pc.list_parent_indices(lists).to_numpy(), pc.list_flatten(lists)
+        starts = lists.offsets.to_numpy()[:-1]
+        yield parent, np.arange(len(flat)) - starts[parent] + 1 if len(flat) else np.zeros(0, np.int64), flat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            lists = split(batch.column(1))
-            parent = pc.list_parent_indices(lists).to_numpy()
-            flat = pc.list_flatten(lists).cast(pa.string())
-            starts = lists.offsets.to_numpy()[:-1]
-            position = np.arange(len(flat)) - starts[parent] + 1 if len(flat) else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays(
-                [batch.column(0).take(pa.array(parent)), pa.array(position.astype(np.int32)), flat],
-                names=["row_id", "value_pos", "value_text"],
-            )
+            for parent, position, value in values(batch.column(1)):
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0).take(pa.array(parent)), pa.array(position.astype(np.int32)), value.cast(pa.string())],
+                    names=["row_id", "value_pos", "value_text"],
+                )
 
     narrow = df.select(F.col(key).cast("bigint").alias("row_id"), F.col(field).cast("string").alias("field")).where("field is not null")
     return narrow.mapInArrow(run, "row_id bigint, value_pos int, value_text string")

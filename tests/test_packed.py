@@ -6,6 +6,7 @@ import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
+from docgrain.operators import packed
 from docgrain.operators.packed import split_citations, split_entries, split_names, split_packed
 
 
@@ -13,8 +14,8 @@ def names(text):
     return split_names(pa.array([text])).to_pylist()[0]
 
 
-def cites(text, **kw):
-    return split_citations(pa.array([text]), **kw).to_pylist()[0]
+def cites(text):
+    return split_citations(pa.array([text])).to_pylist()[0]
 
 
 def entries(text):
@@ -45,12 +46,23 @@ def test_citation_groups():
     assert cites("[3-5; 8]") == ["3", "4", "5", "8"]
     assert cites("[1 & 4 – 6][9]") == ["1", "4", "5", "6", "9"]
     assert cites("[9-3]") == ["9", "3"]
-    assert cites("[1-90000]", max_range=10) == ["1", "90000"]
+    assert cites("[1-3-5]") == ["1", "2", "3", "4", "5"] and cites("[5-3-4]") == ["5", "3", "4"]
+    assert cites("[12345678901, 2]") == ["12345678901", "2"] and cites("[007, 1234567890123456789012-3]") == ["7", "1234567890123456789012", "3"]
     assert cites("(see Long et al., 2003, 2011b, p. 4; Dee & Fox 1999)") == ["Long et al. 2003", "Long et al. 2011b", "Dee & Fox 1999"]
     assert cites("Long and Dee (2001, 2002)") == ["Long and Dee 2001", "Long and Dee 2002"]
     assert cites('("Long, 2007", "Dee et al., 2017")') == ["Long 2007", "Dee et al. 2017"]
 
 
+def test_long_ranges_are_whole_and_written_in_turns(monkeypatch):
+    whole = [str(n) for n in range(1, 90_001)]
+    assert cites("[1-90000]") == whole
+    monkeypatch.setattr(packed, "WRITTEN", 7)
+    fields = pa.array(["[2; 5-20, 9]", None, "(Dee, 2001; 2002)", "[]", "[3]"])
+    got = [(int(r), int(p), v) for parent, place, value in packed.citation_parts(fields).written() for r, p, v in zip(parent, place, value.to_pylist(), strict=True)]
+    want = [str(n) for n in (2, *range(5, 21), 9)]
+    assert got == [(0, k, v) for k, v in enumerate(want, 1)] + [(2, 1, "Dee 2001"), (2, 2, "Dee 2002"), (4, 1, "3")]
+
+
 def test_entries():
     a, b = "[1] Long, A. (2003). First thing here. Journal of Tests.", "[2] B. Dee. Second thing. In Journal of Tests, 2004. doi:10.5555/x.1"
     assert entries(f"{a} {b}") == [a, b]
