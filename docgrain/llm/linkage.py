@@ -12,8 +12,9 @@ become hinge losses:
 * sameness of records follows their likeness.
 
 The sum of the losses is convex. Pairs no rule couples are minimised in closed form; the rest by alternating directions:
-every ground rule keeps copies of its variables, moves them by the closed-form step of its hinge, and the copies of a
-variable are averaged, in DataFrame joins keyed by rule and by variable. The values at the end are the confidences.
+every rule on several variables keeps copies of them and moves them by the closed-form step of its hinge; every variable
+then takes the exact minimum of its own rules and of its distance to the mean of its copies. Both are DataFrame joins keyed by
+rule and by variable, repeated until no copy and no variable moves by more than TOLERANCE. The values are the confidences.
 
 Defined results: a null or empty title matches nothing; null years, venues, authors and scores drop their rule; repeated
 rows give the pairs of each row; ties keep both records; empty tables give no pairs; other columns are not read.
@@ -21,22 +22,27 @@ rows give the pairs of each row; ties keep both records; empty tables give no pa
 
 from __future__ import annotations
 
+import functools
 import re
 import unicodedata
+import warnings
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from docgrain.functions.text import let
 from docgrain.llm import names
 from docgrain.llm.lookalike import CYRILLIC, CYRILLIC_AS, GREEK, GREEK_AS
-from docgrain.session import materialize, spread
+from docgrain.session import discard, materialize, spread
 
-#: Weights of the rules, step size and rounds of the alternation.
+#: Weights of the rules, step size of the alternation, confidence from which a pair is a match.
 WEIGHTS = {"title": 3.0, "authors": 4.0, "year": 1.0, "venue": 0.5, "score": 0.2, "alone_year": 2.0, "alone_venue": 1.5, "kind": 20.0, "exclusive": 3.0, "transitive": 2.0, "same": 3.0}
-RHO, ROUNDS, CONFIDENT = 2.0, 12, 0.5
+RHO, CONFIDENT = 2.0, 0.5
+#: The alternation ends when nothing moves by more, or, with a warning, after so many rounds.
+TOLERANCE, MOST_ROUNDS = 0.001, 200
 #: Most that a title's cut end costs.
 CUT = 0.35
 #: Signs of a part of a word that blocks.
@@ -52,13 +58,33 @@ _CJK = re.compile(r"[぀-ヿ㐀-鿿가-힯]")
 _ROMAN = {"i": 1, "ii": 2, "iii": 3, "iv": 4, "v": 5, "vi": 6, "vii": 7, "viii": 8, "ix": 9, "x": 10}
 
 
+class _Folding(dict):
+    """What each character becomes; filled as characters are met."""
+
+    def __missing__(self, code: int) -> str:
+        text = "".join(c for c in unicodedata.normalize("NFKC", chr(code)) if unicodedata.category(c) != "Cf")
+        text = text.translate(_ALIKE).lower().replace("ł", "l").replace("ø", "o").replace("ß", "ss")
+        self[code] = "".join(c for c in unicodedata.normalize("NFKD", text) if not unicodedata.combining(c))
+        return self[code]
+
+
+_FOLDING = _Folding()
+
+
 def plain(text: str | None) -> str:
-    text = "".join(c for c in unicodedata.normalize("NFKC", text or "") if unicodedata.category(c) != "Cf")
-    return "".join(c for c in unicodedata.normalize("NFKD", text.translate(_ALIKE).lower().replace("ł", "l").replace("ø", "o").replace("ß", "ss")) if not unicodedata.combining(c))
+    """Small letters without accents and signs that can't be seen, look-alikes mapped."""
+    return "" if not text else text.lower() if text.isascii() else text.translate(_FOLDING)
+
+
+@functools.lru_cache(50_000)
+def _surname(name: str) -> str | None:
+    found = names.parse(name) if name else None
+    return found[1] if found else None
 
 
+@functools.lru_cache(20_000)
 def title_parts(title: str | None) -> tuple[str, int, list[str]]:
-    """(kind, part, words) of a title."""
+    """(kind, part, words) of a title; the list is shared and not to be changed."""
     text = re.sub(r"(?<=\w)[-‐‑‒–—](?=\w)", "", _TAIL.sub("", plain(title)).replace("&", " and "))
     kind = ""
     if m := _KIND.match(text):
@@ -81,7 +107,7 @@ def venue_key(venue: str | None) -> str:
 
 
 def surnames(authors: list[str]) -> list[str]:
-    return sorted({p[1] for a in authors if a and (p := names.parse(a))})
+    return sorted({p for a in authors if (p := _surname(a))})
 
 
 def title_like(a: list[str], b: list[str]) -> float:
@@ -147,6 +173,8 @@ def overlap(a: list[str], b: list[str]) -> float | None:
 
 
 PROFILE = "kind string, part int, words array<string>, years array<int>, venue string, people array<string>, keys array<string>"
+#: How a profile is named: the digest of its columns, of 16 bytes.
+ID = "binary"
 
 
 def _keys(words: list[str], people: list[str], years: list[int], reference: bool) -> list[str]:
@@ -219,9 +247,14 @@ def records(df: DataFrame) -> DataFrame:
     return narrow.where("crossref_title is not null").mapInPandas(run, "row_id bigint, " + PROFILE + ", score double")
 
 
+@functools.lru_cache(50_000)
+def _title_like(a: tuple[str, ...], b: tuple[str, ...]) -> float:
+    return title_like(list(a), list(b))
+
+
 def _evidence(a: tuple, b: tuple) -> tuple[float, float | None, float | None, float | None, bool]:
     """(title, authors, year, venue, same kind) of two profiles (kind, part, words, years, venue, people)."""
-    like = title_like(list(a[2]), list(b[2]))
+    like = _title_like(tuple(a[2]), tuple(b[2]))
     if like < 0.5:
         return like, None, None, None, False
     kinds = a[0] == b[0] and (a[1] == b[1])
@@ -232,6 +265,8 @@ def _evidence(a: tuple, b: tuple) -> tuple[float, float | None, float | None, fl
     return like, overlap(list(a[5]), list(b[5])), year, venue, kinds
 
 
+#: With fewer equal words two titles can't be alike (see ``title_like``).
+_MAY = "least(size(a_words), size(b_words)) <= 2 or 2 * size(array_intersect(a_words, b_words)) >= least(size(a_words), size(b_words))"
 SIDE = ("kind", "part", "words", "years", "venue", "people")
 
 
@@ -250,7 +285,7 @@ def _compared(pairs: DataFrame, left: str, right: str) -> DataFrame:
             out.insert(1, right, b[right].to_numpy())
             yield out[(out["title"] >= 0.5)]
 
-    return pairs.mapInPandas(run, f"{left} bigint, {right} bigint, title double, people double, year double, venue double, kinds boolean")
+    return pairs.mapInPandas(run, f"{left} {ID}, {right} {ID}, title double, people double, year double, venue double, kinds boolean")
 
 
 def _side(df: DataFrame, prefix: str, key: str) -> DataFrame:
@@ -260,7 +295,7 @@ def _side(df: DataFrame, prefix: str, key: str) -> DataFrame:
 def _profiles(df: DataFrame, extra: list[str], name: str) -> tuple[DataFrame, DataFrame]:
     """(rows with their profile, distinct profiles with their columns)."""
     columns = [*SIDE, *extra]
-    keyed = df.withColumn("profile", F.xxhash64(*[F.to_json(F.struct(c)) for c in columns]))
+    keyed = df.withColumn("profile", F.unhex(F.md5(F.to_json(F.struct(*columns))))).withColumn("keys", F.transform("keys", lambda k: F.xxhash64(k)))
     keyed = materialize(keyed, name)
     return keyed.select("row_id", "profile"), keyed.drop("row_id").dropDuplicates(["profile"])
 
@@ -291,61 +326,77 @@ def minimise(pairs: DataFrame, w: dict[str, float]) -> DataFrame:
     return pairs.withColumn("local", F.expr(best))
 
 
-def alternate(terms: DataFrame, rounds: int = ROUNDS, rho: float = RHO) -> DataFrame:
-    """(var, value) minimising the sum of hinge losses w * max(0, sum(coef * var) + d) over the unit box.
+def _least(prior: Column, mean: Column, weight: Column) -> Column:
+    """The y in the unit box with the least sum of w * max(0, s * (y - b)) over ``prior`` plus weight / 2 * (y - mean)^2: a
+    corner, or the place between two corners where the slope is zero."""
+    add = lambda f: lambda y: F.aggregate(prior, F.lit(0.0), lambda a, r: a + f(y, r))
+    own = add(lambda y, r: r["w"] * F.greatest(F.lit(0.0), r["s"] * (y - r["b"])))
+    slope = add(lambda y, r: F.when(r["s"] * (y - r["b"]) > 0, r["w"] * r["s"]).otherwise(0.0))
+    bounds = F.transform(prior, lambda r: F.greatest(F.lit(0.0), F.least(F.lit(1.0), r["b"])))
+    corners = F.array_sort(F.array_distinct(F.concat(bounds, F.array(F.lit(0.0), F.lit(1.0)))))
+    between = lambda c: F.transform(F.arrays_zip(F.slice(c, 1, F.size(c) - 1).alias("low"), F.slice(c, 2, F.size(c)).alias("high")), lambda p: F.greatest(p["low"], F.least(p["high"], mean - slope((p["low"] + p["high"]) / 2) / weight)))
+    every = let(corners, lambda c: F.concat(c, between(c)))
+    return F.array_min(F.transform(every, lambda y: F.struct((own(y) + weight / 2 * (y - mean) * (y - mean)).alias("loss"), y.alias("y"))))["y"]
+
+
+def alternate(terms: DataFrame, priors: DataFrame, rounds: int = MOST_ROUNDS, rho: float = RHO, tolerance: float = TOLERANCE) -> DataFrame:
+    """(var, value) minimising the sum of hinge losses over the unit box.
 
-    ``terms`` has one row per rule and variable: rule, var, coef, w, d, start. Scaled-form alternating directions: copies
-    x per row, averages z per variable, duals u per row; every round is one aggregation by variable and one window by rule.
+    ``terms`` has one row per rule and variable of the rules on several variables, w * max(0, sum(coef * var) + d): rule, var,
+    coef, w, d, start. ``priors`` has every variable with its own rules: var, prior array(struct(w, s, b)) for w * max(0,
+    s * (var - b)). Scaled-form alternating directions: copies x per row, values z per variable, duals u per row; a round is
+    one aggregation and join by variable and one window by rule, and is written. Earlier rounds are deleted.
     """
-    state = terms.select("rule", "var", "coef", "w", "d", F.col("start").alias("x"), F.lit(0.0).alias("u"))
+    state = terms.select("rule", "var", "coef", "w", "d", F.col("start").alias("x"), F.lit(0.0).alias("u"), F.col("start").alias("z"))
+    solved = lambda s: s.groupBy("var").agg(F.avg(F.col("x") + F.col("u")).alias("mean"), F.count("*").alias("n")).join(priors, "var").select("var", _least(F.col("prior"), F.col("mean"), rho * F.col("n")).alias("value"))
+    own = W.partitionBy("rule")  # at most three rows
+    written: DataFrame | None = None
     for _ in range(rounds):
-        z = state.groupBy("var").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.col("x") + F.col("u")))).alias("z"))
-        state = state.join(z, "var").withColumn("u", F.col("u") + F.col("x") - F.col("z")).withColumn("v", F.col("z") - F.col("u"))
-        own = W.partitionBy("rule")  # at most three rows
-        state = state.withColumns({"at": F.sum(F.col("coef") * F.col("v")).over(own), "n": F.sum(F.col("coef") * F.col("coef")).over(own)})
+        after = state.join(solved(state), "var").withColumn("u", F.col("u") + F.col("x") - F.col("value"))
+        after = after.withColumns({"moved": F.abs(F.col("value") - F.col("z")), "apart": F.abs(F.col("x") - F.col("value")), "v": F.col("value") - F.col("u")})
+        after = after.withColumns({"at": F.sum(F.col("coef") * F.col("v")).over(own), "n": F.sum(F.col("coef") * F.col("coef")).over(own)})
         at = F.col("at") + F.col("d")
         step = F.when(at <= 0, 0.0).when(at >= F.col("w") / rho * F.col("n"), F.col("w") / rho).otherwise(at / F.col("n"))
-        state = state.select("rule", "var", "coef", "w", "d", (F.col("v") - step * F.col("coef")).alias("x"), "u")
-        state = materialize(state, "linkage-round")
-    return state.groupBy("var").agg(F.least(F.lit(1.0), F.greatest(F.lit(0.0), F.avg(F.col("x") + F.col("u")))).alias("value"))
+        last, written = written, materialize(after.select("rule", "var", "coef", "w", "d", (F.col("v") - step * F.col("coef")).alias("x"), "u", F.col("value").alias("z"), "moved", "apart"), "linkage-round")
+        if last is not None:
+            discard(last)
+        state = written.drop("moved", "apart")
+        rest = written.agg(F.coalesce(F.max(F.greatest("moved", "apart")), F.lit(0.0)).alias("m")).first().m
+        if rest <= tolerance:
+            break
+    else:
+        warnings.warn(f"the alternation stopped after {rounds} rounds", stacklevel=2)
+    return state.groupBy("var").agg(F.max("z").alias("value"))
 
 
-def _ground(coupled: DataFrame, likeness: DataFrame, w: dict[str, float]) -> DataFrame:
-    """Ground rules of the coupled pairs as rows of (rule, var, coef, w, d, start)."""
+def _ground(coupled: DataFrame, likeness: DataFrame, w: dict[str, float]) -> tuple[DataFrame, DataFrame]:
+    """Ground rules of the coupled pairs: rows of (rule, var, coef, w, d, start) of the rules on several variables, and
+    (var, prior) with each variable's own rules."""
     shape = "array<struct<var:string,coef:double,start:double>>"
+    name = lambda kind, a, b: F.concat_ws("|", F.lit(kind), F.hex(a), F.hex(b))
 
     def rows(df: DataFrame) -> DataFrame:
         return df.select("rule", "w", "d", F.explode("args").alias("a")).select("rule", "a.var", "a.coef", "w", "d", "a.start")
 
     parts = []
-    y = coupled.withColumn("var", F.concat_ws("|", F.lit("y"), "r", "c"))
-    for k, (weight, bound, sign, condition) in enumerate(_unary(w)):
-        s = 1.0 if sign == "down" else -1.0
-        parts.append(rows(y.where(condition).select(
-            F.concat_ws("|", F.lit(f"u{k}"), "r", "c").alias("rule"), F.expr(f"double({weight})").alias("w"), F.expr(f"double({-s} * {bound})").alias("d"),
-            F.expr(f"array(struct(var, double({s}) as coef, local as start))").cast(shape).alias("args"),
-        )))
-    same = likeness.withColumn("var", F.concat_ws("|", F.lit("s"), "c1", "c2"))
-    for sign in (1.0, -1.0):
-        parts.append(rows(same.select(
-            F.concat_ws("|", F.lit(f"l{sign}"), "c1", "c2").alias("rule"), F.lit(w["same"]).alias("w"), (-sign * F.col("like")).alias("d"),
-            F.expr(f"array(struct(var, double({sign}) as coef, like as start))").cast(shape).alias("args"),
-        )))
+    y = coupled.withColumn("var", name("y", "r", "c"))
+    own = [f"if({condition}, named_struct('w', double({weight}), 's', {'1D' if sign == 'down' else '-1D'}, 'b', double({bound})), null)" for weight, bound, sign, condition in _unary(w)]
+    priors = y.select("var", F.expr(f"filter(array({', '.join(own)}), r -> r is not null)").alias("prior"))
+    same = likeness.withColumn("var", name("s", "c1", "c2"))
+    both = ", ".join(f"named_struct('w', {w['same']}D, 's', {s}, 'b', like)" for s in ("1D", "-1D"))
+    priors = priors.unionByName(same.select("var", F.expr(f"array({both})").alias("prior")))
     a = y.select("r", F.col("c").alias("c1"), F.col("var").alias("v1"), F.col("local").alias("s1"))
     b = y.select("r", F.col("c").alias("c2"), F.col("var").alias("v2"), F.col("local").alias("s2"))
     triple = materialize(a.join(b, "r").where("c1 < c2").join(same.select("c1", "c2", F.col("var").alias("v3"), F.col("like").alias("s3")), ["c1", "c2"]), "linkage-triples")
-    for name, weight, d, c1, c2, c3 in (("x", "exclusive", -1.0, 1.0, 1.0, -1.0), ("t", "transitive", -1.0, 1.0, -1.0, 1.0), ("v", "transitive", -1.0, -1.0, 1.0, 1.0)):
+    for kind, weight, d, c1, c2, c3 in (("x", "exclusive", -1.0, 1.0, 1.0, -1.0), ("t", "transitive", -1.0, 1.0, -1.0, 1.0), ("v", "transitive", -1.0, -1.0, 1.0, 1.0)):
         parts.append(rows(triple.select(
-            F.concat_ws("|", F.lit(name), "r", "c1", "c2").alias("rule"), F.lit(w[weight]).alias("w"), F.lit(d).alias("d"),
+            F.concat_ws("|", F.lit(kind), F.hex("r"), F.hex("c1"), F.hex("c2")).alias("rule"), F.lit(w[weight]).alias("w"), F.lit(d).alias("d"),
             F.expr(f"array(struct(v1 as var, double({c1}) as coef, s1 as start), struct(v2 as var, double({c2}) as coef, s2 as start), struct(v3 as var, double({c3}) as coef, s3 as start))").cast(shape).alias("args"),
         )))
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return out
+    return parts[0].unionByName(parts[1]).unionByName(parts[2]), priors
 
 
-def link(refs: DataFrame, recs: DataFrame, weights: dict[str, float] | None = None, rounds: int = ROUNDS) -> DataFrame:
+def link(refs: DataFrame, recs: DataFrame, weights: dict[str, float] | None = None, rounds: int = MOST_ROUNDS) -> DataFrame:
     """(ref_id, record_id, confidence) of every candidate pair with a confidence of at least CONFIDENT."""
     w = WEIGHTS | (weights or {})
     ref_rows, ref_profiles = _profiles(references(refs), [], "linkage-refs")
@@ -353,7 +404,7 @@ def link(refs: DataFrame, recs: DataFrame, weights: dict[str, float] | None = No
     left = ref_profiles.select(F.col("profile").alias("r"), F.explode("keys").alias("key"))
     right = rec_profiles.select(F.col("profile").alias("c"), F.explode("keys").alias("key"))
     candidates = materialize(left.join(right, "key").select("r", "c").distinct(), "linkage-candidates")
-    joined = candidates.join(_side(ref_profiles, "a", "r"), "r").join(_side(rec_profiles, "b", "c"), "c")
+    joined = candidates.join(_side(ref_profiles, "a", "r"), "r").join(_side(rec_profiles, "b", "c"), "c").where(_MAY)
     scored = _compared(joined, "r", "c").join(rec_profiles.select(F.col("profile").alias("c"), "score"), "c")
     scored = materialize(minimise(scored, w), "linkage-scored")
     # pairs whose own evidence is against them neither compete nor vouch for others
@@ -367,8 +418,9 @@ def link(refs: DataFrame, recs: DataFrame, weights: dict[str, float] | None = No
     compared = _compared(rivals.join(_side(rec_profiles, "a", "c1"), "c1").join(_side(rec_profiles, "b", "c2"), "c2"), "c1", "c2")
     compared = minimise(compared.withColumn("score", F.lit(None).cast("double")), w).select("c1", "c2", F.when(F.col("kinds"), F.col("local")).otherwise(0.0).alias("like"))
     likeness = materialize(rivals.join(compared, ["c1", "c2"], "left").select("c1", "c2", F.coalesce("like", F.lit(0.0)).alias("like")), "linkage-rivals")
-    values = alternate(materialize(_ground(coupled, likeness, w), "linkage-terms"), rounds)
-    solved = values.where("var like 'y|%'").select(F.split("var", r"\|")[1].cast("bigint").alias("r"), F.split("var", r"\|")[2].cast("bigint").alias("c"), "value")
+    terms, priors = _ground(coupled, likeness, w)
+    values = alternate(materialize(terms, "linkage-terms"), materialize(priors, "linkage-priors"), rounds)
+    solved = values.where("var like 'y|%'").select(F.unhex(F.split("var", r"\|")[1]).alias("r"), F.unhex(F.split("var", r"\|")[2]).alias("c"), "value")
     found = scored.where("kinds").join(solved, ["r", "c"], "left").select("r", "c", F.coalesce("value", "local").alias("confidence"))
     found = found.where(F.col("confidence") >= CONFIDENT)
     return (

@@ -56,15 +56,30 @@ def test_likeness_of_titles():
 
 def test_the_alternation_finds_the_minimum(spark):
     # 3 max(0, 0.9 - a) + 3 max(0, 0.8 - b) + 4 max(0, a + b - 1): exclusive, the better one wins
-    rules = [("r1", "a", -1.0, 3.0, 0.9, 0.5), ("r2", "b", -1.0, 2.0, 0.8, 0.5), ("x", "a", 1.0, 4.0, -1.0, 0.5), ("x", "b", 1.0, 4.0, -1.0, 0.5)]
+    rules = [("x", "a", 1.0, 4.0, -1.0, 0.5), ("x", "b", 1.0, 4.0, -1.0, 0.5)]
     terms = spark.createDataFrame(rules, "rule string, var string, coef double, w double, d double, start double")
-    got = {r["var"]: r.value for r in k.alternate(terms, rounds=30).collect()}
+    priors = spark.createDataFrame([("a", [(3.0, -1.0, 0.9)]), ("b", [(2.0, -1.0, 0.8)]), ("c", [(1.0, 1.0, 0.0)])], "var string, prior array<struct<w:double,s:double,b:double>>")
+    got = {r["var"]: r.value for r in k.alternate(terms, priors).collect()}
 
     def loss(a, b):
         return 3 * max(0, 0.9 - a) + 2 * max(0, 0.8 - b) + 4 * max(0, a + b - 1)
 
     grid = min((loss(a / 100, b / 100), a / 100, b / 100) for a in range(101) for b in range(101))
     assert loss(got["a"], got["b"]) == pytest.approx(grid[0], abs=0.02)
+    with pytest.warns(UserWarning, match="2 rounds"):
+        k.alternate(terms, priors, rounds=2, tolerance=-1.0).count()
+
+
+def test_own_rules_against_grid(spark):
+    """The least of a variable's hinges and its distance to a mean."""
+    import random
+
+    rnd = random.Random(3)
+    rows = [([(rnd.uniform(0.2, 4), rnd.choice([-1.0, 1.0]), rnd.uniform(-0.2, 1.2)) for _ in range(rnd.randrange(5))], rnd.uniform(-0.5, 1.5), rnd.choice([0.5, 2.0, 8.0])) for _ in range(40)]
+    df = spark.createDataFrame(rows, "prior array<struct<w:double,s:double,b:double>>, mean double, weight double")
+    for r in df.withColumn("y", k._least(F.col("prior"), F.col("mean"), F.col("weight"))).collect():
+        loss = lambda y, r=r: sum(w * max(0, s * (y - b)) for w, s, b in r.prior) + r.weight / 2 * (y - r["mean"]) ** 2
+        assert 0 <= r.y <= 1 and loss(r.y) <= min(loss(x / 400) for x in range(401)) + 1e-9
 
 
 def test_closed_form_minimum_against_grid(spark):
