@@ -20,7 +20,7 @@ BASE = np.uint64(0x9E3779B97F4A7C15)
 SINGLE = 1 << 22  # bit of code points that are words of their own
 GONE, BREAK = 0, 1
 #: Marks inserted into running text: numeric citation brackets and tags.
-MARKS = re.compile(r"\[\s?\d[\d\s,;&–—\-]{0,40}(?:and[\d\s,;&–—\-]{1,20})*\]|</?[a-zA-Z]{1,6}\s?/?>")
+MARKS = re.compile(r"\[\s?\d[\d\s,;&–—\-]*(?:and[\d\s,;&–—\-]+)*\]|</?[a-zA-Z]{1,6}\s?/?>")
 # Further letters drawn much alike. Both sides of every comparison are folded, so this only adds equality.
 NEAR, NEAR_AS = "κкαρτтυιηнмвѵգոս", "kkapttuinhmbvqnu"
 _LIGATURES = {"ﬀ": "ff", "ﬁ": "fi", "ﬂ": "fl", "ﬃ": "ffi", "ﬄ": "ffl", "ﬅ": "st", "ﬆ": "st", "ß": "ss", "æ": "ae", "Æ": "ae", "œ": "oe", "Œ": "oe"}
@@ -73,9 +73,10 @@ class Words:
 def words(texts: list[str], marks: bool = False) -> Words:
     """Words of ``texts``; ``marks`` blanks out inserted citation brackets and tags first. Empty texts have no words."""
     sizes = np.fromiter(map(len, texts), np.int64, len(texts))
+    if marks:  # in every text by itself, so that no mark reaches over into the next
+        blank = lambda m: "\u200b" * (m.end() - m.start() - 1) + " "
+        texts = [MARKS.sub(blank, t) if "[" in t or "<" in t else t for t in texts]
     joined = "\n".join(texts)
-    if marks:
-        joined = MARKS.sub(lambda m: "​" * (m.end() - m.start() - 1) + " ", joined)
     expand = None
     if _LIGATURE.search(joined):  # one character for several: the first letter stays in place, spans stay right
         expand = [(m.start(), _LIGATURES[m.group(0)]) for m in _LIGATURE.finditer(joined)]

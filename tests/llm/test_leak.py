@@ -32,6 +32,13 @@ def test_altered_texts_are_found():
     assert found("Sentence splitters derived from Ria-\nneta lag behind paired Kataumil abs-\ntracts")
 
 
+def test_marks_of_any_length_do_not_part_a_text():
+    w = CLAIM.split()
+    mark = "[" + ", ".join(map(str, range(1, 60))) + " and 61]"
+    assert found(" ".join([*w[:4], mark, *w[4:9]]))
+    assert not leak.Block([(1, CLAIM)]).matches(["[1, 2", "3] " + " ".join(w[:5])])
+
+
 def test_other_texts_are_not():
     w = CLAIM.split()
     rnd = random.Random(1)
