@@ -1,8 +1,8 @@
 """Mixing sources to target weights by token counts of a public tokenizer.
 
 Tokens are counted once and written beside a hash of the row. A histogram of tokens by source and hash bucket, whose
-size does not depend on the data, gives each source's budget and the bucket in which it is used up; only that boundary
-bucket is split again by further hash bits, until it holds one hash. A source's threshold is a hash, so choosing is a
+size does not depend on the data, gives each source's budget and, by running sums in the cluster, the bucket in which it is used
+up (one row a source comes to the driver); only that boundary bucket is split again by further hash bits, until it holds one hash. A source's threshold is a hash, so choosing is a
 filter: nothing is sorted, and the choice with a smaller budget is part of the choice with a larger one.
 
 The total is ``total_tokens``, by default all tokens of the targeted sources. A source takes its share of the total, at
@@ -23,8 +23,8 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import pyarrow as pa
-import tiktoken
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame, Row
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrain.session import materialize, spread
@@ -39,7 +39,9 @@ MOST_SOURCES = 5_000
 
 
 @functools.cache
-def encoding(path: str) -> tiktoken.Encoding:
+def encoding(path: str):  # noqa: ANN201
+    import tiktoken  # only where tokens are counted
+
     with open(path, "rb") as file:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, file)}
     return tiktoken.Encoding(path, pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
@@ -71,27 +73,31 @@ class Plan:
     below: int = 0
 
 
-def _histogram(tokens: DataFrame, where: Column, shift: int) -> dict[str, list[tuple[int, int, int]]]:
-    """Per source the (bucket, tokens, hashes beyond the first) of the documents in ``where``, by bucket."""
-    rows = (
-        tokens.where(where)
-        .groupBy("source", F.shiftright("h", shift).alias("bucket"))
-        .agg(F.sum("n_tokens").alias("n"), (F.max("h") - F.min("h")).alias("spread"))
-        .collect()
-    )
-    out: dict[str, list[tuple[int, int, int]]] = {}
-    for r in rows:
-        out.setdefault(r.source, []).append((r.bucket, r.n, r.spread))
-    return {s: sorted(b) for s, b in out.items()}
+def _histogram(tokens: DataFrame, shift: int, within: DataFrame | None = None) -> DataFrame:
+    """(source, bucket, n, spread): tokens, and hashes beyond the first, of each bucket; ``within``: (source, low, high)."""
+    if within is not None:
+        tokens = tokens.join(F.broadcast(within), "source").where("h >= low and h < high")  # one row a source
+    return tokens.groupBy("source", F.shiftright("h", shift).alias("bucket")).agg(F.sum("n_tokens").alias("n"), (F.max("h") - F.min("h")).alias("spread"))
+
+
+def _boundaries(histogram: DataFrame, rest: dict[str, float]) -> dict[str, Row]:
+    """Per source the bucket in which ``rest`` tokens are used up: bucket, n, spread and the tokens before it; of a source whose
+    buckets all fit the one after the last, with n 0."""
+    wanted = histogram.sparkSession.createDataFrame(list(rest.items()), "source string, rest double")
+    upto = W.partitionBy("source").orderBy("bucket")  # a source has at most 2 ** STEP buckets
+    summed = histogram.join(F.broadcast(wanted), "source").withColumn("upto", F.sum("n").over(upto))
+    over = F.when(F.col("upto") > F.col("rest"), F.struct("bucket", "n", "spread", (F.col("upto") - F.col("n")).alias("before")))
+    rows = summed.groupBy("source").agg(F.min(over).alias("b"), F.max("bucket").alias("last"), F.sum("n").alias("all")).collect()
+    return {r.source: r.b or Row(bucket=r["last"] + 1, n=0, spread=0, before=r["all"]) for r in rows}
 
 
 def plan(tokens: DataFrame, targets: dict[str, tuple[float, int]], total_tokens: int | None = None) -> dict[str, Plan]:
-    """A plan for each source, from histograms of a bounded size."""
+    """A plan for each source. Histograms stay in the cluster; one row a source comes to the driver."""
     plans = {s: Plan(share, most) for s, (share, most) in targets.items()}
     shift = BITS - STEP
-    found = _histogram(tokens, F.lit(True), shift)
-    for s, buckets in found.items():
-        plans[s].tokens = sum(n for _, n, _ in buckets)
+    found = materialize(_histogram(tokens, shift), "mix-histogram")
+    for r in found.groupBy("source").agg(F.sum("n").alias("n")).collect():
+        plans[r.source].tokens = r.n
     total = sum(p.tokens for p in plans.values()) if total_tokens is None else total_tokens
     rest: dict[str, float] = {}
     for s, p in plans.items():
@@ -100,27 +106,19 @@ def plan(tokens: DataFrame, targets: dict[str, tuple[float, int]], total_tokens:
         if p.whole < p.most and p.tokens:
             rest[s] = p.budget - p.whole * p.tokens
     while rest:
-        boundary: dict[str, int] = {}
-        for s in list(rest):
-            for bucket, n, spread in found.get(s, ()):
-                if n <= rest[s]:
-                    rest[s] -= n
-                    plans[s].below = (bucket + 1) << shift
-                elif spread == 0 or shift == 0:
-                    if n - rest[s] < rest[s]:  # one hash is left: with it when that comes nearer
-                        plans[s].below = (bucket + 1) << shift
-                    break
-                else:
-                    plans[s].below = bucket << shift
-                    boundary[s] = bucket
-                    break
-        rest = {s: rest[s] for s in boundary}
-        if boundary:
-            where = F.lit(False)
-            for s, bucket in boundary.items():
-                where = where | ((F.col("source") == s) & (F.col("h") >= bucket << shift) & (F.col("h") < (bucket + 1) << shift))
+        again: list[tuple[str, int, int]] = []
+        for s, at in _boundaries(found, rest).items():
+            rest[s] -= at.before
+            plans[s].below = at.bucket << shift
+            if at.n and (at.spread == 0 or shift == 0):
+                if at.n - rest[s] < rest[s]:  # one hash is left: with it when that comes nearer
+                    plans[s].below = (at.bucket + 1) << shift
+            elif at.n:
+                again.append((s, at.bucket << shift, (at.bucket + 1) << shift))
+        rest = {s: rest[s] for s, _, _ in again}
+        if again:
             shift = max(0, shift - STEP)
-            found = _histogram(tokens, where, shift)
+            found = _histogram(tokens, shift, tokens.sparkSession.createDataFrame(again, "source string, low bigint, high bigint"))
     return plans
 
 
@@ -138,10 +136,10 @@ def mix(docs: DataFrame, key: str, column: str, source: str, targets: dict[str,
     wanted = docs.where(F.col(source).isin(list(targets)))
     tokens = materialize(count_tokens(wanted, key, column, source, vocabulary, seed), "mix-tokens")
     plans = plan(tokens, targets, total_tokens)
-    repeats = F.lit(0)
-    for s, p in plans.items():
-        repeats = F.when(F.col("source") == s, F.lit(p.whole) + F.when(F.col("h") < p.below, 1).otherwise(0)).otherwise(repeats)
-    chosen = tokens.select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats"))
+    rows = [(s, p.whole, p.below) for s, p in plans.items()]
+    known = docs.sparkSession.createDataFrame(rows, "source string, whole int, below bigint")  # at most MOST_SOURCES rows
+    repeats = F.col("whole") + F.when(F.col("h") < F.col("below"), 1).otherwise(0)
+    chosen = tokens.join(F.broadcast(known), "source").select("doc_id", "source", "n_tokens", repeats.cast("int").alias("repeats"))
     return chosen.where("repeats > 0 and n_tokens > 0"), plans
 
 
