@@ -17,11 +17,15 @@ import unicodedata
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from docgrain.session import materialize
+
 # Letters of other scripts with the shape of a Latin letter.
 CYRILLIC = "асеорхуіјѕԁԛԝһёїАВСЕНІЈКМОРЅТХԚԜЁЇ"
 CYRILLIC_AS = "aceopxyijsdqwhëïABCEHIJKMOPSTXQWËÏ"
 GREEK = "ονϲϳΑΒΕΖΗΙΚΜΝΟΡΤΥΧϹͿ"
 GREEK_AS = "ovcjABEZHIKMNOPTYXCJ"
+ARMENIAN, ARMENIAN_AS = "օոսհցՏԼՕՍ", "onuhgSLOU"
+CHEROKEE, CHEROKEE_AS = "ᎪᏴᏟᎠᎬᏀᎻᎫᏦᏞᎷᏢᏚᎢᏙᎳᏃ", "ABCDEGHJKLMPSTVWZ"
 # Hyphens of any kind (dashes differ in length and stay).
 HYPHENS = "‐‑﹣－"
 
@@ -30,7 +34,7 @@ HYPHENS = "‐‑﹣－"
 def tables() -> tuple[str, str, dict[str, str]]:
     """(from, to, several): characters mapped one to one, characters to delete at the end of ``from``, and characters
     that stand for several. Built by rule from the Unicode character data of the basic plane."""
-    one = dict(zip(CYRILLIC + GREEK, CYRILLIC_AS + GREEK_AS, strict=True)) | dict.fromkeys(HYPHENS, "-")
+    one = dict(zip(CYRILLIC + GREEK + ARMENIAN + CHEROKEE, CYRILLIC_AS + GREEK_AS + ARMENIAN_AS + CHEROKEE_AS, strict=True)) | dict.fromkeys(HYPHENS, "-")
     several: dict[str, str] = {}
     gone: list[str] = []
     for code in range(0xA0, 0xFFFE):
@@ -87,13 +91,22 @@ def canonicalize(df: DataFrame, column: str, out: str) -> DataFrame:
 def lookalike_pairs(left: DataFrame, right: DataFrame) -> DataFrame:
     """Pairs (id_a, id_b) of rows of ``left`` and ``right`` (id, value) whose values look the same and are unequal.
 
-    Works on distinct values: only classes of two or more different values go on, value pairs are formed within a
-    class, and ids join last. The same frame on both sides gives id_a < id_b.
+    One grouping by look finds the classes of two or more different values with their canonical members; it is joined back and
+    only rows of such classes are written and go on. The same frame on both sides gives id_a < id_b.
     """
     same = left is right
-    both = left.select("value") if same else left.select("value").unionByName(right.select("value"))
-    many = classes(both, "value").where("members > 1").select("value", "canonical")
-    a = left.join(many, "value").select(F.col("id").alias("id_a"), F.col("value").alias("value_a"), "canonical")
-    b = right.join(many, "value").select(F.col("id").alias("id_b"), F.col("value").alias("value_b"), "canonical")
+    side = lambda df, name: df.select(F.lit(name).alias("side"), "id", F.col("value").cast("string").alias("value")).where("value is not null")
+    both = side(left, "a") if same else side(left, "a").unionByName(side(right, "b"))
+    rows = both.sparkSession.sql(
+        """
+        WITH m AS (SELECT side, id, value, look COLLATE UNICODE AS look, value != look AS changed FROM {m}),
+        c AS (SELECT look, min(struct(changed, value)).value AS canonical FROM m GROUP BY look HAVING min(value) != max(value))
+        SELECT m.side, m.id, m.value, c.canonical FROM m JOIN c ON m.look = c.look
+        """,
+        m=both.withColumn("look", mapped(F.col("value"))),
+    )
+    rows = materialize(rows, "lookalike-rows")
+    a = rows.where("side = 'a'").select(F.col("id").alias("id_a"), F.col("value").alias("value_a"), "canonical")
+    b = rows.where(f"side = '{'a' if same else 'b'}'").select(F.col("id").alias("id_b"), F.col("value").alias("value_b"), "canonical")
     pairs = a.join(b, "canonical").where("value_a != value_b")
     return (pairs.where("id_a < id_b") if same else pairs).select("id_a", "id_b")
