@@ -94,14 +94,21 @@ def severity(sentence: Column, missing: Column) -> Column:
     return F.when(~missing, "none").when(low.rlike(ABSOLUTE) | low.rlike(EVIDENCE), "high").otherwise("medium")
 
 
-def classify(df: DataFrame, document: str, position: str, sentence: str, cited: Column) -> DataFrame:
+#: Sentences of one document are sorted in blocks of so many places.
+BLOCK = 4096
+
+
+def classify(df: DataFrame, document: str, position: str, sentence: str, cited: Column, block: Column) -> DataFrame:
     """Classified sentences of documents in order: section carried forward, citations inherited along a chain of
-    following sentences; missing flag, context and severity. Two windows on one partitioning: one shuffle by document."""
+    following sentences; missing flag, context and severity. Both states are the last known value before a row, carried within
+    blocks of sentences and over the blocks, so no document is sorted in one task."""
     c = scored(df.withColumn("own", F.coalesce(cited, F.lit(False))), sentence, F.col("own")).withColumn("section", section_of(F.col(sentence)))
-    c = tables.carry_forward(c, [document], position, "section", "unknown")
+    c = tables.carry_blocks(c, document, position, block, F.col("section"), "section").withColumn("section", F.coalesce("section", F.lit("unknown")))
     c = c.withColumn("required", citation_required(F.col("claim_type"), F.col("section"), F.coalesce(F.col(sentence), F.lit(""))))
     eligible = F.col("required") & ~F.col("own") & F.lower(F.col(sentence)).rlike(FOLLOWS)
-    c = tables.inherit(c, [document], position, F.col("own"), eligible, "own")
+    # a chain begins at a sentence that cites or may not inherit, and passes on whether that one cites
+    begins = F.col("own") | ~F.coalesce(eligible, F.lit(False))
+    c = tables.carry_blocks(c, document, position, block, F.when(begins, F.col("own")), "inherited")
     inherits = eligible & F.coalesce(F.col("inherited"), F.lit(False))
     missing = F.col("required") & ~F.col("own") & ~inherits
     context = F.when(F.col("own"), "same_sentence").when(inherits, "previous_sentence").otherwise("none")

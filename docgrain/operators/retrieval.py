@@ -27,11 +27,6 @@ UNTESTED = r"\b(does not test|did not test|not evaluated|not evaluate|no evidenc
 SILENT = r"\b(the source|this source|the article)\b.{0,80}\b(does not|did not|fails to)\b"
 
 
-def frequencies(toks: Column) -> Column:
-    """Distinct tokens with their counts, as an array of structs."""
-    return F.transform(F.array_distinct(toks), lambda w: F.struct(w.alias("w"), F.size(F.filter(toks, lambda x: x == w)).alias("n")))
-
-
 def lexical_score(query: Column, passage: Column) -> Column:
     """Hybrid score of two token arrays: cosine of counts, containment, Jaccard, bigrams, bonus for a shared phrase."""
     qd, pd_ = F.array_distinct(query), F.array_distinct(passage)
@@ -51,11 +46,6 @@ def lexical_score(query: Column, passage: Column) -> Column:
     return F.when((F.size(qd) == 0) | (F.size(pd_) == 0), 0.0).otherwise(round_half_up(F.least(F.lit(1.0), total)))
 
 
-def dense_score(a: Column, b: Column) -> Column:
-    """Inner product of two vectors, summed in order."""
-    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def contradiction(claim: Column, evidence: Column) -> Column:
     c, e = F.lower(claim), F.lower(evidence)
     rules = ((c.rlike(ABSOLUTES) & e.rlike(NEGATION), 0.75), (c.rlike(ABSOLUTES) & e.rlike(DEPENDS), 0.65), (c.rlike(UP) & e.rlike(NOT_UP), 0.75), (c.rlike(DOWN) & e.rlike(NOT_DOWN), 0.75), (c.contains("requires no") & e.rlike(NEEDS), 0.8))
@@ -104,14 +94,6 @@ def gathered(ranked: DataFrame, key: str) -> DataFrame:
     return top.groupBy(key).agg(texts.alias("combined"), F.max("score").alias("best"), F.avg(F.when(F.col("rank") <= 3, F.col("score"))).alias("mean_top"))
 
 
-def lexical_candidates(queries: DataFrame, query_key: str, passages: DataFrame, passage_key: str) -> DataFrame:
-    """(query, passage) pairs that share a token, through the inverted list of both token columns ``toks``: an equality
-    join on tokens, made distinct per pair before any score is taken."""
-    q = queries.select(F.col(query_key).alias("q"), F.explode(F.array_distinct("toks")).alias("w"))
-    p = passages.select(F.col(passage_key).alias("p"), F.explode(F.array_distinct("toks")).alias("w"))
-    return q.join(p, "w").groupBy("q", "p").agg(F.count("*").alias("shared"))
-
-
 def rerank(candidates: DataFrame, query: str, position: str, first: str, second: str, wide: int, keep: int) -> DataFrame:
     """The ``keep`` best by ``second`` among the ``wide`` best by ``first``."""
     pool = tables.top_k(candidates, [query], [F.desc(first), F.col(position)], wide, "first_rank")

@@ -31,6 +31,21 @@ def carry_forward(df: DataFrame, by: Sequence[str], position: str, value: str, d
     return df.withColumn(value, F.coalesce(F.last(value, ignorenulls=True).over(before), F.lit(default)))
 
 
+def carry_blocks(df: DataFrame, by: str, position: str, block: Column, value: Column, out: str) -> DataFrame:
+    """``out``: the last value that is not null at or before each row of its group. Rows are sorted only within blocks
+    (``block`` rises with ``position``), and every block's last value is carried over the few rows of a group's blocks, so a
+    group of any size is spread over many tasks."""
+    keys = ["__group", "__block"]
+    cut = df.withColumns({"__group": F.coalesce(F.concat(F.lit("g"), F.col(by).cast("string")), F.lit("")), "__block": F.coalesce(block.cast("bigint"), F.lit(-(2**62))), "__value": value})
+    before = W.partitionBy(*keys).orderBy(position).rowsBetween(W.unboundedPreceding, 0)
+    ends = cut.where("__value is not null").groupBy(*keys).agg(F.max_by("__value", F.col(position)).alias("__end"))
+    ends = cut.select(*keys).distinct().join(ends, keys, "left")
+    earlier = W.partitionBy("__group").orderBy("__block").rowsBetween(W.unboundedPreceding, -1)
+    ends = ends.select(*keys, F.last("__end", ignorenulls=True).over(earlier).alias("__end"))
+    carried = cut.withColumn("__own", F.last("__value", ignorenulls=True).over(before)).join(ends, keys)
+    return carried.withColumn(out, F.coalesce("__own", "__end")).drop(*keys, "__value", "__own", "__end")
+
+
 def inherit(df: DataFrame, by: Sequence[str], position: str, own: Column, may_inherit: Column, value: str) -> DataFrame:
     """``inherited``: the value of the row that starts a row's island. A row starts an island when it has its own value
     or may not inherit; the others pass on what the island began with, however long the chain."""

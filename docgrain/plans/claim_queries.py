@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as t
 from docgrain.functions.numbers import r3, ratio, round_half_up
-from docgrain.operators import citations, claims, dense, retrieval, tables
+from docgrain.operators import citations, claims, dense, lexical, retrieval, tables
 from docgrain.operators import evaluation as ev
 from docgrain.plans.text_queries import rx, sql_parts, sql_tokens
-from docgrain.session import materialize, read
+from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -69,7 +69,7 @@ _CARRIED = (
 
 def classified(spark: SparkSession, sf_dir: str) -> DataFrame:
     c = read(spark, sf_dir, "claim").select("claim_id", "document", F.struct("sentence_index", "claim_id").alias("place"), "sentence")
-    return claims.classify(c, "document", "place", "sentence", cited(F.col("sentence")))
+    return claims.classify(c, "document", "place", "sentence", cited(F.col("sentence")), F.floor(F.col("place.sentence_index") / claims.BLOCK))
 
 
 @query(f"WITH {_CARRIED} SELECT claim_id, section FROM fin")
@@ -100,9 +100,11 @@ def module_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ---- citations to references ----
 
+_ENDS = "[TRY_CAST(n AS BIGINT) for n in regexp_extract_all(x, '[0-9]+')]"
 _NUMS = (
-    r"nums AS (SELECT DISTINCT citation_id, document, unnest(regexp_extract_all(raw_text, '[0-9]+')) AS marker FROM citation WHERE citation_type = 'numeric'),"
-    " refs AS (SELECT document, reference_index, ref_id FROM parsed_reference WHERE reference_index IS NOT NULL)"
+    "nums AS (SELECT DISTINCT citation_id, document, unnest(regexp_extract_all(raw_text, '[0-9]+') || flatten([CASE WHEN "
+    + f"{_ENDS}[1] <= {_ENDS}[2] AND {_ENDS}[2] - {_ENDS}[1] <= {citations.LONGEST_RANGE} THEN [CAST(i AS VARCHAR) for i in range({_ENDS}[1], {_ENDS}[2] + 1)] ELSE [] END for x in regexp_extract_all(raw_text, '[0-9]+\\s*[-–—]\\s*[0-9]+')]))"
+    " AS marker FROM citation WHERE citation_type = 'numeric'), refs AS (SELECT document, reference_index, ref_id FROM parsed_reference WHERE reference_index IS NOT NULL)"
 )
 
 
@@ -122,7 +124,7 @@ def _markers(raw: F.Column) -> F.Column:
 @query(f"WITH {_NUMS} SELECT n.citation_id, n.marker, max(r.ref_id) AS ref_id FROM nums n JOIN refs r ON r.document = n.document AND r.reference_index = n.marker GROUP BY 1, 2")
 def citation_resolve_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Numeric markers joined to the reference with that index in the same report; of equal indices the last wins.
-    The numbers inside a range are markers too; the SQL knows only the written ones.
+    The numbers inside a range are markers too.
 
     References are reduced to one per (report, index) before the join, so a hot report joins single rows."""
     c = read(spark, sf_dir, "citation").where("citation_type = 'numeric'").select("citation_id", "document", F.explode(_markers(F.col("raw_text"))).alias("marker")).distinct()
@@ -131,15 +133,15 @@ def citation_resolve_numeric(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _AUTHOR = (
-    "ci AS (SELECT DISTINCT citation_id, document, cited_year, lower(author_hint) AS hint FROM citation WHERE author_hint IS NOT NULL),"
-    " w AS (SELECT DISTINCT ref_id, document, parsed_year, unnest(regexp_extract_all(lower(raw_text), '[a-z]+')) AS word FROM parsed_reference)"
+    "ci AS (SELECT DISTINCT citation_id, document, cited_year, lower(author_hint) AS hint FROM citation WHERE author_hint <> ''),"
+    " w AS (SELECT ref_id, document, parsed_year, lower(concat_ws(' ', raw_text, array_to_string(authors, ' '))) AS named FROM parsed_reference)"
 )
 
 
-@query(f"WITH {_AUTHOR} SELECT citation_id, min(ref_id) AS ref_id FROM ci JOIN w ON w.document = ci.document AND w.word = ci.hint AND (ci.cited_year IS NULL OR w.parsed_year IS NULL OR ci.cited_year = w.parsed_year) GROUP BY 1")
+@query(f"WITH {_AUTHOR} SELECT citation_id, min(ref_id) AS ref_id FROM ci JOIN w ON w.document = ci.document AND contains(w.named, ci.hint) AND (ci.cited_year IS NULL OR w.parsed_year IS NULL OR ci.cited_year = w.parsed_year) GROUP BY 1")
 def citation_resolve_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author-year citations to the first reference of the report with a compatible year that names the author: whose
-    authors or text have the hint, which is without blanks, as a part. The SQL asks for a whole word of the text.
+    authors or text have the hint, which is without blanks, as a part.
 
     The substring test runs on a report's distinct words that have the hint's first letters in a row, never on pairs of rows."""
     c = read(spark, sf_dir, "citation").where("author_hint != ''").select("citation_id", "document", "cited_year", F.lower("author_hint").alias("hint")).distinct()
@@ -231,61 +233,26 @@ def verdict_confusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.confusion(verdicts(spark, sf_dir).select(F.col("expected_label").alias("expected"), F.col("status").alias("predicted")))
 
 
-_CHUNKS = r"ck AS (SELECT doc_id * 10000 + CAST(k / 75 AS INTEGER) AS p, array_to_string(w[k + 1 : k + 95], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, len(w), 75)) AS k FROM (SELECT doc_id, [w for w in regexp_split_to_array(text, '\s+') if w <> ''] AS w FROM documents)))"
+_CHUNKS = r"ck AS (SELECT doc_id, CAST(k / 75 AS INTEGER) AS chunk_no, row_number() OVER () AS p, array_to_string(w[k + 1 : k + 95], ' ') AS chunk FROM (SELECT doc_id, w, unnest(range(0, len(w), 75)) AS k FROM (SELECT doc_id, [w for w in regexp_split_to_array(text, '\s+') if w <> ''] AS w FROM documents)))"
 _INV = (
-    f"{_CHUNKS}, pt AS (SELECT p, w, count(*) AS n FROM (SELECT p, unnest({sql_tokens('chunk')}) AS w FROM ck) GROUP BY 1, 2), qt AS (SELECT case_id AS q, w, count(*) AS n FROM (SELECT case_id, unnest({sql_tokens('claim')}) AS w FROM claimguard_benchmark) GROUP BY 1, 2),"
+    f"{_CHUNKS}, tp AS MATERIALIZED (SELECT p, doc_id, chunk_no, {sql_tokens('chunk')} AS k FROM ck), tq AS (SELECT case_id AS q, {sql_tokens('claim')} AS k FROM claimguard_benchmark),"
+    " pt AS (SELECT p, w, count(*) AS n FROM (SELECT p, unnest(k) AS w FROM tp) GROUP BY 1, 2), qt AS (SELECT q, w, count(*) AS n FROM (SELECT q, unnest(k) AS w FROM tq) GROUP BY 1, 2),"
     " pn AS (SELECT p, count(*) AS size, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM pt GROUP BY 1), qn AS (SELECT q, count(*) AS size, sqrt(CAST(sum(n * n) AS DOUBLE)) AS norm FROM qt GROUP BY 1),"
     " pr AS (SELECT q, p, count(*) AS shared, CAST(sum(qt.n * pt.n) AS DOUBLE) AS dot FROM qt JOIN pt USING (w) GROUP BY 1, 2),"
-    f" so AS (SELECT q, p, {r3('0.40e0 * (dot / (qn.norm * pn.norm)) + 0.32e0 * (CAST(shared AS DOUBLE) / qn.size) + 0.12e0 * (CAST(shared AS DOUBLE) / (qn.size + pn.size - shared))')} AS score FROM pr JOIN qn USING (q) JOIN pn USING (p))"
+    f" pb AS (SELECT p, unnest({_BIG.format('k')}) AS w FROM tp), qb AS (SELECT q, unnest({_BIG.format('k')}) AS w FROM tq), bs AS (SELECT q, p, count(*) AS pairs FROM qb JOIN pb USING (w) GROUP BY 1, 2), bn AS (SELECT q, count(*) AS pairs FROM qb GROUP BY 1),"
+    f" ru AS (SELECT q, {_RUNS.format('k')} AS runs FROM tq), jo AS (SELECT p, doc_id, chunk_no, array_to_string(k, ' ') AS joined FROM tp),"
+    f" so AS (SELECT q, doc_id, chunk_no, {r3('least(1e0, 0.40e0 * (dot / (qn.norm * pn.norm)) + 0.32e0 * (CAST(shared AS DOUBLE) / qn.size) + 0.12e0 * (CAST(shared AS DOUBLE) / (qn.size + pn.size - shared)) + 0.16e0 * coalesce(CAST(bs.pairs AS DOUBLE) / bn.pairs, 0e0) + CASE WHEN len([r for r in runs if contains(joined, r)]) > 0 THEN 0.06e0 ELSE 0e0 END)')} AS score"
+    " FROM pr JOIN qn USING (q) JOIN pn USING (p) JOIN ru USING (q) JOIN jo USING (p) LEFT JOIN bs USING (q, p) LEFT JOIN bn USING (q))"
 )
 
 
-def corpus_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(p, toks) of the overlapping word chunks of all documents."""
-    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.posexplode(t.fixed_word_chunks(F.col("text"), 95, 20)).alias("pos", "chunk"))
-    return d.select((F.col("doc_id") * 10000 + F.col("pos")).alias("p"), t.tokens(F.col("chunk")).alias("toks"))
-
-
-def corpus_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "claimguard_benchmark").select(F.col("case_id").alias("q"), t.tokens(F.col("claim")).alias("toks"))
-
-
-def corpus_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(q, p, raw) of benchmark claims and chunks that share a token, by partial sums over inverted lists of tokens and
-    bigrams: all terms of the score but the phrase bonus, unrounded, without looking at a pair's texts."""
-    counted = lambda df, key: df.groupBy(key, "w").agg(F.count("*").alias("n"))
-    chunks, asked = corpus_chunks(spark, sf_dir), corpus_claims(spark, sf_dir)
-    counts = chunks.select("p", retrieval.frequencies(F.col("toks")).alias("f"))  # a chunk has at most 95 words: counted in its row
-    norm = F.sqrt(F.aggregate("f", F.lit(0).cast("bigint"), lambda a, x: a + x["n"] * x["n"]).cast("double"))
-    p = counts.select("p", F.size("f").alias("p_size"), norm.alias("p_norm"), F.explode("f").alias("f")).select("p", "p_size", "p_norm", "f.w", "f.n")
-    q = counted(asked.select("q", F.explode("toks").alias("w")), "q")
-    p2, q2 = chunks.select("p", F.explode(t.bigrams(F.col("toks"))).alias("w")), asked.select("q", F.explode(t.bigrams(F.col("toks"))).alias("w"))
-    both = q2.join(p2, "w").groupBy("q", "p").agg(F.count("*").alias("shared_pairs")).join(q2.groupBy("q").agg(F.count("*").alias("q_pairs")), "q")
-    size = lambda df, key: df.groupBy(key).agg(F.count("*").alias(f"{key}_size"), F.sqrt(F.sum(F.col("n") * F.col("n")).cast("double")).alias(f"{key}_norm"))
-    pairs = q.withColumnRenamed("n", "m").join(p, "w").groupBy("q", "p", "p_size", "p_norm").agg(F.count("*").alias("shared"), F.sum(F.col("m") * F.col("n")).cast("double").alias("dot"))
-    s = pairs.join(size(q, "q"), "q").join(both, ["q", "p"], "left")
-    shared = F.col("shared").cast("double")
-    score = 0.40 * (F.col("dot") / (F.col("q_norm") * F.col("p_norm"))) + 0.32 * (shared / F.col("q_size")) + 0.12 * (shared / (F.col("q_size") + F.col("p_size") - F.col("shared")))
-    score = score + 0.16 * F.coalesce(F.col("shared_pairs").cast("double") / F.col("q_pairs"), F.lit(0.0))
-    return s.select("q", "p", score.alias("raw"))
-
-
-@query(f"WITH {_INV} SELECT q AS case_id, p AS chunk_id, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, p) AS rank FROM so WHERE score >= 0.08e0 QUALIFY rank <= 5")
+@query(f"WITH {_INV} SELECT q AS case_id, doc_id, chunk_no, score, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, chunk_no) AS rank FROM so WHERE score >= 0.08e0 QUALIFY rank <= 5")
 def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The five best chunks of the corpus for every claim by the whole lexical score: a top-k report. The SQL leaves out
-    the bigram and phrase terms.
-
-    The phrase bonus is sought only in chunks that it could lift to the fifth best sum (or the least score), which loses none."""
-    bonus, slack = 0.06, 0.002  # the slack covers rounding
-    raw = materialize(corpus_scores(spark, sf_dir).where(F.col("raw") >= retrieval.MIN_SCORE - bonus - slack), "topk-sums")
-    fifth = tables.top_k(raw, ["q"], [F.desc("raw")], 5).groupBy("q").agg(F.when(F.count("*") == 5, F.min("raw")).otherwise(0.0).alias("fifth"))
-    near = raw.join(fifth, "q").where(F.col("raw") >= F.least("fifth", F.lit(1.0)) - bonus - slack).select("q", "p", "raw")
-    asked = corpus_claims(spark, sf_dir).select("q", F.concat(t.phrases(F.col("toks"), 4), t.phrases(F.col("toks"), 3)).alias("runs"))
-    texts = corpus_chunks(spark, sf_dir).select("p", F.array_join("toks", " ").alias("joined"))
-    lifted = F.when(F.exists("runs", lambda r: F.contains("joined", r)), bonus).otherwise(0.0)
-    scored = near.join(asked, "q").join(texts, "p").select("q", "p", round_half_up(F.least(F.lit(1.0), F.col("raw") + lifted)).alias("score"))
-    best = tables.top_k(scored.where(f"score >= {retrieval.MIN_SCORE}"), ["q"], [F.desc("score"), F.col("p")], 5)
-    return best.select(F.col("q").alias("case_id"), F.col("p").alias("chunk_id"), "score", "rank")
+    """The five best chunks of the corpus for every claim by the whole lexical score: a top-k report."""
+    d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.posexplode(t.fixed_word_chunks(F.col("text"), 95, 20)).alias("chunk_no", "chunk"))
+    chunks = d.select("doc_id", "chunk_no", t.tokens(F.col("chunk")).alias("toks"))
+    asked = read(spark, sf_dir, "claimguard_benchmark").select(F.col("case_id").alias("q"), t.tokens(F.col("claim")).alias("toks"))
+    return lexical.top_chunks(asked, chunks, 5).withColumnRenamed("q", "case_id")
 
 
 def neighbours(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:

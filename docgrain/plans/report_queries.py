@@ -157,10 +157,9 @@ def strategy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     return s.withColumn("chosen", F.when(F.col("reranked_recall") >= F.col("base_recall"), "reranked").otherwise("base"))
 
 
-@query("SELECT document, left(string_agg(sentence, ' ' ORDER BY sentence_index, claim_id), 3500) AS context FROM claim WHERE sentence IS NOT NULL AND sentence_index < 20 GROUP BY document")
+@query("SELECT document, left(string_agg(sentence, ' ' ORDER BY sentence_index, claim_id), 3500) AS context FROM claim WHERE sentence IS NOT NULL GROUP BY document")
 def document_context(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A document's sentences joined in order, cut to 3,500 characters. Only rows that begin before the cut are collected;
-    the SQL also stops at the twentieth sentence."""
+    """A document's sentences joined in order, cut to 3,500 characters. Only rows that begin before the cut are collected."""
     place = W.partitionBy("document").orderBy(F.asc_nulls_last("sentence_index"), "claim_id")
     c = read(spark, sf_dir, "claim").where("sentence is not null").select("document", "sentence_index", "claim_id", "sentence")
     c = c.withColumns({"pos": F.row_number().over(place), "before": F.sum(F.length("sentence") + 1).over(place.rowsBetween(W.unboundedPreceding, -1))})

@@ -109,10 +109,10 @@ def token_stats(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _REVIEW = r"[w for w in regexp_split_to_array(regexp_replace(regexp_replace(lower(text), '<br\s*/?>', ' ', 'g'), '[^a-z0-9\s]', ' ', 'g'), '\s+') if w <> '']"
-_VOCAB = f"k AS (SELECT doc_id, unnest({_REVIEW}) AS token, unnest(range(len({_REVIEW}))) AS pos FROM documents), c AS (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS f FROM k GROUP BY 1 HAVING count(*) >= 2 ORDER BY cnt DESC, f LIMIT 998), vocab AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, f) + 1 AS token_id FROM c)"
+_VOCAB = f"k AS (SELECT doc_id, unnest({_REVIEW}) AS token, unnest(range(len({_REVIEW}))) AS pos FROM documents), c AS (SELECT token, count(*) AS cnt, min((doc_id, pos)) AS f FROM k GROUP BY 1 HAVING count(*) >= 2 ORDER BY cnt DESC, f LIMIT 19998), vocab AS (SELECT token, cnt, row_number() OVER (ORDER BY cnt DESC, f) + 1 AS token_id FROM c)"
 
 
-#: Rows of the vocabulary with the two special ids, and tokens of an encoded text. The SQL has 1,000 and 16.
+#: Rows of the vocabulary with the two special ids, and tokens of an encoded text.
 MAX_VOCAB, MAX_LEN = 20_000, 200
 
 
@@ -130,8 +130,8 @@ def vocabulary_top(spark: SparkSession, sf_dir: str) -> DataFrame:
     return vocabulary(spark, sf_dir)
 
 
-@query(f"WITH {_VOCAB}, h AS (SELECT doc_id, pos, coalesce(token_id, 1) AS id FROM k LEFT JOIN vocab USING (token) WHERE pos < 16), e AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM h GROUP BY 1)"
-       " SELECT d.doc_id, array_to_string(list_resize(coalesce(ids, []), 16, 0), ' ') AS encoded FROM documents d LEFT JOIN e USING (doc_id)")
+@query(f"WITH {_VOCAB}, h AS (SELECT doc_id, pos, coalesce(token_id, 1) AS id FROM k LEFT JOIN vocab USING (token) WHERE pos < 200), e AS (SELECT doc_id, list(id ORDER BY pos) AS ids FROM h GROUP BY 1)"
+       " SELECT d.doc_id, array_to_string(list_resize(coalesce(ids, []), 200, 0), ' ') AS encoded FROM documents d LEFT JOIN e USING (doc_id)")
 def encode_padded(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The first MAX_LEN tokens as vocabulary ids, 1 for unknown ones, padded with 0. The vocabulary has at most MAX_VOCAB rows."""
     d = read(spark, sf_dir, "documents", wide=True).select("doc_id", F.slice(t.review_tokens(F.col("text")), 1, MAX_LEN).alias("v"))

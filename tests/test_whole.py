@@ -74,6 +74,6 @@ def test_corpus_search_ranks_by_the_whole_score(spark, tmp_path):
     claims = [(1, "Alpha bravo carbon delta ember."), (2, "falcon harbor"), (3, "island jungle alpha")]
     got = run(spark, tmp_path, "lexical_topk", documents=(texts, "doc_id bigint, text string"), claimguard_benchmark=(claims, "case_id bigint, claim string"))
     d = spark.createDataFrame(texts, "doc_id bigint, text string").crossJoin(spark.createDataFrame(claims, "case_id bigint, claim string"))
-    all_scores = d.select("case_id", (F.col("doc_id") * 10000).alias("p"), retrieval.lexical_score(t.tokens(F.col("claim")), t.tokens(F.col("text"))).alias("s")).collect()
+    all_scores = d.select("case_id", F.col("doc_id").alias("p"), retrieval.lexical_score(t.tokens(F.col("claim")), t.tokens(F.col("text"))).alias("s")).collect()
     want = [(c, *x) for c, _ in claims for x in [(r.p, r.s) for r in sorted(all_scores, key=lambda r: (-r.s, r.p)) if r.case_id == c and r.s >= 0.08][:5]]
-    assert [(r.case_id, r.chunk_id, r.score) for r in sorted(got, key=lambda r: (r.case_id, r["rank"]))] == want
+    assert [(r.case_id, r.doc_id, r.score) for r in sorted(got, key=lambda r: (r.case_id, r["rank"]))] == want
