@@ -118,6 +118,16 @@ def recursive(text: str, size: int = 512, overlap: int = 64, separators: tuple[s
     return [c for o in out if (c := o.strip())]
 
 
+def windows(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
+    """As ``chunked`` for keys of any type, which stay in the JVM's rows: only texts and their chunks pass through Python."""
+
+    @F.pandas_udf("array<string>")
+    def pieces(texts: pd.Series) -> pd.Series:
+        return texts.map(lambda x: cut(x) if x is not None else [])
+
+    return spread(df).select(key, F.posexplode(pieces(F.col(text))).alias("chunk_no", "chunk"))
+
+
 def chunked(df: DataFrame, key: str, text: str, cut: Callable[[str], list[str]]) -> DataFrame:
     """(key, chunk_no, chunk) for every row, by a function from text to chunks."""
 

@@ -138,6 +138,15 @@ _AUTHOR = (
 )
 
 
+def words_naming(words: DataFrame, asked: DataFrame) -> DataFrame:
+    """(document, word, hint): the distinct ``words`` (document, word) of which a hint of ``asked`` (document, hint) is a part. They meet
+    by the hint's first three letters, wherever in the word these stand."""
+    starts = "array_distinct(flatten(transform(sequence(1, length(word)), i -> array(substr(word, i, 1), substr(word, i, 2), substr(word, i, 3)))))"
+    parts = words.select("document", "word").distinct().withColumn("start", F.explode(F.expr(starts)))
+    hints = asked.select("document", "hint", F.left("hint", F.lit(3)).alias("start")).distinct()
+    return parts.join(hints, ["document", "start"]).where(F.contains("word", "hint")).select("document", "word", "hint")
+
+
 @query(f"WITH {_AUTHOR} SELECT citation_id, min(ref_id) AS ref_id FROM ci JOIN w ON w.document = ci.document AND contains(w.named, ci.hint) AND (ci.cited_year IS NULL OR w.parsed_year IS NULL OR ci.cited_year = w.parsed_year) GROUP BY 1")
 def citation_resolve_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Author-year citations to the first reference of the report with a compatible year that names the author: whose
@@ -148,11 +157,7 @@ def citation_resolve_author_year(spark: SparkSession, sf_dir: str) -> DataFrame:
     words = F.array_distinct(F.split(F.lower(F.concat_ws(" ", "raw_text", "authors")), r"\s+"))
     w = read(spark, sf_dir, "parsed_reference").select("ref_id", "document", "parsed_year", F.explode(words).alias("word")).where("word != ''")
     w = w.groupBy("document", "word", "parsed_year").agg(F.min("ref_id").alias("ref_id"))
-    starts = "array_distinct(flatten(transform(sequence(1, length(word)), i -> array(substr(word, i, 1), substr(word, i, 2), substr(word, i, 3)))))"
-    parts = w.select("document", "word").distinct().withColumn("start", F.explode(F.expr(starts)))
-    hints = c.select("document", "hint", F.left("hint", F.lit(3)).alias("start")).distinct()
-    named = parts.join(hints, ["document", "start"]).where(F.contains("word", "hint")).select("document", "word", "hint")
-    first = w.join(named, ["document", "word"]).groupBy("document", "hint", "parsed_year").agg(F.min("ref_id").alias("ref_id"))
+    first = w.join(words_naming(w, c), ["document", "word"]).groupBy("document", "hint", "parsed_year").agg(F.min("ref_id").alias("ref_id"))
     compatible = F.col("cited_year").isNull() | F.col("parsed_year").isNull() | (F.col("cited_year") == F.col("parsed_year"))
     return c.join(first, ["document", "hint"]).where(compatible).groupBy("citation_id").agg(F.min("ref_id").alias("ref_id"))
 
