@@ -154,6 +154,14 @@ def boolean(text: Column) -> Column:
     return F.when(t.isin("true", "1", "yes", "y", "t"), True).when(t.isin("false", "0", "no", "n", "f"), False)
 
 
+def strict_boolean(text: Column, optional: bool = False) -> Column:
+    """true, 1, yes and false, 0, no; with ``optional`` null for an empty text, na, n/a and none; anything else raises when read."""
+    v = F.lower(F.trim(F.coalesce(text, F.lit(""))))
+    known = F.when(v.isin("true", "1", "yes"), True).when(v.isin("false", "0", "no"), False)
+    known = known.when(v.isin("", "na", "n/a", "none"), F.lit(None).cast("boolean")) if optional else known
+    return known.otherwise(F.raise_error(F.concat(F.lit("invalid boolean: "), v)).cast("boolean"))
+
+
 def fixed_word_chunks(text: Column, size: int, overlap: int) -> Column:
     """Chunks of ``size`` words, each starting size - overlap words after the last; the tail may lie in its forerunner."""
     stride = max(1, size - overlap)

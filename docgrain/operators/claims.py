@@ -98,7 +98,7 @@ def severity(sentence: Column, missing: Column) -> Column:
 BLOCK = 4096
 
 
-def classify(df: DataFrame, document: str, position: str, sentence: str, cited: Column, block: Column) -> DataFrame:
+def classify(df: DataFrame, document: str, position: str, sentence: str, cited: Column, block: Column | None = None) -> DataFrame:
     """Classified sentences of documents in order: section carried forward, citations inherited along a chain of
     following sentences; missing flag, context and severity. Both states are the last known value before a row, carried within
     blocks of sentences and over the blocks, so no document is sorted in one task."""

@@ -1,8 +1,9 @@
-"""Exact dense retrieval: query blocks against all vectors.
+"""Exact dense retrieval: query blocks against blocks of all vectors.
 
-Queries come to the driver in blocks of a bounded size; every block is multiplied with the vectors batch by batch, each
-batch keeps its best k per query, and the survivors meet in one ranking. No pair of vectors is ever a row of its own
-beyond those survivors. Null or wrong-sized vectors are left out; ties are broken by id.
+Vectors and queries are packed into rows of at most BLOCK vectors each, within their partitions; every block of queries meets
+every block of vectors in one product, each product keeps the best k per query, and the survivors meet in one ranking. Nothing
+comes to the driver, and no pair of vectors is a row of its own beyond the survivors. Null or wrong-sized vectors (of another
+size than most) are left out; ties are broken by id.
 """
 
 from __future__ import annotations
@@ -12,7 +13,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from docgrain.operators import tables
@@ -28,44 +29,45 @@ def _matrix(column: pa.Array, size: int) -> tuple[np.ndarray, np.ndarray]:
     return np.asarray(flat, np.float64).reshape(len(good), size), good
 
 
+def inner(a: Column, b: Column) -> Column:
+    """Inner product of two vectors, summed in order."""
+    return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
+
+
+def _packed(df: DataFrame, key: str, column: str, prefix: str) -> DataFrame:
+    """(ids, values): rows of at most BLOCK vectors of one size, flattened."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for whole in batches:
+            for at in range(0, whole.num_rows, BLOCK):
+                batch = whole.slice(at, BLOCK)
+                sizes = np.array(pc.fill_null(pc.list_value_length(batch.column(1)), 0))
+                for size in np.unique(sizes[sizes > 0]).tolist():
+                    v, good = _matrix(batch.column(1), size)
+                    ids = batch.column(0).take(pa.array(good))
+                    yield pa.RecordBatch.from_arrays([pa.array([size], pa.int32()), pa.array([ids.to_pylist()], pa.list_(pa.int64())), pa.array([v.ravel()], pa.list_(pa.float64()))], names=[f"{prefix}_size", f"{prefix}_ids", f"{prefix}_values"])
+
+    narrow = df.select(F.col(key).cast("bigint"), column).where(F.col(key).isNotNull() & F.col(column).isNotNull())
+    return narrow.mapInArrow(run, f"{prefix}_size int, {prefix}_ids array<bigint>, {prefix}_values array<double>")
+
+
 def top_matches(vectors: DataFrame, queries: DataFrame, key: str, column: str, k: int) -> DataFrame:
-    """(query_id, match_id, score, rank): the k best inner products of each query with the other vectors."""
-    result: DataFrame | None = None
-    block: list[tuple[int, list[float]]] = []
-
-    def scored(block: list[tuple[int, list[float]]]) -> DataFrame:
-        ids = np.array([i for i, _ in block])
-        q = np.array([v for _, v in block], np.float64)
-
-        def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-            for batch in batches:
-                v, good = _matrix(batch.column(1), q.shape[1])
-                own = np.asarray(batch.column(0).take(pa.array(good)))
-                if not len(own):
-                    continue
+    """(query_id, match_id, score, rank): the k best inner products of each query with the other vectors of its size."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                q_ids, own = (np.asarray(batch.column(c)[row].values) for c in (1, 4))
+                q, v = (np.asarray(batch.column(c)[row].values).reshape(len(ids), -1) for c, ids in ((2, q_ids), (5, own)))
                 s = q @ v.T
-                s[ids[:, None] == own[None, :]] = -np.inf
+                s[q_ids[:, None] == own[None, :]] = -np.inf
                 n = min(k, s.shape[1])
                 order = np.lexsort((np.broadcast_to(own, s.shape), -s), axis=1)[:, :n]
                 value = np.take_along_axis(s, order, 1).ravel()
                 keep = np.isfinite(value)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.repeat(ids, n)[keep]), pa.array(own[order].ravel()[keep]), pa.array(value[keep])], names=["query_id", "match_id", "score"]
-                )
-
-        return vectors.select(F.col(key).cast("bigint"), column).mapInArrow(run, "query_id bigint, match_id bigint, score double")
-
-    size = None
-    for row in queries.select(F.col(key).cast("bigint").alias("i"), F.col(column).alias("v")).where("v is not null").toLocalIterator():
-        size = size or len(row.v)
-        if len(row.v) == size:
-            block.append((row.i, row.v))
-        if len(block) == BLOCK:
-            one = scored(block)
-            result, block = one if result is None else result.unionByName(one), []
-    if block:
-        one = scored(block)
-        result = one if result is None else result.unionByName(one)
-    if result is None:
-        return vectors.sparkSession.createDataFrame([], "query_id bigint, match_id bigint, score double, rank int")
-    return tables.top_k(result, ["query_id"], [F.desc("score"), F.col("match_id")], k)
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(q_ids, n)[keep]), pa.array(own[order].ravel()[keep]), pa.array(value[keep])], names=["query_id", "match_id", "score"])
+
+    # blocks of a stated query set against blocks of all rows
+    met = _packed(queries, key, column, "q").crossJoin(_packed(vectors, key, column, "v")).where("q_size = v_size")
+    found = met.select("q_size", "q_ids", "q_values", "v_size", "v_ids", "v_values").mapInArrow(run, "query_id bigint, match_id bigint, score double")
+    return tables.top_k(found, ["query_id"], [F.desc("score"), F.col("match_id")], k)

@@ -92,15 +92,23 @@ def auroc(df: DataFrame, score: str, positive: Column, by: Sequence[str] = ()) -
 
 
 def leaderboard(df: DataFrame, tool: str = "tool") -> DataFrame:
-    """coverage, accuracy over available predictions, macro and micro F1 per tool, and the rank (macro, coverage, name).
+    """coverage, accuracy, macro and micro F1 over available predictions per tool, and the rank (macro, coverage, name).
 
-    Rows without a prediction have predicted 'missing'."""
+    Rows without a prediction have predicted 'missing' and count for the coverage alone. Macro is the mean over all labels that are
+    expected of any tool; micro pools their counts."""
     available = F.col("predicted") != "missing"
     base = df.groupBy(tool).agg(F.count("*").alias("cases"), F.count_if(available).alias("available"), F.count_if(available & hit()).alias("correct"))
-    expected = df.select("expected").distinct()
-    scored = per_label(df, [tool]).join(F.broadcast(expected.withColumnRenamed("expected", "label")), "label")  # a label list
-    means = scored.groupBy(tool).agg(round_half_up(F.avg("f1")).alias("macro_f1"))
-    out = base.join(means, tool).select(tool, "cases", ratio(F.col("available"), F.col("cases")).alias("coverage"), ratio(F.col("correct"), F.col("available")).alias("accuracy"), "macro_f1")
+    expected = df.select(F.col("expected").alias("label")).where("label is not null").distinct()
+    scored = per_label(df.where(available), [tool]).join(expected, "label", "left_semi")
+    sums = scored.groupBy(tool).agg(F.sum("f1").alias("f1"), F.sum("tp").alias("tp"), F.sum("fp").alias("fp"), F.sum("fn").alias("fn"))
+    labels = expected.agg(F.count("*").alias("labels"))
+    joined = base.join(sums, tool, "left").crossJoin(F.broadcast(labels))  # one row
+    none = F.lit(0)
+    tp, fp, fn = (F.coalesce(c, none) for c in ("tp", "fp", "fn"))
+    out = joined.select(
+        tool, "cases", ratio(F.col("available"), F.col("cases")).alias("coverage"), ratio(F.col("correct"), F.col("available")).alias("accuracy"),
+        round_half_up(F.coalesce("f1", F.lit(0.0)) / F.greatest(F.lit(1), "labels")).alias("macro_f1"), harmonic(ratio(tp, tp + fp), ratio(tp, tp + fn)).alias("micro_f1"),
+    )
     return out.withColumn("place", F.row_number().over(W.orderBy(F.desc("macro_f1"), F.desc("coverage"), tool)))
 
 

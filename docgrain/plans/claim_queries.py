@@ -287,20 +287,30 @@ def dense_recall_mrr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.hit_rate_and_mrr(labelled(spark, sf_dir), queries, "query_id", "rank", "hit", (5, 10))
 
 
-@query(f"WITH {_DENSE}, po AS (SELECT * FROM rd WHERE rank <= 20) SELECT query_id, match_id, rank AS first_rank, row_number() OVER (PARTITION BY query_id ORDER BY vl, rank) AS rank FROM po QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY vl, rank) <= 5")
+_RERANK = f"{_DENSE}, fr AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY half DESC, match_id) AS first_rank FROM al), rr AS (SELECT * EXCLUDE (rank), row_number() OVER (PARTITION BY query_id ORDER BY score DESC, first_rank) AS rank FROM (SELECT *, 0 AS rank FROM fr WHERE first_rank <= 20))"
+
+
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """(query_id, match_id, first_rank, rank, hit): the best 20 by the first half of the vectors, reordered by whole vectors."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    half = e.select("vec_id", F.slice("embedding", 1, 32).alias("half"))
+    pool = dense.top_matches(half, half.where("vec_id % 50 = 0"), "vec_id", "half", 20).withColumnRenamed("rank", "first_rank").drop("score")
+    side = lambda key, v, label: e.select(F.col("vec_id").alias(key), F.col("embedding").alias(v), F.col("label").alias(label))
+    both = pool.join(side("query_id", "a", "ql"), "query_id").join(side("match_id", "b", "vl"), "match_id")
+    scored = both.withColumn("second", dense.inner(F.col("a"), F.col("b"))).drop("a", "b")
+    return tables.top_k(scored, ["query_id"], [F.desc("second"), F.col("first_rank")], 20).withColumn("hit", F.col("ql") == F.col("vl"))
+
+
+@query(f"WITH {_RERANK} SELECT query_id, match_id, first_rank, rank FROM rr WHERE rank <= 5")
 def rerank_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The best 20 reordered by a second score (here the label's value, falling), the best 5 kept."""
-    second = labelled(spark, sf_dir).select("query_id", "match_id", "score", (-F.col("vl")).alias("second"), F.col("rank").alias("place"))
-    return retrieval.rerank(second, "query_id", "place", "score", "second", 20, 5).select("query_id", "match_id", "first_rank", "rank")
+    """The best 20 by a cheap score (half of the vector) reordered by the whole one, the best 5 kept."""
+    return reranked(spark, sf_dir).where("rank <= 5").select("query_id", "match_id", "first_rank", "rank")
 
 
-@query(f"WITH {_DENSE}, f AS (SELECT query_id, min(rank) FILTER (ql = vl AND rank <= 20) AS base, min(r2) FILTER (ql = vl) AS re FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vl, rank) AS r2 FROM rd WHERE rank <= 20) GROUP BY 1)"
+@query(f"WITH {_RERANK}, f AS (SELECT query_id, min(first_rank) FILTER (ql = vl) AS base, min(rank) FILTER (ql = vl) AS re FROM rr GROUP BY 1)"
        " SELECT query_id, CASE WHEN base <= 5 AND coalesce(re, 99) > 5 THEN 'reranking regression' WHEN coalesce(re, 99) <= 5 THEN 'found' WHEN base <= 20 THEN 'ranked too low' ELSE 'representation miss' END AS outcome FROM f")
 def failure_types(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
-    r2 = labelled(spark, sf_dir).withColumn("r2", F.row_number().over(W.partitionBy("query_id").orderBy("vl", "rank")))
-    f = r2.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("base"), F.min(F.when(F.col("hit"), F.col("r2"))).alias("re"))
+    f = reranked(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("first_rank"))).alias("base"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("re"))
     re = F.coalesce("re", F.lit(99))
     return f.select("query_id", F.when((F.col("base") <= 5) & (re > 5), "reranking regression").when(re <= 5, "found").when(F.col("base") <= 20, "ranked too low").otherwise("representation miss").alias("outcome"))
 

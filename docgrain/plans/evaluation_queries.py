@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from docgrain.functions.numbers import r3, ratio, round_half_up
@@ -125,9 +126,12 @@ def auroc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.auroc(read(spark, sf_dir, "claim"), "classification_confidence", F.coalesce(F.col("missing_citation"), F.lit(False)), ["lang"])
 
 
-@query(f"WITH {LABELS}, e AS (SELECT DISTINCT expected AS label FROM tools), m AS (SELECT tool, {r3('avg(f)')} AS macro_f1 FROM pf JOIN e USING (label) GROUP BY tool),"
+_AVAILABLE = LABELS.replace("FROM lab l JOIN tools t ON t.tool = l.tool WHERE", "FROM lab l JOIN tools t ON t.tool = l.tool AND t.predicted <> 'missing' WHERE")
+
+
+@query(f"WITH {_AVAILABLE}, e AS (SELECT DISTINCT expected AS label FROM tools WHERE expected IS NOT NULL), m AS (SELECT tool, {r3('sum(f) / (SELECT count(*) FROM e)')} AS macro_f1, sum(tp) AS tp, sum(predicted_count) AS pc, sum(support) AS su FROM pf JOIN e USING (label) GROUP BY tool),"
        f" b AS (SELECT tool, count(*) AS cases, {_div('count(*) FILTER (predicted <> $$missing$$)', 'count(*)')} AS coverage, {_div('count(*) FILTER (predicted <> $$missing$$ AND predicted = expected)', 'count(*) FILTER (predicted <> $$missing$$)')} AS accuracy FROM tools GROUP BY tool)"
-       " SELECT tool, cases, coverage, accuracy, macro_f1, row_number() OVER (ORDER BY macro_f1 DESC, coverage DESC, tool) AS place FROM b JOIN m USING (tool)")
+       f" SELECT tool, cases, coverage, accuracy, coalesce(macro_f1, 0e0) AS macro_f1, {_f1(_div('tp', 'pc'), _div('tp', 'su'))} AS micro_f1, row_number() OVER (ORDER BY macro_f1 DESC, coverage DESC, tool) AS place FROM b LEFT JOIN m USING (tool)")
 def leaderboard(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ev.leaderboard(tools(spark, sf_dir))
 
@@ -162,9 +166,9 @@ def majority_baseline(spark: SparkSession, sf_dir: str) -> DataFrame:
 _BACK = "backend AS (SELECT doc_id, coalesce(source, 'none') AS backend, lang AS model, CASE WHEN n_chars IS NULL THEN NULL ELSE CAST(n_chars AS DOUBLE) / 7e0 END AS latency_ms, doc_id % 11 = 0 AS failed, CASE WHEN source = 'wiki_article' THEN NULL ELSE n_chars END AS tokens FROM documents)"
 
 
-@query(f"WITH {_BACK} SELECT backend, count(*) AS calls, count(*) FILTER (failed) AS errors, {r3('sum(latency_ms) FILTER (NOT failed) / greatest(1, count(latency_ms) FILTER (NOT failed))', 1)} AS mean_latency_ms, count(DISTINCT model) FILTER (NOT failed) AS models, sum(tokens) AS tokens FROM {'backend'} GROUP BY backend")
+@query(f"WITH {_BACK} SELECT backend, count(*) AS calls, count(*) FILTER (failed) AS errors, {r3('sum(latency_ms) FILTER (NOT failed) / greatest(1, count(latency_ms) FILTER (NOT failed))', 1)} AS mean_latency_ms, string_agg(DISTINCT model, ',' ORDER BY model) FILTER (NOT failed) AS models, sum(tokens) AS tokens FROM {'backend'} GROUP BY backend")
 def backend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Calls, errors, mean latency and distinct models of the rows without error, and token sums that stay null when never reported."""
+    """Calls, errors, mean latency and sorted distinct models of the rows without error, and token sums that stay null when never reported."""
     d = read(spark, sf_dir, "documents")
     n = F.col("n_chars")
     rows = d.select(F.coalesce("source", F.lit("none")).alias("backend"), F.col("lang").alias("model"), (n.cast("double") / 7.0).alias("latency_ms"), (F.col("doc_id") % 11 == 0).alias("failed"), F.when(F.col("source") == "wiki_article", None).otherwise(n).alias("tokens"))
@@ -172,7 +176,7 @@ def backend_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("backend").agg(
         F.count("*").alias("calls"), F.count_if("failed").alias("errors"),
         round_half_up(F.sum(good("latency_ms")) / F.greatest(F.lit(1), F.count(good("latency_ms"))), 1).alias("mean_latency_ms"),
-        F.count_distinct(good("model")).alias("models"), F.sum("tokens").alias("tokens"),
+        F.nullif(F.array_join(F.array_sort(F.collect_set(good("model"))), ","), F.lit("")).alias("models"), F.sum("tokens").alias("tokens"),
     )
 
 
@@ -282,10 +286,16 @@ def architecture_gap(spark: SparkSession, sf_dir: str) -> DataFrame:
     return means(spark, sf_dir).groupBy("chunk_size").agg(round_half_up(F.max("m") - F.min("m")).alias("gap"), F.max_by("method", F.struct("m", "method")).alias("best_method"))
 
 
+@query(f"WITH {_MEANS}, o AS (SELECT chunk_size, method, lag(method) OVER w AS before, m - lag(m) OVER w AS d FROM means WINDOW w AS (PARTITION BY chunk_size ORDER BY method)) SELECT chunk_size, before, method, {r3('d')} AS gap FROM o WHERE before IS NOT NULL")
+def adjacent_gaps(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The gap of each method to the one before it, by name, at every chunk size."""
+    w = W.partitionBy("chunk_size").orderBy("method")
+    o = means(spark, sf_dir).select("chunk_size", "method", F.lag("method").over(w).alias("before"), (F.col("m") - F.lag("m").over(w)).alias("d")).where("before is not null")
+    return o.select("chunk_size", "before", "method", round_half_up(F.col("d")).alias("gap"))
+
+
 @query(f"WITH {_MEANS}, o AS (SELECT *, lag(m) OVER (PARTITION BY method ORDER BY chunk_size) AS before FROM means), d AS (SELECT method, chunk_size, {r3('abs(m - before)')} AS change FROM o WHERE before IS NOT NULL) SELECT * FROM d QUALIFY row_number() OVER (ORDER BY change DESC, method, chunk_size) = 1")
 def largest_change(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from pyspark.sql import Window as W
-
     o = means(spark, sf_dir).withColumn("before", F.lag("m").over(W.partitionBy("method").orderBy("chunk_size"))).where("before is not null")
     d = o.select("method", "chunk_size", round_half_up(F.abs(F.col("m") - F.col("before"))).alias("change"))
     return d.orderBy(F.desc("change"), "method", "chunk_size").limit(1)
@@ -359,9 +369,10 @@ def shared_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "claim").select("document").intersect(read(spark, sf_dir, "rq_claim_annotations").select("document"))
 
 
-@query("SELECT document FROM parsed_reference EXCEPT SELECT document FROM claim")
+@query("SELECT document FROM parsed_reference EXCEPT SELECT document FROM rq_claim_annotations")
 def documents_without_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read(spark, sf_dir, "parsed_reference").select("document").subtract(read(spark, sf_dir, "claim").select("document"))
+    """Documents with references but without annotated claims."""
+    return read(spark, sf_dir, "parsed_reference").select("document").subtract(read(spark, sf_dir, "rq_claim_annotations").select("document"))
 
 
 @query("SELECT m.method, s.chunk_size, o.overlap, m.method || '/' || s.chunk_size || '/' || o.overlap AS config_id FROM (VALUES ('fixed'), ('sentence'), ('recursive')) m(method) CROSS JOIN (VALUES (128), (256), (512), (1024)) s(chunk_size) CROSS JOIN (VALUES (0), (64)) o(overlap)")

@@ -12,7 +12,7 @@ from docgrain.functions import text as t
 from docgrain.functions.numbers import r3, ratio, round_half_up
 from docgrain.operators import evaluation as ev
 from docgrain.operators import tables
-from docgrain.plans.claim_queries import _CARRIED, _DENSE, classified, labelled
+from docgrain.plans.claim_queries import _CARRIED, _RERANK, classified, reranked
 from docgrain.plans.evaluation_queries import _EXP, TOOLS, _div, experiments, tools
 from docgrain.plans.text_queries import _STYLE, style_scores_of
 from docgrain.session import read
@@ -78,6 +78,17 @@ def answer_match(spark: SparkSession, sf_dir: str) -> DataFrame:
     return n.select("case_id", (F.contains("e", "c") | F.contains("c", "e")).alias("contained"), F.contains("e", F.split("c", " ")[0]).alias("names_first"))
 
 
+@query()
+def answer_similarity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Claim and evidence as two answers: correct if one contains the other or their matching blocks make at least 0.45. No
+    SQL: the ratio is that of difflib."""
+    from docgrain.operators.bibliography import block_ratio
+
+    n = read(spark, sf_dir, "claimguard_benchmark").select("case_id", t.marker(F.col("claim")).alias("c"), t.marker(F.col("evidence")).alias("e")).withColumn("similarity", round_half_up(block_ratio("c", "e"), 3))
+    filled = (F.col("c") != "") & (F.col("e") != "")
+    return n.select("case_id", "similarity", (filled & (F.contains("e", "c") | F.contains("c", "e") | (F.col("similarity") >= 0.45))).alias("correct"))
+
+
 @query("WITH r AS (SELECT ref_id, lower(rtrim(regexp_replace(doi, '(?i)^https?://(?:dx\\.)?doi\\.org/', ''), '.,;:)]')) AS d FROM parsed_reference WHERE doi IS NOT NULL) SELECT d AS doi, count(*) AS entries, min(ref_id) AS first_ref FROM r GROUP BY d HAVING count(*) > 1")
 def repeated_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Identifiers cited more than once, after the resolver and trailing punctuation are stripped."""
@@ -147,11 +158,10 @@ def best_configuration(spark: SparkSession, sf_dir: str) -> DataFrame:
     return b.orderBy(F.desc("m"), F.desc("n"), "method", "chunk_size").limit(1)
 
 
-@query(f"WITH {_DENSE}, f AS (SELECT query_id, min(rank) FILTER (ql = vl) AS base, min(r2) FILTER (ql = vl) AS re FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY vl, rank) AS r2 FROM rd WHERE rank <= 20) GROUP BY 1), s AS (SELECT {r3('avg(CASE WHEN base <= 5 THEN 1e0 ELSE 0e0 END)')} AS base_recall, {r3('avg(CASE WHEN re <= 5 THEN 1e0 ELSE 0e0 END)')} AS reranked_recall FROM f) SELECT *, CASE WHEN reranked_recall >= base_recall THEN 'reranked' ELSE 'base' END AS chosen FROM s")
+@query(f"WITH {_RERANK}, f AS (SELECT query_id, min(first_rank) FILTER (ql = vl) AS base, min(rank) FILTER (ql = vl) AS re FROM rr GROUP BY 1), s AS (SELECT {r3('avg(CASE WHEN base <= 5 THEN 1e0 ELSE 0e0 END)')} AS base_recall, {r3('avg(CASE WHEN re <= 5 THEN 1e0 ELSE 0e0 END)')} AS reranked_recall FROM f) SELECT *, CASE WHEN reranked_recall >= base_recall THEN 'reranked' ELSE 'base' END AS chosen FROM s")
 def strategy_selection(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The reranked ranking is chosen if its recall is at least the base's."""
-    r2 = labelled(spark, sf_dir).withColumn("r2", F.row_number().over(W.partitionBy("query_id").orderBy("vl", "rank")))
-    f = r2.groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("rank"))).alias("base"), F.min(F.when(F.col("hit"), F.col("r2"))).alias("re"))
+    f = reranked(spark, sf_dir).groupBy("query_id").agg(F.min(F.when(F.col("hit"), F.col("first_rank"))).alias("base"), F.min(F.when(F.col("hit"), F.col("rank"))).alias("re"))
     share = lambda c: round_half_up(F.avg(F.when(F.col(c) <= 5, 1.0).otherwise(0.0)))
     s = f.agg(share("base").alias("base_recall"), share("re").alias("reranked_recall"))
     return s.withColumn("chosen", F.when(F.col("reranked_recall") >= F.col("base_recall"), "reranked").otherwise("base"))
@@ -178,10 +188,14 @@ def citations_by_predicted_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return x.groupBy("side").agg(F.count("*").alias("n"), round_half_up(F.avg("c")).alias("mean_citations"), round_half_up(F.avg("score")).alias("mean_score"))
 
 
-@query("SELECT source, min(report) AS first_report, count(DISTINCT report) AS reports, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages FROM documents GROUP BY source")
+@query(f"WITH d AS (SELECT *, len([w for w in regexp_split_to_array(text, '\\s+') if w <> '']) AS n FROM documents) SELECT source, min(report) AS first_report, count(DISTINCT report) AS reports, string_agg(DISTINCT lang, ',' ORDER BY lang) AS languages, count(*) AS documents, CAST(sum(n) AS BIGINT) AS words, {r3('sum(n) / CAST(count(n) AS DOUBLE)', 1)} AS mean_words, min(n) AS shortest, max(n) AS longest FROM d GROUP BY source")
 def corpus_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Reports and languages per source; the language list is bounded by the set of codes."""
-    return read(spark, sf_dir, "documents").groupBy("source").agg(F.min("report").alias("first_report"), F.count_distinct("report").alias("reports"), F.nullif(F.array_join(F.array_sort(F.collect_set("lang")), ","), F.lit("")).alias("languages"))
+    """Reports, languages and word counts per source; the language list is bounded by the set of codes."""
+    n = F.when(F.col("text").isNotNull(), t.word_count(F.col("text"))).alias("n")
+    return read(spark, sf_dir, "documents").select("source", "report", "lang", n).groupBy("source").agg(
+        F.min("report").alias("first_report"), F.count_distinct("report").alias("reports"), F.nullif(F.array_join(F.array_sort(F.collect_set("lang")), ","), F.lit("")).alias("languages"),
+        F.count("*").alias("documents"), F.sum("n").alias("words"), round_half_up(F.sum("n") / F.count("n").cast("double"), 1).alias("mean_words"), F.min("n").alias("shortest"), F.max("n").alias("longest"),
+    )
 
 
 @query("SELECT citation_id, claim_id, raw_text, count(*) AS deliveries FROM citation GROUP BY ALL HAVING count(*) > 1")

@@ -10,7 +10,7 @@ from __future__ import annotations
 import functools
 import hashlib
 import io
-import json
+import itertools
 import re
 import tarfile
 import zlib
@@ -18,7 +18,7 @@ from collections.abc import Iterator, Sequence
 from operator import and_
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -131,20 +131,51 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("case_id").agg(F.max_by("predicted", "pos").alias("predicted"))
 
 
+#: Lines of an archive's member handed on at once.
+LINES = 10_000
+
+
 def archive_lines(spark: SparkSession, path: str, member: str) -> DataFrame:
-    """(path, line_no, line) of a JSONL member of tar.gz archives, read without unpacking them to disk."""
+    """(path, line_no, line) of a JSONL member of tar.gz archives, read without unpacking them to disk; blank lines are left out.
+    The archive is one task's, its members stream through it in blocks of lines."""
 
     def read(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for b in batches:
             for p, c in zip(b["path"], b["content"], strict=True):
-                with tarfile.open(fileobj=io.BytesIO(bytes(c))) as tar:
-                    for name in (m for m in tar.getmembers() if m.name.endswith(member) and m.isfile()):
-                        rows = [(p, n, line.decode("utf-8").rstrip("\r\n")) for n, line in enumerate(tar.extractfile(name)) if line.strip()]
-                        yield pd.DataFrame(rows, columns=["path", "line_no", "line"])
+                with tarfile.open(fileobj=io.BytesIO(c), mode="r|*") as tar:
+                    for info in tar:
+                        if not (info.name.endswith(member) and info.isfile()):
+                            continue
+                        numbered = ((p, n, line.decode("utf-8").rstrip("\r\n")) for n, line in enumerate(tar.extractfile(info)) if line.strip())
+                        while rows := list(itertools.islice(numbered, LINES)):
+                            yield pd.DataFrame(rows, columns=["path", "line_no", "line"])
 
     return spark.read.format("binaryFile").load(path).select("path", "content").mapInPandas(read, "path string, line_no int, line string")
 
 
+def claim_documents(claims: DataFrame, corpus: DataFrame) -> DataFrame:
+    """(claim_id, claim, doc_id, label, evidence) from lines of claims and of documents (column ``line``): one row per evidence
+    group of a claim; a claim without evidence gives its first cited document with NOT_ENOUGH_INFO; evidence is title and
+    abstract, empty for an unknown document. Rows without claim or evidence text are left out."""
+    shape = "id bigint, claim string, evidence map<string, array<struct<label: string>>>, cited_doc_ids array<string>"
+    c = claims.select(F.from_json("line", shape).alias("c")).select("c.*")
+    groups = F.flatten(F.transform(F.map_entries("evidence"), lambda e: F.transform(e["value"], lambda g: F.struct(e["key"].alias("doc_id"), F.coalesce(g["label"], F.lit("")).alias("label")))))
+    cited = F.when(F.size("cited_doc_ids") > 0, F.array(F.struct(F.element_at("cited_doc_ids", 1).alias("doc_id"), F.lit("NOT_ENOUGH_INFO").alias("label"))))
+    rows = c.select(F.col("id").alias("claim_id"), "claim", F.explode(F.when(F.size("evidence") > 0, groups).otherwise(cited)).alias("g")).select("claim_id", "claim", "g.doc_id", "g.label")
+    d = corpus.select(F.from_json("line", "doc_id string, title string, abstract array<string>").alias("d")).select("d.doc_id", "d.title", "d.abstract")
+    text = F.trim(F.concat(F.coalesce("title", F.lit("")), F.lit(". "), F.coalesce(F.array_join("abstract", " "), F.lit(""))))
+    joined = rows.join(d.withColumn("evidence", text).select("doc_id", "evidence"), "doc_id", "left").withColumn("evidence", F.coalesce("evidence", F.lit(".")))
+    return joined.where("claim != '' and evidence != ''").select("claim_id", "claim", "doc_id", "label", "evidence")
+
+
+def output_text(payload: Column) -> Column:
+    """The text of a model response: output_text, else the first non-empty output_text content of a message; null without."""
+    p = F.from_json(payload, "output_text string, output array<struct<type: string, content: array<struct<type: string, text: string>>>>")
+    parts = F.flatten(F.transform(F.filter(p["output"], lambda i: i["type"] == "message"), lambda i: F.coalesce(i["content"], F.array().cast("array<struct<type:string,text:string>>"))))
+    first = F.try_element_at(F.filter(parts, lambda c: (c["type"] == "output_text") & (c["text"] != "")), F.lit(1))["text"]
+    return F.coalesce(F.nullif(p["output_text"], F.lit("")), first)
+
+
 def paired_texts(spark: SparkSession, path: str, first: str, second: str, least_words: int = 40) -> DataFrame:
     """(pos, first, second) from a JSON object of two equally long arrays; pairs with a side under ``least_words`` words
     are left out."""
@@ -155,11 +186,6 @@ def paired_texts(spark: SparkSession, path: str, first: str, second: str, least_
     return rows.where(long[0] & long[1])
 
 
-def json_rows(spark: SparkSession, path: str, schema: str) -> DataFrame:
-    """Objects of a JSON list with a given schema."""
-    return spark.read.schema(schema).json(path, multiLine=True)
-
-
 def verified(path: str, digest: str) -> bytes:
     """A file's bytes, checked against its SHA-256."""
     with open(path, "rb") as file:
@@ -169,22 +195,22 @@ def verified(path: str, digest: str) -> bytes:
     return content
 
 
+# The date fields of a record, the first usable one counts.
+DATES = ("published-print", "published-online", "issued", "created")
+
+
 def payload_candidates(df: DataFrame, key: str, source: str, payload: str) -> DataFrame:
     """(key, source, title, year, doi, authors, retracted) from lookup payloads of three services, one schema for all."""
-    crossref = T.StructType.fromDDL("message struct<items: array<struct<title: array<string>, DOI: string, author: array<struct<family: string>>, issued: struct<`date-parts`: array<array<int>>>, published: struct<`date-parts`: array<array<int>>>, `update-to`: array<struct<type: string>>, subtype: string>>>")
+    crossref = T.StructType.fromDDL("message struct<items: array<struct<title: array<string>, DOI: string, author: array<struct<family: string>>, `published-print`: struct<`date-parts`: array<array<string>>>, `published-online`: struct<`date-parts`: array<array<string>>>, issued: struct<`date-parts`: array<array<string>>>, created: struct<`date-parts`: array<array<string>>>, `update-to`: array<struct<type: string>>, relation: struct<`is-retracted-by`: array<struct<id: string>>>, subtype: string>>>")
     other = T.StructType.fromDDL("data array<struct<title: string, year: int, externalIds: struct<DOI: string>, authors: array<struct<name: string>>>>, results array<struct<display_name: string, publication_year: int, doi: string, is_retracted: boolean, authorships: array<struct<author: struct<display_name: string>>>>>")
     doi = lambda c: F.lower(F.regexp_replace(c, r"(?i)^https?://(?:dx\.)?doi\.org/", ""))
     base = df.select(key, source, F.from_json(payload, crossref).alias("c"), F.from_json(payload, other).alias("o"))
     a = base.select(key, source, F.explode("c.message.items").alias("i")).select(
-        key, source, F.try_element_at("i.title", F.lit(1)).alias("title"), F.coalesce(F.col("i.published")["date-parts"][0][0], F.col("i.issued")["date-parts"][0][0]).alias("year"), doi(F.col("i.DOI")).alias("doi"),
-        F.transform("i.author", lambda x: x["family"]).alias("authors"), ((F.coalesce(F.size(F.col("i")["update-to"]), F.lit(0)) > 0) | F.coalesce(F.lower("i.subtype").contains("retraction"), F.lit(False))).alias("retracted"),
+        key, source, F.try_element_at("i.title", F.lit(1)).alias("title"), F.coalesce(*[F.col("i")[k]["date-parts"][0][0].try_cast("int") for k in DATES]).alias("year"), doi(F.col("i.DOI")).alias("doi"),
+        F.transform("i.author", lambda x: x["family"]).alias("authors"), ((F.coalesce(F.size(F.col("i")["update-to"]), F.lit(0)) > 0) | (F.coalesce(F.size(F.col("i.relation")["is-retracted-by"]), F.lit(0)) > 0) | F.coalesce(F.lower("i.subtype").contains("retraction"), F.lit(False))).alias("retracted"),
     )
     b = base.select(key, source, F.explode("o.data").alias("i")).select(key, source, "i.title", F.col("i.year").alias("year"), doi(F.col("i.externalIds.DOI")).alias("doi"), F.transform("i.authors", lambda x: x["name"]).alias("authors"), F.lit(False).alias("retracted"))
     c = base.select(key, source, F.explode("o.results").alias("i")).select(
         key, source, F.col("i.display_name").alias("title"), F.col("i.publication_year").alias("year"), doi(F.col("i.doi")).alias("doi"), F.transform("i.authorships", lambda x: x["author"]["display_name"]).alias("authors"), F.coalesce("i.is_retracted", F.lit(False)).alias("retracted")
     )
     return a.unionByName(b).unionByName(c)
-
-
-def to_json(value: object) -> str:
-    return json.dumps(value, ensure_ascii=False, indent=2)

@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from docgrain.operators import tables
+
 # Keys that identify an account and never leave in a report.
 ACCOUNT_KEYS = ("account_id", "organization", "org_id", "project_id", "request_id", "user_id")
 
@@ -60,10 +62,13 @@ def markdown_table(df: DataFrame, order: str, limit: int = 1000) -> DataFrame:
 
 
 def document_review(claims: DataFrame, document: str) -> DataFrame:
-    """One Markdown line block per document: counts and the first ten sentences without a citation."""
-    shown = F.slice(F.array_sort(F.collect_list(F.when(F.col("missing_citation"), F.struct("claim_id", F.concat(F.lit("- "), F.left("sentence", F.lit(160))).alias("l"))))), 1, 10)
-    each = claims.groupBy(document).agg(F.count("*").alias("n"), F.count_if("missing_citation").alias("m"), shown.alias("s"))
-    return each.select(document, F.concat(F.lit("## "), F.col(document), F.lit("\n"), F.col("n"), F.lit(" sentences, "), F.col("m"), F.lit(" without a citation\n"), F.array_join(F.transform("s", lambda x: x["l"]), "\n")).alias("markdown"))
+    """One Markdown line block per document: counts and the first ten sentences without a citation, which alone are collected."""
+    each = claims.groupBy(document).agg(F.count("*").alias("n"), F.count_if("missing_citation").alias("m"))
+    first = tables.top_k(claims.where("missing_citation"), [document], [F.col("claim_id")], 10, "place").select(document, F.struct("place", F.concat(F.lit("- "), F.left("sentence", F.lit(160))).alias("l")).alias("s"))
+    shown = first.groupBy(document).agg(F.array_sort(F.collect_list("s")).alias("s"))
+    joined = each.join(shown.withColumnRenamed(document, "__document"), F.col(document).eqNullSafe(F.col("__document")), "left")
+    lines = F.coalesce(F.array_join(F.transform("s", lambda x: x["l"]), "\n"), F.lit(""))
+    return joined.select(document, F.concat(F.lit("## "), F.col(document), F.lit("\n"), F.col("n"), F.lit(" sentences, "), F.col("m"), F.lit(" without a citation\n"), lines).alias("markdown"))
 
 
 def append_ledger(done: DataFrame, path: str, key: str) -> None:

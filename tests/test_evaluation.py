@@ -99,3 +99,26 @@ def test_keep_first_and_last_and_pending(spark):
     assert sorted(tables.keep_first(df, ["k"], "p").collect()) == [("a", 1, "x"), ("b", 5, None)]
     assert sorted(r.v or "" for r in tables.keep_first(df, ["k"], "p", last=True).collect()) == ["", "y"]
     assert [r.k for r in tables.pending(df.select("k").distinct(), df.where("k = 'a'"), "k").collect()] == ["b"]
+
+
+def test_states_carried_in_blocks_equal_those_of_whole_groups(spark):
+    import random
+
+    rnd = random.Random(4)
+    rows = [(rnd.choice(["a", "a", "a", "b", None]), i, rnd.choice([None, None, "x", "y"])) for i in range(400)]
+    df = spark.createDataFrame(rows, "d string, i int, v string").withColumn("place", F.struct("i"))
+    for size in (1, 7, 1000):
+        got = {r.i: r.o for r in tables.carry_blocks(df, "d", "place", F.floor(F.col("i") / size), F.col("v"), "o").collect()}
+        last: dict = {}
+        want = {}
+        for d, i, v in rows:
+            last[d] = v or last.get(d)
+            want[i] = last[d]
+        assert got == want
+    assert tables.carry_blocks(df.limit(0), "d", "place", F.col("i"), F.col("v"), "o").count() == 0
+
+
+def test_leaderboard_counts_absent_labels_and_available_rows(spark):
+    rows = [(1, "x", "a", "a"), (2, "x", "b", "missing"), (1, "y", "a", "b"), (2, "y", "b", "b"), (3, "y", "c", "c"), (1, "z", "a", "missing")]
+    board = {r.tool: (r.accuracy, r.macro_f1, r.micro_f1) for r in ev.leaderboard(spark.createDataFrame(rows, "case_id int, tool string, expected string, predicted string")).collect()}
+    assert board == {"x": (1.0, 0.333, 1.0), "y": (0.667, 0.556, 0.667), "z": (0.0, 0.0, 0.0)}

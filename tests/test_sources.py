@@ -8,6 +8,7 @@ import zlib
 import pytest
 from pyspark.sql import functions as F
 
+from docgrain.functions import text as t
 from docgrain.operators import dense
 from docgrain.sources import readers, sinks
 from docgrain.streaming import resume
@@ -107,3 +108,46 @@ def test_dense_search_in_blocks_equals_brute_force(spark, monkeypatch):
         order = sorted((i for i in range(40) if i != q), key=lambda i: (-float(v[q] @ v[i]), i))[:4]
         assert [r.match_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] == order
     assert dense.top_matches(df, df.limit(0), "id", "e", 4).count() == 0
+
+
+def test_archives_stream_in_blocks(spark, tmp_path, monkeypatch):
+    data = b"".join(b'{"a": %d}\n' % k for k in range(25))
+    with tarfile.open(tmp_path / "y.tar.gz", "w:gz") as tar:
+        for name in ("d/other.txt", "d/claims.jsonl"):
+            info = tarfile.TarInfo(name)
+            info.size = len(data)
+            tar.addfile(info, io.BytesIO(data))
+    monkeypatch.setattr(readers, "LINES", 10)
+    got = readers.archive_lines(spark, str(tmp_path / "y.tar.gz"), "claims.jsonl").collect()
+    assert sorted((r.line_no, r.line) for r in got) == [(k, f'{{"a": {k}}}') for k in range(25)]
+
+
+def test_claims_meet_their_documents(spark):
+    claims = [
+        {"id": 1, "claim": "A", "evidence": {"7": [{"label": "SUPPORT"}, {"label": "CONTRADICT"}], "8": [{"label": "SUPPORT"}]}, "cited_doc_ids": [7]}, {"id": 2, "claim": "B", "evidence": {}, "cited_doc_ids": [8, 7]},
+        {"id": 3, "claim": "C", "evidence": {}, "cited_doc_ids": []}, {"id": 4, "claim": "", "evidence": {}, "cited_doc_ids": [7]}, {"id": 5, "claim": "E", "evidence": {}, "cited_doc_ids": [99]},
+    ]
+    corpus = [{"doc_id": 7, "title": "T", "abstract": ["x", "y"]}, {"doc_id": 8, "title": "U", "abstract": []}]
+    lines = lambda rows: spark.createDataFrame([(json.dumps(r),) for r in rows], "line string")
+    got = sorted(tuple(r) for r in readers.claim_documents(lines(claims), lines(corpus)).collect())
+    assert got == [(1, "A", "7", "CONTRADICT", "T. x y"), (1, "A", "7", "SUPPORT", "T. x y"), (1, "A", "8", "SUPPORT", "U."), (2, "B", "8", "NOT_ENOUGH_INFO", "U."), (5, "E", "99", "NOT_ENOUGH_INFO", ".")]
+
+
+def test_output_texts(spark):
+    payloads = ['{"output_text": "a"}', '{"output": [{"type": "x"}, {"type": "message", "content": [{"type": "output_text", "text": ""}, {"type": "output_text", "text": "b"}]}]}', "{}", "no json", None]
+    df = spark.createDataFrame([(i, p) for i, p in enumerate(payloads)], "i int, p string")
+    assert [r.o for r in df.withColumn("o", readers.output_text(F.col("p"))).orderBy("i").collect()] == ["a", "b", None, None, None]
+
+
+def test_strict_booleans(spark):
+    read = lambda x, **kw: spark.createDataFrame([(x,)], "x string").select(t.strict_boolean(F.col("x"), **kw).alias("b")).first().b
+    assert read(" Yes") is True and read("0") is False and read("n/a", optional=True) is None and read(None, optional=True) is None
+    for bad in ("maybe", "y", ""):
+        with pytest.raises(Exception, match="invalid boolean"):
+            read(bad)
+
+
+def test_a_review_shows_ten_sentences(spark):
+    rows = [(k, "d", f"s{k}", k % 2 == 0) for k in range(60)] + [(100, "e", "fine", False), (101, None, "lost", True)]
+    got = {r.document: r.markdown for r in sinks.document_review(spark.createDataFrame(rows, "claim_id int, document string, sentence string, missing_citation boolean"), "document").collect()}
+    assert got["d"] == "## d\n60 sentences, 30 without a citation\n" + "\n".join(f"- s{k}" for k in range(0, 20, 2)) and got["e"].endswith("0 without a citation\n")
