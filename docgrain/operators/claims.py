@@ -101,7 +101,9 @@ BLOCK = 4096
 def classify(df: DataFrame, document: str, position: str, sentence: str, cited: Column, block: Column | None = None) -> DataFrame:
     """Classified sentences of documents in order: section carried forward, citations inherited along a chain of
     following sentences; missing flag, context and severity. Both states are the last known value before a row, carried within
-    blocks of sentences and over the blocks, so no document is sorted in one task."""
+    blocks of sentences and over the blocks, so no document is sorted in one task. ``block`` rises with the position, which is a
+    number where it is not given."""
+    block = F.floor(F.col(position) / BLOCK) if block is None else block
     c = scored(df.withColumn("own", F.coalesce(cited, F.lit(False))), sentence, F.col("own")).withColumn("section", section_of(F.col(sentence)))
     c = tables.carry_blocks(c, document, position, block, F.col("section"), "section").withColumn("section", F.coalesce("section", F.lit("unknown")))
     c = c.withColumn("required", citation_required(F.col("claim_type"), F.col("section"), F.coalesce(F.col(sentence), F.lit(""))))
