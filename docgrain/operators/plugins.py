@@ -35,6 +35,27 @@ def verifier(name: str) -> Transformation:
         raise ValueError(f"unknown verifier {name!r}; known are {', '.join(sorted(_VERIFIERS))}") from None
 
 
+#: Detectors of machine-written text: a name to a function from (key, text) rows to (key, score) rows, score None where the text is too short.
+_DETECTORS: dict[str, Callable[[DataFrame, str, str], DataFrame]] = {}
+
+
+def register_detector(name: str) -> Callable:
+    def add(run: Callable[[DataFrame, str, str], DataFrame]) -> Callable[[DataFrame, str, str], DataFrame]:
+        _DETECTORS[name.lower()] = run
+        return run
+
+    return add
+
+
+def detected(name: str, df: DataFrame, key: str, text: str, threshold: float) -> DataFrame:
+    """(key, score, label, detector) by a registered detector: likely_ai from ``threshold`` on, insufficient_text without a score."""
+    if name.lower() not in _DETECTORS:
+        raise ValueError(f"unknown detector {name!r}; known are {', '.join(sorted(_DETECTORS))}")
+    score = F.col("score")
+    label = F.when(score.isNull(), "insufficient_text").when(score >= threshold, "likely_ai").otherwise("likely_human")
+    return _DETECTORS[name.lower()](df, key, text).select(key, score, label.alias("label"), F.lit(name.lower()).alias("detector"))
+
+
 def prompt(claim: Column, evidence: Column, most: int = 3500) -> Column:
     """A request for a verdict from at most five evidence texts, the context cut to ``most`` characters."""
     numbered = F.transform(F.slice(evidence, 1, 5), lambda e, k: F.concat(F.lit("["), (k + 1).cast("string"), F.lit("] "), e))

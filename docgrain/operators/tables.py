@@ -56,6 +56,13 @@ def inherit(df: DataFrame, by: Sequence[str], position: str, own: Column, may_in
     return numbered.withColumn("inherited", F.first(value).over(inside)).drop("__island")
 
 
+def matched(left: DataFrame, right: DataFrame, on: str) -> DataFrame:
+    """The inner join that leaves no row of ``left`` without a match: one without raises when it is read."""
+    there = right.withColumn("__there", F.lit(True))
+    lost = F.raise_error(F.concat(F.lit(f"no match for {on} "), F.coalesce(F.col(on).cast("string"), F.lit("null")))).cast("boolean")
+    return left.join(there, on, "left").where(F.coalesce("__there", lost)).drop("__there")
+
+
 def pending(cases: DataFrame, done: DataFrame, key: str) -> DataFrame:
     """Cases not in the ledger: resume after an interruption."""
     return cases.join(done.select(key).distinct(), key, "left_anti")

@@ -175,6 +175,13 @@ def claims_with_citations(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "claim").select("claim_id").join(t_, "claim_id", "left").groupBy("claim_id").agg(F.count("citation_id").alias("citations"), F.coalesce(F.max("cited_year"), F.lit(0)).alias("latest"))
 
 
+@query("SELECT DISTINCT t.citation_id, t.claim_id, c.section, c.lang FROM citation t JOIN claim c USING (claim_id)")
+def citations_with_claims(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every citation with the claim it stands in; a citation of an unknown claim is an error."""
+    cited_ = read(spark, sf_dir, "citation").select("citation_id", "claim_id").distinct()
+    return tables.matched(cited_, read(spark, sf_dir, "claim").select("claim_id", "section", "lang"), "claim_id").select("citation_id", "claim_id", "section", "lang")
+
+
 # ---- evidence retrieval and verdicts ----
 
 _PASS = f"ps AS (SELECT case_id, unnest(range(len(v))) AS pos, unnest(v) AS passage FROM (SELECT case_id, {sql_parts(r'''regexp_replace(regexp_replace(evidence, '([.!?])\s+([A-Z0-9\[])', '\1' || chr(1) || '\2', 'g'), '(;)\s+([A-Z0-9])', '\1' || chr(1) || '\2', 'g')''')} AS v FROM claimguard_benchmark))"
@@ -260,6 +267,14 @@ def lexical_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical.top_chunks(asked, chunks, 5).withColumnRenamed("q", "case_id")
 
 
+@query(f"WITH {_INV}, rk AS (SELECT q, doc_id, chunk_no, row_number() OVER (PARTITION BY q ORDER BY score DESC, doc_id, chunk_no) AS rank FROM so WHERE score >= 0.08e0 QUALIFY rank <= 5) SELECT q AS case_id, doc_id, min(rank) AS first_rank, count(*) AS chunks, any_value(source) AS source, any_value(report) AS report FROM rk JOIN documents d USING (doc_id) GROUP BY 1, 2")
+def retrieved_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The documents of the five best chunks of each claim, with their best rank, source and report."""
+    found = lexical_topk(spark, sf_dir).groupBy("case_id", "doc_id").agg(F.min("rank").alias("first_rank"), F.count("*").alias("chunks"))
+    d = read(spark, sf_dir, "documents").select("doc_id", "source", "report")
+    return tables.matched(found, d, "doc_id").select("case_id", "doc_id", "first_rank", "chunks", "source", "report")
+
+
 def neighbours(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     e = read(spark, sf_dir, "embeddings")
     return dense.top_matches(e, e.where("vec_id % 50 = 0"), "vec_id", "embedding", k)
@@ -274,6 +289,14 @@ def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return neighbours(spark, sf_dir, 10).select("query_id", "match_id", round_half_up(F.col("score") + 1.0, 4).alias("score"), "rank")
 
 
+@query(f"WITH {_DENSE}, po AS (SELECT * FROM rd WHERE rank <= 50 AND vl % 2 = 0) SELECT query_id, match_id, row_number() OVER (PARTITION BY query_id ORDER BY rank) AS rank FROM po QUALIFY row_number() OVER (PARTITION BY query_id ORDER BY rank) <= 10")
+def filtered_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Search first, filter then: of the best 50 those that are allowed (here an even label), at most ten; there may be fewer."""
+    allowed = read(spark, sf_dir, "embeddings").where("label % 2 = 0").select(F.col("vec_id").alias("match_id"))
+    pool = neighbours(spark, sf_dir, 50).withColumnRenamed("rank", "place").join(allowed, "match_id", "left_semi")
+    return tables.top_k(pool, ["query_id"], [F.col("place")], 10).select("query_id", "match_id", "rank")
+
+
 def labelled(spark: SparkSession, sf_dir: str, k: int = 20) -> DataFrame:
     label = read(spark, sf_dir, "embeddings").select("vec_id", "label")
     n = neighbours(spark, sf_dir, k)

@@ -238,6 +238,14 @@ def experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents").select(F.coalesce("source", F.lit("none")).alias("method"), (F.length("text") % 3).alias("overlap"), (256 * (1 + d % 4)).alias("chunk_size"), (d % 3).alias("seed"), (d * 37 % 101 / F.lit(101.0)).alias("accuracy"), "doc_id")
 
 
+@query(f"WITH {_EXP} SELECT doc_id, method, chunk_size, accuracy FROM exps WHERE method LIKE 'student%' OR (chunk_size IN (256, 1024) AND contains(method, 'review')) OR (overlap = 1 AND regexp_matches(method, '^(wiki|qa)'))")
+def selected_experiments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows chosen by a prefix, by a set with a part, or by equality with a pattern."""
+    m = F.col("method")
+    chosen = m.startswith("student") | (F.col("chunk_size").isin(256, 1024) & m.contains("review")) | ((F.col("overlap") == 1) & m.rlike("^(wiki|qa)"))
+    return experiments(spark, sf_dir).where(chosen).select("doc_id", "method", "chunk_size", "accuracy")
+
+
 @query(f"WITH {_EXP} SELECT method, {r3('avg(accuracy) FILTER (overlap = 0)')} AS o0, {r3('avg(accuracy) FILTER (overlap = 1)')} AS o1, {r3('avg(accuracy) FILTER (overlap = 2)')} AS o2 FROM exps GROUP BY method")
 def pivot_mean(spark: SparkSession, sf_dir: str) -> DataFrame:
     p = experiments(spark, sf_dir).groupBy("method").pivot("overlap", [0, 1, 2]).agg(F.avg("accuracy"))

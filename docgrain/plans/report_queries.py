@@ -116,6 +116,17 @@ def claim_report(spark: SparkSession, sf_dir: str) -> DataFrame:
     return m.agg(F.count("*").alias("n"), ratio(F.count_if(ev.hit()), F.count("*")).alias("type_accuracy"), ratio(both, s).alias("citation_precision"), ratio(both, y).alias("citation_recall"))
 
 
+@query(f"WITH {_CARRIED}, m AS (SELECT c.claim_type AS e, f.kind AS p FROM fin f JOIN claim c USING (claim_id)), l AS (SELECT e AS label FROM m WHERE e IS NOT NULL UNION SELECT p FROM m), k AS (SELECT label, count(*) FILTER (e = label AND p = label) AS tp, count(*) FILTER (e = label) AS su, count(*) FILTER (p = label) AS pc FROM l, m GROUP BY 1),"
+       f" q AS (SELECT *, {_div('tp', 'pc')} AS pr, {_div('tp', 'su')} AS rc FROM k WHERE su > 0) SELECT {r3('avg(pr)')} AS macro_precision, {r3('avg(rc)')} AS macro_recall, {r3('avg(CASE WHEN pc + su > 0 THEN 2e0 * tp / (pc + su) ELSE 0e0 END)')} AS macro_f1 FROM q")
+def claim_type_macro(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Means over the claim types that occur in the stored values; F1 from counts, not from rounded parts."""
+    gold = read(spark, sf_dir, "claim").select("claim_id", F.col("claim_type").alias("expected"))
+    m = classified(spark, sf_dir).select("claim_id", F.col("claim_type").alias("predicted")).join(gold, "claim_id")
+    each = ev.per_label(m).where("support > 0")
+    f1 = F.when(F.col("predicted_count") + F.col("support") > 0, 2.0 * F.col("tp") / (F.col("predicted_count") + F.col("support"))).otherwise(0.0)
+    return each.agg(round_half_up(F.avg("precision")).alias("macro_precision"), round_half_up(F.avg("recall")).alias("macro_recall"), round_half_up(F.avg(f1)).alias("macro_f1"))
+
+
 @query(f"WITH {TOOLS} SELECT b.expected AS case_type, b.tool, count(*) AS n, {_div('count(*) FILTER (expected = predicted)', 'count(*)')} AS accuracy, count(*) FILTER (predicted = 'missing') AS degraded FROM tools b GROUP BY 1, 2")
 def accuracy_by_case_type(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Accuracy per case type and tool with the number of degraded cases."""

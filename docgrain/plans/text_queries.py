@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from docgrain.functions import text as t
 from docgrain.functions.numbers import r3, ratio, round_half_up
+from docgrain.operators.plugins import detected, register_detector
 from docgrain.session import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -318,3 +319,15 @@ def style_by_source(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(f"SELECT source, {r3('CAST(count(*) FILTER (text LIKE $$%al.%$$) AS DOUBLE) / count(*)')} AS with_authors FROM documents GROUP BY source")
 def citation_share(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read(spark, sf_dir, "documents", wide=True).groupBy("source").agg(ratio(F.count_if(F.col("text").contains("al.")), F.count("*")).alias("with_authors"))
+
+
+@register_detector("style")
+def _style_detector(df: DataFrame, key: str, text: str) -> DataFrame:
+    s = style_scores_of(df, key, text)
+    return s.select(key, F.when(F.col("label") != "insufficient_text", F.col("score")).alias("score"))
+
+
+@query(f"WITH {_STYLE} SELECT doc_id, CASE WHEN label <> 'insufficient_text' THEN score END AS score, CASE WHEN label = 'insufficient_text' THEN label WHEN score >= 0.6e0 THEN 'likely_ai' ELSE 'likely_human' END AS label, 'style' AS detector FROM styled")
+def detector_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels of the registered style detector at a threshold of 0.6."""
+    return detected("style", read(spark, sf_dir, "documents", wide=True), "doc_id", "text", 0.6)

@@ -131,6 +131,27 @@ def predictions(spark: SparkSession, path: str) -> DataFrame:
     return rows.groupBy("case_id").agg(F.max_by("predicted", "pos").alias("predicted"))
 
 
+def results(spark: SparkSession, path: str, words: Sequence[str] = ()) -> DataFrame:
+    """A CSV of results with guessed types; absent values of the columns in ``words`` become "None"."""
+    return spark.read.csv(path, header=True, inferSchema=True).fillna("None", subset=list(words) or None)
+
+
+def listed(text: Column) -> Column:
+    """The items of a list with ";", trimmed, empty ones left out; null gives none."""
+    return F.filter(F.transform(F.split(F.coalesce(text, F.lit("")), ";"), lambda i: F.trim(i)), lambda i: i != "")
+
+
+def question_answers(papers: DataFrame, least_words: int = 500) -> DataFrame:
+    """(title, document, question, answer) of nested papers (title, section_names, paragraphs per section, qas array of question and
+    answers): sections joined to one document, short documents left out, the first non-empty answer of a question."""
+    parts = F.flatten(F.transform(F.arrays_zip("section_names", "paragraphs"), lambda s: F.concat(F.when(F.coalesce(s["section_names"], F.lit("")) != "", F.array(F.concat(F.lit("\n## "), s["section_names"], F.lit("\n")))).otherwise(F.array().cast("array<string>")), F.coalesce(s["paragraphs"], F.array().cast("array<string>")))))
+    d = papers.select("title", F.array_join(parts, "\n").alias("document"), "qas")
+    long = d.where(F.size(F.filter(F.split("document", r"\s+"), lambda w: w != "")) >= least_words)
+    q = long.select("title", "document", F.explode("qas").alias("q"))
+    answer = F.try_element_at(F.filter("q.answers", lambda a: F.trim(F.coalesce(a, F.lit(""))) != ""), F.lit(1))
+    return q.select("title", "document", "q.question", answer.alias("answer")).where("answer is not null")
+
+
 #: Lines of an archive's member handed on at once.
 LINES = 10_000
 

@@ -9,7 +9,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from docgrain.functions import text as t
-from docgrain.operators import dense
+from docgrain.operators import dense, plugins, tables
 from docgrain.sources import readers, sinks
 from docgrain.streaming import resume
 
@@ -151,3 +151,21 @@ def test_a_review_shows_ten_sentences(spark):
     rows = [(k, "d", f"s{k}", k % 2 == 0) for k in range(60)] + [(100, "e", "fine", False), (101, None, "lost", True)]
     got = {r.document: r.markdown for r in sinks.document_review(spark.createDataFrame(rows, "claim_id int, document string, sentence string, missing_citation boolean"), "document").collect()}
     assert got["d"] == "## d\n60 sentences, 30 without a citation\n" + "\n".join(f"- s{k}" for k in range(0, 20, 2)) and got["e"].endswith("0 without a citation\n")
+
+
+def test_small_readers(spark, tmp_path):
+    (tmp_path / "r.csv").write_text("a,b\n1,\n2,x\n")
+    assert [r.b for r in readers.results(spark, str(tmp_path / "r.csv"), ["b"]).orderBy("a").collect()] == ["None", "x"]
+    assert [r.v for r in spark.createDataFrame([(1, "A ; ;B;"), (2, None)], "i int, x string").select("i", readers.listed(F.col("x")).alias("v")).orderBy("i").collect()] == [["A", "B"], []]
+    shape = "title string, section_names array<string>, paragraphs array<array<string>>, qas array<struct<question: string, answers: array<string>>>"
+    rows = [("t", ["S", None], [["a b", "c"], ["d"]], [("q", [" ", "x", "y"]), ("r", [None])]), ("short", ["S"], [["a"]], [("q", ["x"])])]
+    assert [tuple(r) for r in readers.question_answers(spark.createDataFrame(rows, shape), 5).collect()] == [("t", "\n## S\n\na b\nc\nd", "q", "x")]
+
+
+def test_a_join_that_loses_rows_raises(spark):
+    a, b = spark.createDataFrame([(1,), (2,)], "k int"), spark.createDataFrame([(1, "x")], "k int, v string")
+    assert tables.matched(a.where("k = 1"), b, "k").first().v == "x"
+    with pytest.raises(Exception, match="no match for k 2"):
+        tables.matched(a, b, "k").collect()
+    with pytest.raises(ValueError, match="known are"):
+        plugins.detected("none", a, "k", "k", 0.5)
