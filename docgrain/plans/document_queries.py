@@ -198,19 +198,21 @@ _ALLOWED = (
 )
 
 
-def evidence(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """(claim_id, claim, pos, passage, score, rank): the best passages of every cited claim among those it may use."""
+def evidence(spark: SparkSession, sf_dir: str, whole: bool = False, k: int = retrieval.TOP) -> DataFrame:
+    """(claim_id, claim, refs, pos, reference_index, passage, score, rank): the ``k`` best passages of every cited claim among those
+    it may use; ``whole``: of the claims with resolved references, among all of the report."""
     c = cited_claims(spark, sf_dir).select("claim_id", "document", "refs", t.strip_citations(F.col("sentence")).alias("claim")).withColumn("q", t.tokens(F.col("claim")))
+    c = c.where("size(refs) > 0") if whole else c
     p = materialize(passages(spark, sf_dir).withColumn("k", t.tokens(F.col("passage"))), "passages")
     # a scope is a report with one reference, with none, or all of it
     scope = lambda refs: F.when(F.size(refs) == 0, F.array(F.lit("all"))).otherwise(F.concat(F.array(F.lit("none")), F.transform(refs, lambda r: F.concat(F.lit("ref "), r))))
-    asked = c.select("claim_id", "document", F.explode(scope(F.col("refs"))).alias("scope"), F.array_distinct("q").alias("w")).withColumn("w", F.explode("w"))
+    asked = c.select("claim_id", "document", F.explode(F.array(F.lit("all")) if whole else scope(F.col("refs"))).alias("scope"), F.array_distinct("q").alias("w")).withColumn("w", F.explode("w"))
     own = F.coalesce(F.concat(F.lit("ref "), "reference_index"), F.lit("none"))
     given = p.select("document", "pos", F.explode(F.array(F.lit("all"), own)).alias("scope"), F.array_distinct("k").alias("w")).withColumn("w", F.explode("w"))
     pairs = asked.join(given, ["document", "scope", "w"]).select("claim_id", "document", "pos").distinct()
-    scored = pairs.join(c.select("claim_id", "claim", "q"), "claim_id").join(p.select("document", "pos", "passage", "k"), ["document", "pos"])
-    scored = scored.select("claim_id", "claim", "pos", "passage", retrieval.lexical_score(F.col("q"), F.col("k")).alias("score")).where(F.col("score") >= retrieval.MIN_SCORE)
-    return tables.top_k(scored, ["claim_id"], [F.desc("score"), F.col("pos")], retrieval.TOP)
+    scored = pairs.join(c.select("claim_id", "claim", "refs", "q"), "claim_id").join(p.select("document", "pos", "reference_index", "passage", "k"), ["document", "pos"])
+    scored = scored.select("claim_id", "claim", "refs", "pos", "reference_index", "passage", retrieval.lexical_score(F.col("q"), F.col("k")).alias("score")).where(F.col("score") >= retrieval.MIN_SCORE)
+    return tables.top_k(scored, ["claim_id"], [F.desc("score"), F.col("pos")], k)
 
 
 @query(f"WITH RECURSIVE {_ALLOWED} SELECT case_id AS claim_id, score, rank, {_FLAT} FROM rk WHERE rank <= 5 AND score >= 0.08e0")
@@ -236,6 +238,29 @@ def claim_verification(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _SEVERE = _CARRIED.removeprefix(f"{_SCORED}, ") + f", se AS (SELECT *, CASE WHEN {has('lower(raw)', claims.ABSOLUTE, claims.EVIDENCE)} THEN 'high' ELSE 'medium' END AS severity FROM fin),"
+_WHOLE = (
+    f"{_PASSAGES}, {_CITES}, cq AS (SELECT claim_id AS case_id, document, {_STRIPPED} AS claim, CAST(NULL AS VARCHAR) AS expected_label FROM cc WHERE claim_id IN (SELECT claim_id FROM cx)), ap AS (SELECT q.case_id, p.pos, p.passage FROM cq q JOIN ps p ON p.document = q.document),"
+    f" {_SCORE.replace('FROM claimguard_benchmark b JOIN ps p USING (case_id)', 'FROM cq b JOIN ap p USING (case_id)')}, tw AS (SELECT r.case_id, r.claim, r.rank, r.passage, (r.case_id, p.reference_index) IN (SELECT (claim_id, idx) FROM cx) AS gold FROM rk r JOIN ps p ON p.pos = r.pos WHERE r.rank <= 20 AND r.score >= 0.08e0),"
+    " fa AS (SELECT q.case_id, min(w.rank) FILTER (w.gold) AS best, list_distinct(regexp_extract_all(lower(any_value(q.claim)), '[a-z]{4,}')) AS asked, list_distinct(regexp_extract_all(lower(coalesce(string_agg(w.passage, ' ') FILTER (w.rank <= 5), '')), '[a-z]{4,}')) AS met FROM cq q LEFT JOIN tw w USING (case_id) GROUP BY 1)"
+)
+
+
+@query(f"WITH RECURSIVE {_WHOLE} SELECT case_id AS claim_id, best AS first_rank, CASE WHEN best <= 5 THEN 'found' WHEN best <= 20 THEN 'ranked too low' WHEN len(list_intersect(asked, met)) >= greatest(2, len(asked) // 3) THEN 'lexical trap' ELSE 'representation miss' END AS outcome FROM fa")
+def evidence_failures(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whether a search in the whole report finds a passage of a cited reference among the best five or twenty; if not, whether the
+    best five share the claim's words (at least two, and a third of its words of four letters or more)."""
+    found = evidence(spark, sf_dir, True, 20)
+    gold = F.array_contains("refs", F.col("reference_index"))
+    texts = F.collect_list(F.when(F.col("rank") <= 5, F.col("passage")))  # at most five
+    each = found.groupBy("claim_id").agg(F.min(F.when(gold, F.col("rank"))).alias("best"), F.array_join(texts, " ").alias("met"))
+    words = lambda c: F.array_distinct(F.regexp_extract_all(F.lower(c), F.lit("[a-z]{4,}"), F.lit(0)))
+    c = cited_claims(spark, sf_dir).where("size(refs) > 0").select("claim_id", words(t.strip_citations(F.col("sentence"))).alias("asked")).join(each, "claim_id", "left")
+    shared = F.size(F.array_intersect("asked", words(F.coalesce("met", F.lit("")))))
+    trap = shared >= F.greatest(F.lit(2), F.floor(F.size("asked") / 3))
+    outcome = F.when(F.col("best") <= 5, "found").when(F.col("best") <= 20, "ranked too low").when(trap, "lexical trap").otherwise("representation miss")
+    return c.select("claim_id", F.col("best").alias("first_rank"), outcome.alias("outcome"))
+
+
 _LEVEL = "CASE WHEN conflicts > 0 OR high > 0 THEN 'elevated' WHEN missing > 0 OR open_checks > 0 THEN 'medium' ELSE 'low' END AS level"
 
 
