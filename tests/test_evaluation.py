@@ -122,3 +122,14 @@ def test_leaderboard_counts_absent_labels_and_available_rows(spark):
     rows = [(1, "x", "a", "a"), (2, "x", "b", "missing"), (1, "y", "a", "b"), (2, "y", "b", "b"), (3, "y", "c", "c"), (1, "z", "a", "missing")]
     board = {r.tool: (r.accuracy, r.macro_f1, r.micro_f1) for r in ev.leaderboard(spark.createDataFrame(rows, "case_id int, tool string, expected string, predicted string")).collect()}
     assert board == {"x": (1.0, 0.333, 1.0), "y": (0.667, 0.556, 0.667), "z": (0.0, 0.0, 0.0)}
+
+
+def test_written_tables_are_read_back_and_deleted(spark):
+    from pathlib import Path
+
+    from docgrain.session import discard, materialize
+
+    kept, gone = materialize(spark.range(5), "kept"), materialize(spark.range(3), "gone")
+    discard(gone)
+    assert kept.count() == 5 and not Path(gone._written_to).exists()
+    discard(kept)

@@ -1,4 +1,4 @@
-"""Queries do the whole job where their SQL, or the rows of the small tables, ask for less."""
+"""Queries do the whole job where the rows of the small tables ask for less."""
 
 from __future__ import annotations
 
