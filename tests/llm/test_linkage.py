@@ -122,3 +122,46 @@ def test_a_cut_end_may_be_of_any_length(spark):
     assert set(linked(spark, [(1, title, *refs[0][2:])], [(100, title.split(":")[0], *recs[0][2:])])) == {(1, 100)}
     words = k.title_parts(title)[2]
     assert k.title_like(words[:4], words) == k.title_like(words, words[:4]) >= 0.6
+
+
+def test_the_disk_holds_one_turn(spark, tmp_path, monkeypatch):
+    """Shuffle files go with each write, tables once nothing reads them; each key belongs to one turn."""
+    from pathlib import Path
+
+    from docgrain import session
+
+    shuffled = Path(spark.sparkContext._jvm.org.apache.spark.SparkEnv.get().blockManager().diskBlockManager().localDirs()[0].getPath())
+    files = lambda: {p for p in shuffled.rglob("shuffle_*")}
+    before, left = files(), []
+
+    def watched(df, name):
+        written = session.materialize(df, name)
+        if name != "linkage-round":  # between rounds is the one row that says how far they moved
+            left.append(files() - before)
+        return written
+
+    monkeypatch.setattr(k, "materialize", watched)
+    monkeypatch.setattr(session, "shared_dir", lambda _: str(tmp_path))
+    found = linked_frame(spark, 40)
+    assert left and not any(left)
+    assert {p.name.rsplit("-", 1)[0] for p in tmp_path.iterdir()} <= {"linkage-refs", "linkage-records", "linkage-scored", "linkage-round"}
+    assert {(r.ref_id, r.record_id) for r in found.collect()} == {(i, 1000 + i) for i in range(40)}
+    keys = [k._keys(k.title_parts(T)[2], ["long", "short"], [2011], True, turn) for turn in range(k.TURNS)]
+    monkeypatch.setattr(k, "TURNS", 1)
+    assert sorted(itertools.chain(*keys)) == k._keys(k.title_parts(T)[2], ["long", "short"], [2011], True, 0)
+
+
+def linked_frame(spark, n):
+    titles = [f"Measuring {w}{v}ation of {v}{w}ive Archives under {w}al Drift" for w, v in itertools.product(("bor", "kel", "tam", "vun", "pri"), ("dax", "fim", "gos", "hul", "jek", "lom", "nar", "ruk"))][:n]
+    refs = [(i, t, 2011, ["Ada Long"], None, None, "x") for i, t in enumerate(titles)]
+    recs = [(1000 + i, t, 2011 + i % 2, "Long, Ada", None, 0.9, "x") for i, t in enumerate(titles)]
+    return k.link(spark.createDataFrame(refs, REF), spark.createDataFrame(recs, REC))
+
+
+def test_years_side_by_side_meet_where_one_side_names_nobody():
+    words = k.title_parts(T)[2]
+    meet = lambda a, b: any(set(k._keys(words, *a, True, t)) & set(k._keys(words[4:], *b, False, t)) for t in range(k.TURNS))
+    for named, other in ((["long"], []), ([], ["long"]), ([], [])):
+        assert [meet((named, [2011]), (other, [y])) for y in (2009, 2010, 2011, 2012, 2013)] == [False, True, True, True, False]
+        assert meet((named, []), (other, [1999])) and meet((named, [2011]), (other, [])) and meet((named, []), (other, []))
+        assert meet((named, [1990, 2011]), (other, [1991]))
