@@ -93,3 +93,39 @@ def test_distances_against_brute_force():
     samples = ["".join(p) for size in range(5) for p in itertools.product("ab", repeat=size)]
     assert all(abs(n.lcs_ratio(a, b) - slow(a, b)) < 1e-12 for a in samples for b in samples)
     assert n.one_slip("abcd", "abdc") and n.one_slip("abc", "abxc") and n.one_slip("abc", "ac") and n.one_slip("abc", "axc") and not n.one_slip("abcd", "badc")
+
+
+def test_common_suffixes_lose_no_pair_that_passes(spark, monkeypatch):
+    """With a bound of three nodes a key, cores that differ in the first letter, given names that differ in it, initials of
+    common surnames and bare surnames meet as they do without a bound."""
+    spellings = [f"{g} {c}" for c in ("Brovundsel", "Kerovundsel", "Mirovundsel", "Vundsel") for g in ("Adelina", "Bartolo", "Carlotta", "Dinara", "Emilio")]
+    more = ["Adelina Drovundsel", "Bartolo Cirovundsel", "Edelina Brovundsel", "Y. Vundsel", "Vundsel Y", "C. Vundsel", "Adelina Lonrik", "Lonrik", "Gater Centre for Research Integrity", "Gater CRI", "Gater Centre for Research"]
+    want = groups(spark, spellings + more)
+    assert frozenset({"Y. Vundsel", "Vundsel Y"}) in want and frozenset({"Adelina Drovundsel", "Adelina Brovundsel", "Edelina Brovundsel"}) in want
+    monkeypatch.setattr(n, "COMMON", 3)
+    assert groups(spark, spellings + more) == want
+    monkeypatch.setattr(n, "COMMON", 0)
+    assert groups(spark, spellings + more) == want
+
+
+def test_finer_keys_against_every_pair():
+    words = ["".join(w) for size in range(1, 7) for w in itertools.product("abq", repeat=size)][::3]
+    for ratio in (0.8, 0.95):
+        ones = {w: set(n._alike(w, ratio, True)) for w in words}
+        others = {w: set(n._alike(w, ratio, False)) for w in words}
+        assert all(ones[a] & others[b] for a in words for b in words if abs(len(a) - len(b)) < 3 and n.lcs_ratio(a, b) >= ratio)
+
+
+def test_surnames_of_many_given_names_teach_nicknames_too(spark, monkeypatch):
+    """Every surname is over the bound; what is under them as often as their sizes explain is not learned."""
+    monkeypatch.setattr(n, "MOST_GIVEN", 1)
+    letters = "bdfgklmnprstvwz"
+    surnames = [f"{a}o{b}utsunor" for a in letters for b in letters[::2]]
+    given = [f"{a}i{b}anot" for a in letters for b in letters]
+    rows = [f"{given[(7 * k + j * j) % len(given)]} {s}" for k, s in enumerate(surnames) for j in range(4)]
+    both = [f"{g} {s}" for s in surnames[::6] for g in ("Wilhelmina", "Mina")]
+    crowd = [f"{g} {s}" for s in ("Ulbrakat", "Ovrestik", "Epsolum") for g in given]
+    df = spark.createDataFrame([(x,) for x in rows + both + crowd], "name string")
+    parsed = n._parsed(df.distinct()).select("name", "kind", "core", "other", "middle")
+    learned = {r.other: r.roots for r in n._roots(parsed, "", lambda t, _: t).collect()}
+    assert learned == {"mina": ["wilhelmina"]} or learned == {"wilhelmina": ["mina"]}
