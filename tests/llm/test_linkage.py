@@ -165,3 +165,19 @@ def test_years_side_by_side_meet_where_one_side_names_nobody():
         assert [meet((named, [2011]), (other, [y])) for y in (2009, 2010, 2011, 2012, 2013)] == [False, True, True, True, False]
         assert meet((named, []), (other, [1999])) and meet((named, [2011]), (other, [])) and meet((named, []), (other, []))
         assert meet((named, [1990, 2011]), (other, [1991]))
+
+
+def test_no_table_is_broadcast_by_an_inferred_size(spark, monkeypatch):
+    plans = []
+
+    def noted(df, name, write=k.materialize):
+        plans.append(df._jdf.queryExecution().executedPlan().toString())
+        return write(df, name)
+
+    monkeypatch.setattr(k, "materialize", noted)
+    refs = spark.createDataFrame([(1, T, 2011, ["Ada Long"], None, None, "")], REF)
+    recs = spark.createDataFrame([(i, T, 2011, "Long, Ada", None, 0.9, "") for i in (100, 101)], REC)
+    found = k.link(refs, recs)
+    plans.append(found._jdf.queryExecution().executedPlan().toString())
+    assert len(plans) > 10 and not any("BroadcastHashJoin" in p for p in plans)  # the least table there is stays below any threshold
+    assert len(found.collect()) == 2 and spark.conf.get("spark.sql.autoBroadcastJoinThreshold") != "-1"
