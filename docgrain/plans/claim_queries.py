@@ -139,12 +139,15 @@ _AUTHOR = (
 
 
 def words_naming(words: DataFrame, asked: DataFrame) -> DataFrame:
-    """(document, word, hint): the distinct ``words`` (document, word) of which a hint of ``asked`` (document, hint) is a part. They meet
-    by the hint's first three letters, wherever in the word these stand."""
+    """(document, word, hint): the distinct ``words`` (document, word) of which a hint of ``asked`` (document, hint) is a part. Each word and
+    each hint is cut once, not once a report: they meet by the hint's first three letters, wherever in the word these stand."""
+    asked = asked.select("document", "hint").distinct()
+    own = words.join(asked, "document", "left_semi").select("document", "word").distinct()
     starts = "array_distinct(flatten(transform(sequence(1, length(word)), i -> array(substr(word, i, 1), substr(word, i, 2), substr(word, i, 3)))))"
-    parts = words.select("document", "word").distinct().withColumn("start", F.explode(F.expr(starts)))
-    hints = asked.select("document", "hint", F.left("hint", F.lit(3)).alias("start")).distinct()
-    return parts.join(hints, ["document", "start"]).where(F.contains("word", "hint")).select("document", "word", "hint")
+    parts = own.select("word").distinct().withColumn("start", F.explode(F.expr(starts)))
+    hints = asked.select("hint", F.left("hint", F.lit(3)).alias("start")).distinct()
+    naming = parts.join(hints, "start").where(F.contains("word", "hint")).select("word", "hint")
+    return own.join(naming, "word").join(asked, ["document", "hint"]).select("document", "word", "hint")
 
 
 @query(f"WITH {_AUTHOR} SELECT citation_id, min(ref_id) AS ref_id FROM ci JOIN w ON w.document = ci.document AND contains(w.named, ci.hint) AND (ci.cited_year IS NULL OR w.parsed_year IS NULL OR ci.cited_year = w.parsed_year) GROUP BY 1")

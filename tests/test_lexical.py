@@ -39,3 +39,25 @@ def test_dense_blocks_against_all_products(spark, monkeypatch):
         best = sorted((x for x in zip(-(m @ v[q]), ids, strict=True) if x[1] != q))[:3]
         assert [got[q, k] for k in (1, 2, 3)] == [i for _, i in best]
     assert dense.top_matches(df.limit(0), df.limit(0), "i", "e", 3).count() == 0
+
+
+def test_blocks_of_a_report_find_what_scoring_every_pair_finds(spark, monkeypatch):
+    monkeypatch.setattr(lexical, "BLOCK", 3)
+    monkeypatch.setattr(lexical, "PASSAGES", 7)
+    rnd = random.Random(4)
+    words = [f"w{k}" for k in range(14)]
+    text = lambda n: [rnd.choice(words) for _ in range(n)]
+    claims = [(q, rnd.choice(["hot", "hot", "hot", "small"]), rnd.choice([[], ["1"], ["2", "3"], ["9"]]), text(rnd.randrange(0, 7))) for q in range(20)]
+    passages = [(rnd.choice(["hot", "hot", "small", "other", None]), rnd.choice([None, "1", "2", "3"]), (k % 4, k // 4, 0, 0), k, text(rnd.randrange(0, 12))) for k in range(120)]
+    passages += [("hot", None, (0, 99, 0, 0), 120, ["w1", "w2", "w3"]), ("hot", None, (0, 99, 0, 0), 121, ["w1", "w2", "w3"])]  # a repeated row
+    c = spark.createDataFrame(claims, "claim_id bigint, document string, refs array<string>, toks array<string>")
+    p = spark.createDataFrame(passages, "document string, reference_index string, pos struct<kind:int,id:bigint,pos:int,chunk_no:int>, row bigint, toks array<string>")
+    got = {(r.claim_id, r["rank"]): (tuple(r.pos), r.score) for r in lexical.top_passages(c, p, 4).collect()}
+    may = (F.size("refs") == 0) | F.col("reference_index").isNull() | F.array_contains("refs", F.col("reference_index"))
+    every = c.withColumnRenamed("toks", "x").join(p, "document").where(may).select("claim_id", "pos", retrieval.lexical_score(F.col("x"), F.col("toks")).alias("s")).where("s >= 0.08").collect()
+    want = {}
+    for q in range(20):
+        for n, r in enumerate(sorted((r for r in every if r.claim_id == q), key=lambda r: (-r.s, r.pos))[:4], 1):
+            want[q, n] = (tuple(r.pos), r.s)
+    assert got == want and len(want) > 40
+    assert lexical.top_passages(c.limit(0), p, 4).count() == 0 and lexical.top_passages(c, p.limit(0), 4).count() == 0
